@@ -42,3 +42,27 @@ carried as (
 select p.page_id, p.host, p.path, o.rule, coalesce(o.action, c.verdict, 'allow') as verdict
 from parts p left join own o using (page_id) left join carried c on c.url = p.url
 """
+
+ORACLES["op3_minhash"] = r"""
+with recursive words as (
+    select doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda w: w <> '') w
+    from documents),
+shingles as (
+    select distinct doc_id, array_to_string(w[k : k + 3], ' ') s
+    from words, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as t(k) where len(w) > 0),
+sizes as (select doc_id, count(*) n from shingles group by 1),
+common as (
+    select x.doc_id a, y.doc_id b, count(*) both_have
+    from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2),
+links as (
+    select a, b from common join sizes p on p.doc_id = a join sizes q on q.doc_id = b
+    where 100 * both_have >= 80 * (p.n + q.n - both_have)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(a, b) as (select a, b from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a),
+least as (select a, min(b) b from reach group by 1)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) as component_id,
+       d.doc_id <= coalesce(l.b, d.doc_id) as kept
+from documents d left join sizes s using (doc_id) left join least l on l.a = d.doc_id
+"""
