@@ -66,3 +66,21 @@ select d.doc_id, coalesce(s.n, 0) as n_shingles, least(d.doc_id, coalesce(l.b, d
        d.doc_id <= coalesce(l.b, d.doc_id) as kept
 from documents d left join sizes s using (doc_id) left join least l on l.a = d.doc_id
 """
+
+ORACLES["op7_embedding_dedup"] = r"""
+with recursive usable as (
+    select vec_id, label, embedding::double[] v from embeddings
+    where label is not null and embedding is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+    select x.vec_id a, y.vec_id b from usable x join usable y on x.label = y.label and len(x.v) = len(y.v) and x.vec_id < y.vec_id
+    where list_cosine_similarity(x.v, y.v) >= 0.98),
+both_ways as (select a, b from links union all select b, a from links),
+reach(a, b) as (select a, b from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a),
+least as (select a, min(b) b from reach group by 1),
+degree as (select a, count(*) n from both_ways group by 1)
+select e.vec_id, coalesce(d.n, 0) as n_links, least(e.vec_id, coalesce(l.b, e.vec_id)) as component_id,
+       e.vec_id <= coalesce(l.b, e.vec_id) as kept
+from embeddings e left join degree d on d.a = e.vec_id left join least l on l.a = e.vec_id
+"""
