@@ -4,7 +4,7 @@ from tarn.llm import embedding_dedup
 
 
 def brute(rows, threshold=0.98):
-    good = [(i, lab, np.array(v, float)) for i, v, lab in rows
+    good = [(i, lab, np.array(v, float) / np.abs(np.array(v, float)).max()) for i, v, lab in rows
             if v is not None and lab is not None and len(v) and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
     parent, links = {i: i for i, *_ in rows}, {i: 0 for i, *_ in rows}
 
