@@ -119,6 +119,8 @@ def slots(sources: DataFrame) -> DataFrame:
     before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     table = table.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
     table = table.withColumn("n", F.least("n", PASSES * F.col("blocks") - F.col("first"))).where("n > 0")
+    # The running count left all shards of a source in one task; its slots are dealt out again.
+    table = table.repartition("source_no", "shard")
     table = table.select("source_no", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     table = table.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")))
     block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("source_no"), F.col("pass"))
@@ -139,7 +141,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     prepare(docs.sparkSession)
     rows, sources = sized(docs, doc_id, source, text)
     times = slots(sources).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = pieces(rows).join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = pieces(rows).join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     empty = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     full = rows.where("size > 0").join(taken, ["source_no", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     names = ["doc_id", "size", "source", "source_size", "target", "taken"]
@@ -154,7 +156,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sour
     """
     prepare(docs.sparkSession)
     rows, sources = sized(docs, doc_id, source, text)
-    taken = pieces(rows).join(slots(sources), ["source_no", "block"]).groupBy("source_no", "start", "pass").agg(
+    taken = pieces(rows).join(slots(sources).hint("merge"), ["source_no", "block"]).groupBy("source_no", "start", "pass").agg(
         F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("ranges"), F.sum("words").alias("taken"))
     taken = rows.join(taken, ["source_no", "start"]).where("size > 0").select(
         F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("ranges").alias("__ranges"), (F.col("taken") == F.col("size")).alias("__whole"))
