@@ -84,3 +84,22 @@ select e.vec_id, coalesce(d.n, 0) as n_links, least(e.vec_id, coalesce(l.b, e.ve
        e.vec_id <= coalesce(l.b, e.vec_id) as kept
 from embeddings e left join degree d on d.a = e.vec_id left join least l on l.a = e.vec_id
 """
+
+ORACLES["op6_chat"] = r"""
+with rows as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+    union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+marked as (
+    select *, replace(replace(role, '\', '\\'), chr(10), '\n') as role_shown from rows),
+joined as (
+    select conv_id, count(*) n_turns,
+           string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) turns,
+           coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') loss,
+           sum(length('<|im_start|>') + length(role_shown) + len(regexp_extract_all(role_shown, '<\\*\|')) + 1
+               + length(text) + len(regexp_extract_all(text, '<\\*\|')) + length('<|im_end|>') + 1) formatted_chars
+    from marked group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256,
+       formatted_chars::bigint as formatted_chars
+from joined
+"""
