@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, exact_dedup, langid, minhash, mixing, url_filter
+from . import bpe, chat, embedding_dedup, exact_dedup, langid, line_dedup, minhash, mixing, url_filter
 from .sql import ORACLES
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"])
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), width=4)
 
