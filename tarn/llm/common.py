@@ -49,3 +49,16 @@ def strip_spaces(column: Column) -> Column:
 def word_count(column: Column) -> Column:
     """Number of words ``WORD`` in a text; null has none."""
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Ids that may be broadcast: of two longs each at most, a few MB.
+BROADCAST_ROWS = 100_000
+
+
+def semi(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is among ``ids``, a cut table of distinct longs.
+
+    The ids are broadcast if a count shows that they are few; then no row of ``rows`` is shuffled.
+    """
+    few = ids.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, prepare, semi
 from .components import components
 
 SKETCH = 64
@@ -117,8 +117,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int, doc_id: str, text: st
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate(found)))], names=["id", "shingles"])
 
-    rows = docs.select(_doc_id(doc_id).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    return rows.mapInArrow(run, "id bigint, shingles array<bigint>").dropDuplicates(["id"])
+    rows = docs.select(_doc_id(doc_id).alias("id"), F.col(text).alias("text"))
+    return semi(rows, ids, "id").mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
 def _tuple(group: int) -> Column:
@@ -127,6 +127,11 @@ def _tuple(group: int) -> Column:
     return F.struct((F.size(values) > 0).alias("used"), F.xxhash64(F.lit(group), values).alias("key"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The distinct ids in pairs (a, b)."""
+    return cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+
+
 def _list_pairs(lists: DataFrame, ratio: int) -> DataFrame:
     """(a, b, overlap) of the classes that meet in short lists (key, id, n) and may be similar by size."""
     x, y = lists.alias("x"), lists.alias("y")
@@ -208,10 +213,11 @@ class _Links:
         self.comps: DataFrame | None = None
 
     def _verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        sets = semi(sets, _ends(pairs), "id")
         x, y = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"{k}s")) for k in "ab")
         rows = pairs.select("a", "b").join(x, "a").join(y, "b")
         both = F.size(F.array_intersect("as", "bs"))
-        return rows.where(100 * both >= self.percent * (F.size("as") + F.size("bs") - both)).select("a", "b")
+        return rows.where(100 * both >= self.percent * (F.size("as") + F.size("bs") - both)).select("a", "b").distinct()
 
     def _add(self, pairs: DataFrame, sets: DataFrame) -> None:
         new = cut(self._verify(pairs, sets))
@@ -232,12 +238,11 @@ class _Links:
         pairs = cut(pairs)
         if pairs.isEmpty():
             return
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = cut(full_sets(self.docs, ids, self.width, *self.names))
+        sets = cut(full_sets(self.docs, _ends(pairs), self.width, *self.names))
         if self.comps is None:
             ends = pairs.select(F.col("a").alias("id"), "a", "b", "est").union(pairs.select("b", "a", "b", "est"))
             best = ends.groupBy("id").agg(F.max(F.struct("est", F.col("a"), F.col("b"))).alias("x"))
-            self._add(best.select("x.a", "x.b").distinct(), sets)
+            self._add(cut(best.select("x.a", "x.b").distinct()), sets)
         across = self._across(pairs)
         low, high = F.least("ca", "cb"), F.greatest("ca", "cb")
         best = across.groupBy(low.alias("l"), high.alias("h")).agg(F.max(F.struct("est", "a", "b")).alias("x"))
@@ -258,24 +263,25 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     prepare(docs.sparkSession)
     floor = percent / 100 - SLACK
     rows = cut(sketches(docs, width, doc_id, text))
-    reps = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.first("kept").alias("kept"))
-    reps = cut(reps)
+    classes = cut(rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id")))
+    kept = rows.select(F.col("doc_id").alias("id"), "n", "kept")
     links = _Links(docs, width, percent, doc_id, text)
 
-    listed = reps.select("id", "n", F.explode(F.slice("kept", 1, LISTED)).alias("key"))
-    size = cut(listed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    short = listed.join(size.where(F.col("size") <= LIST), "key").select("key", "id", "n")
-    pairs = _list_pairs(short, percent).where(F.col("overlap") >= OVERLAP).select("a", "b")
+    reps = rows.where("n > 0").select(F.col("doc_id").alias("id"), "n", F.slice("kept", 1, LISTED).alias("key")).dropDuplicates(["id"])
+    listed = reps.join(classes.select("id"), "id", "left_semi").select("id", "n", F.explode("key").alias("key"))
+    size = listed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = cut(listed.join(size, "key").select("key", "id", "n", "size"))
+    pairs = _list_pairs(shared.where(F.col("size") <= LIST), percent).where(F.col("overlap") >= OVERLAP).select("a", "b")
 
-    hot = listed.join(size.where(F.col("size") > LIST), "key").groupBy("id", "n").agg(F.count(F.lit(1)).alias("hot"))
-    hot = hot.where(F.least(F.col("n"), F.lit(LISTED)) - F.col("hot") < COLD).select("id")
-    members = cut(reps.join(hot, "id", "left_semi").select("id", "n", "kept"))
+    hot = shared.where(F.col("size") > LIST).groupBy("id", "n").agg(F.count(F.lit(1)).alias("hot"))
+    hot = cut(hot.where(F.least(F.col("n"), F.lit(LISTED)) - F.col("hot") < COLD).select("id"))
+    members = cut(semi(kept, hot, "id").dropDuplicates(["id"]))
     keyed = members.select("id", "n", F.explode(F.array(*[_tuple(g) for g in range(GROUPS)])).alias("t"))
     keyed = keyed.where("t.used").select("t.key", "id", "n")
     size = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1"))
-    pairs = pairs.union(_list_pairs(keyed.join(size.where(F.col("size") <= LIST), "key"), percent).select("a", "b")).distinct()
-
-    x, y = (reps.select(F.col("id").alias(k), F.col("kept").alias(f"{k}k")) for k in "ab")
+    pairs = cut(pairs.union(_list_pairs(keyed.join(size.where(F.col("size") <= LIST), "key"), percent).select("a", "b")).distinct())
+    near = semi(kept, _ends(pairs), "id").dropDuplicates(["id"])
+    x, y = (near.select(F.col("id").alias(k), F.col("kept").alias(f"{k}k")) for k in "ab")
     scored = pairs.join(x, "a").join(y, "b").select("a", "b", _estimate(F.col("ak"), F.col("bk")).alias("est")).where(F.col("est") >= floor)
 
     large = size.where(F.col("size") > LIST).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
@@ -306,7 +312,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
             met = seats.groupBy("key", "x", "y").applyInPandas(_cross_links(floor), "a bigint, b bigint, est double")
             links.resolve(met.distinct())
 
-    classes = reps.select("d1", "d2", "n", F.col("id").alias("rep"))
+    classes = classes.withColumnRenamed("id", "rep")
     out = rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     if links.comps is not None:
         out = out.join(links.comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
