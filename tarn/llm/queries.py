@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, exact_dedup, langid, line_dedup, minhash, mixing, url_filter
+from . import bpe, chat, embedding_dedup, exact_dedup, langid, licenses, line_dedup, minhash, mixing, url_filter
 from .sql import ORACLES
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +37,14 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), width=4)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a source is a repository, ids make directories, each tenth document is a licence file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    name = F.when(F.col("doc_id") % 10 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", F.expr("cast(doc_id div 1000 as string)"), F.expr("cast(doc_id div 10 as string)"), name)
+    return licenses.scan(docs, path, keep=("doc_id",))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 

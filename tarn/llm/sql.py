@@ -103,3 +103,45 @@ select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_cha
        formatted_chars::bigint as formatted_chars
 from joined
 """
+
+
+def _licenses() -> str:
+    from .licenses import TEMPLATES
+
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {quote(n)}, {quote(t)})" for k, (n, t) in enumerate(TEMPLATES))
+    word = "'[a-z0-9.]*[a-z0-9]'"
+    return f"""
+with recursive templates(template, license, body) as (values {rows}),
+bags as (select template, license, unnest(regexp_extract_all(lower(body), {word})) token from templates),
+counted as (select template, license, token, count(*)::double tf from bags group by 1, 2, 3),
+idf as (select token, ln((1 + (select count(*) from templates))::double / (1 + count(*))) + 1 as idf from counted group by 1),
+raw as (select *, tf * idf as x from counted join idf using (token)),
+units as (select template, license, token, x / sqrt(sum(x * x) over (partition by template)) as weight from raw),
+files as (
+    select doc_id, concat_ws('/', source, (doc_id // 1000)::varchar, (doc_id // 10)::varchar) as dir,
+           concat_ws('/', source, (doc_id // 1000)::varchar, (doc_id // 10)::varchar, case when doc_id % 10 = 0 then 'LICENSE' else doc_id || '.txt' end) as path,
+           coalesce(text, '') as text from documents),
+parts as (
+    select path, generate_subscripts(l, 1) k, unnest(l) line
+    from (select path, string_split(text, chr(10)) || case when path like '%/LICENSE' then [replace(text, chr(10), ' ')] else [] end l from files)),
+words as (select path, k, token, count(*)::double tf from (select path, k, unnest(regexp_extract_all(lower(line), {word})) token from parts) group by 1, 2, 3),
+weighed as (select path, k, token, tf * coalesce(idf, ln(1 + (select count(*) from templates)) + 1) as x from words left join idf using (token)),
+norms as (select path, k, sqrt(sum(x * x)) norm from weighed group by 1, 2),
+scores as (
+    select path, license, round(sum(x * weight) / any_value(norm), 6) score
+    from weighed join units using (token) join norms using (path, k) group by path, k, template, license),
+own as (select path, license, score from (select *, row_number() over (partition by path order by score desc, license) r from scores where score >= 0.6) where r = 1),
+licensed as (select dir, license from (select f.dir, o.license, row_number() over (partition by f.dir order by o.score desc, o.license, o.path) r
+    from own o join (select distinct path, dir from files) f using (path) where path like '%/LICENSE') where r = 1),
+dirs as (select distinct dir from files),
+near as (select d.dir, l.license, l.dir as up, row_number() over (partition by d.dir order by length(l.dir) desc) r
+    from dirs d join licensed l on d.dir = l.dir or starts_with(d.dir, l.dir || '/'))
+select f.doc_id, f.path, coalesce(o.license, n.license) as license, o.score,
+       case when o.license is not null then 'own' when n.license is not null then 'inherited' else 'none' end as basis,
+       case when o.license is null then n.up end as from_directory
+from files f left join own o using (path) left join (select * from near where r = 1) n on n.dir = f.dir
+"""
+
+
+ORACLES["op4_licenses"] = _licenses()
