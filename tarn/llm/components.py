@@ -18,9 +18,11 @@ def _with_min(rows: DataFrame, least: DataFrame) -> DataFrame:
     return rows.withColumn("tag", tag("u")).join(least.withColumn("tag", tag("u")), ["u", "tag"]).drop("tag")
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
-    return tuple(row)
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a root or the end of one edge."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("under")).union(edges.select("b", F.lit(1)))
+    seen = ends.groupBy("node").agg(F.sum("under").alias("under"), F.min("under").alias("least"))
+    return seen.where((F.col("under") > 1) | ((F.col("under") > 0) & (F.col("least") == 0))).isEmpty()
 
 
 def components(edges: DataFrame, a: str | Column = "a", b: str | Column = "b") -> DataFrame:
@@ -31,11 +33,8 @@ def components(edges: DataFrame, a: str | Column = "a", b: str | Column = "b") -
     prepare(edges.sparkSession)
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     now = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
-    now, before = cut(now), None
-    while (seen := _signature(now)) != before:
-        before = seen
-        if seen[0] == 0:
-            break
+    now = cut(now)
+    while not _is_stars(now):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = _with_min(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

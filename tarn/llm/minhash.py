@@ -13,8 +13,8 @@ are retained. Documents with equal sets are one class at once. The classes then
    block by block, so a list is never cut and never expanded into pairs of what is one group.
 3. The union sketch estimates the similarity of a candidate pair; ``SLACK`` is four standard
    deviations of it. Pairs that pass are verified on the full shingle sets. Only links between
-   what is not yet connected need it, so pairs are verified from the most similar on: the best of
-   each class, the best between each two components, then all that are left.
+   what is not yet connected need it, so one likely link of
+   each class is verified first, and then all pairs that still lie between components.
 
 Edge cases: texts without words and null texts have an empty set and no links; with fewer words
 than a shingle the whole sequence is the one shingle; a null id counts as the largest long; rows
@@ -240,17 +240,14 @@ class _Links:
             return
         sets = cut(full_sets(self.docs, _ends(pairs), self.width, *self.names))
         if self.comps is None:
-            ends = pairs.select(F.col("a").alias("id"), "a", "b", "est").union(pairs.select("b", "a", "b", "est"))
-            best = ends.groupBy("id").agg(F.max(F.struct("est", F.col("a"), F.col("b"))).alias("x"))
-            self._add(cut(best.select("x.a", "x.b").distinct()), sets)
-        across = self._across(pairs)
-        low, high = F.least("ca", "cb"), F.greatest("ca", "cb")
-        best = across.groupBy(low.alias("l"), high.alias("h")).agg(F.max(F.struct("est", "a", "b")).alias("x"))
-        best = cut(best.select("x.a", "x.b"))
-        if best.isEmpty():
-            return
-        self._add(best, sets)
-        left = cut(self._across(pairs).select("a", "b").join(best, ["a", "b"], "left_anti"))
+            # Of each class the likely link with the smallest partner: groups then form stars.
+            likely = (F.col("est") >= self.percent / 100).alias("likely")
+            ends = pairs.select(F.col("b").alias("id"), "a", "b", likely).union(pairs.select("a", "a", "b", likely))
+            best = ends.groupBy("id").agg(F.max(F.struct("likely", -F.col("a"), -F.col("b"))).alias("x"))
+            best = cut(best.select((-F.col("x.col2")).alias("a"), (-F.col("x.col3")).alias("b")).distinct())
+            self._add(best, sets)
+            pairs = pairs.join(best, ["a", "b"], "left_anti")
+        left = cut(self._across(pairs).select("a", "b").distinct())
         if not left.isEmpty():
             self._add(left, sets)
 
