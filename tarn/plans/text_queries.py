@@ -313,3 +313,12 @@ def absent_regex_search(spark, sf):
     at = F.greatest(F.lit(1), F.expr("instr(lower(text), lower(hit))") - 50)
     rows = rows.withColumn("context", F.when(F.col("is_hit"), F.substring("text", at, F.lit(100)))).withColumn("hit_doc", F.when(F.col("is_hit"), F.col("doc_id")))
     return rows.groupBy("id").agg(F.count("hit_doc").alias("n_docs"), F.min("hit_doc").alias("first_doc"), F.min_by("context", "hit_doc").alias("context"))
+
+
+@query()
+def locate_aligned(spark, sf):
+    """Rows only: the alignment is beyond SQL and tested on small cases."""
+    from tarn.operators.locate import locate_aligned as aligned
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return aligned(docs, table(spark, sf, "benchmark").select(F.col("item_id").alias("passage_id"), "text"))
