@@ -34,6 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished phases now, instead of at some later collection."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_of(column: str | Column = "text") -> Column:
     """A text with null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -9,8 +9,8 @@ are retained. Documents with equal sets are one class at once. The classes then
    lists miss a pair with a probability of 5e-6.
 2. Classes with fewer such values, because their values are very common, also go into lists of
    value tuples: the ``TUPLE`` smallest retained values of each of ``GROUPS`` residues. Long tuple
-   lists are compared with one hub and in blocks; what stays apart there is compared in full,
-   block by block, so a list is never cut and never expanded into pairs of what is one group.
+   lists are compared with one hub and in blocks; what stays apart there is verified in full,
+   block by block, so a list is never cut and never expanded into pairs.
 3. The union sketch estimates the similarity of a candidate pair; ``SLACK`` is four standard
    deviations of it. Pairs that pass are verified on the full shingle sets. Only links between
    what is not yet connected need it, so one likely link of
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, semi
+from .common import cut, prepare, release, semi
 from .components import components
 
 SKETCH = 64
@@ -43,7 +43,8 @@ OVERLAP = 3
 GROUPS = 16
 TUPLE = 3
 SLACK = 0.2
-BLOCK = 256
+BLOCK = 1024
+SLICE = 8192
 CACHE_WORDS = 500_000
 _MOST = 9223372036854775807
 
@@ -184,22 +185,57 @@ def _hub_links(floor: float):
     return run
 
 
-def _cross_links(floor: float):
-    """Of the strays of a block against another block: all partners of other components that pass."""
+def _shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs of two lists of sorted sets, by slices of the values both lists hold."""
+    values = np.intersect1d(np.unique(np.concatenate(one)), np.unique(np.concatenate(two)))
+    counts = np.zeros((len(one), len(two)))
+    for begin in range(0, len(values), SLICE):
+        part = values[begin : begin + SLICE]
+        rows = []
+        for sets in (one, two):
+            table = np.zeros((len(sets), len(part)), np.float32)
+            for k, s in enumerate(sets):
+                inside = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+                at = np.searchsorted(part, inside)
+                table[k, at[part[np.minimum(at, len(part) - 1)] == inside]] = 1
+            rows.append(table)
+        counts += rows[0] @ rows[1].T
+    return counts
+
+
+def _cross_links(floor: float, percent: int):
+    """Of the strays of a block against another block: each with the least id that verified links reach here.
+
+    Estimates decide which strays need it; their links to other components are verified on the full
+    sets, and the block returns at most one row for each document.
+    """
 
     def run(seats: pd.DataFrame) -> pd.DataFrame:
-        a, b, est = [], [], []
+        none = pd.DataFrame({"a": [], "b": []}).astype("int64")
         strays, block = seats[seats["stray"]], seats[~seats["stray"]]
-        if len(strays) and len(block):
-            ids, comp = block["id"].to_numpy(), block["comp"].to_numpy()
-            kept = [np.asarray(k, np.int64) for k in block["kept"]]
-            for i, c, k in zip(strays["id"], strays["comp"], strays["kept"], strict=True):
-                score = _estimates(np.asarray(k, np.int64), kept)
-                for at in np.flatnonzero((score >= floor) & (comp != c)):
-                    a.append(min(i, ids[at]))
-                    b.append(max(i, ids[at]))
-                    est.append(score[at])
-        return pd.DataFrame({"a": a, "b": b, "est": est}).astype({"a": "int64", "b": "int64", "est": "float64"})
+        if not len(strays) or not len(block):
+            return none
+        kept = [np.asarray(s, np.int64)[:SKETCH] for s in block["shingles"]]
+        comp = block["comp"].to_numpy()
+        near = [((_estimates(np.asarray(s, np.int64)[:SKETCH], kept) >= floor) & (comp != c)).any() for s, c in zip(strays["shingles"], strays["comp"], strict=True)]
+        strays = strays[near]
+        if not len(strays):
+            return none
+        one, two = ([np.asarray(s, np.int64) for s in part["shingles"]] for part in (strays, block))
+        both = _shared_counts(one, two)
+        sizes = np.array([len(s) for s in one])[:, None] + np.array([len(s) for s in two])[None, :]
+        i, j = np.nonzero((100 * both >= percent * (sizes - both)) & (strays["comp"].to_numpy()[:, None] != comp[None, :]))
+        ids, place = np.unique(np.concatenate([strays["id"].to_numpy()[i], block["id"].to_numpy()[j]]), return_inverse=True)
+        x, y, root = place[: len(i)], place[len(i) :], np.arange(len(ids))
+        while len(i):
+            least = root.copy()
+            np.minimum.at(least, x, root[y])
+            np.minimum.at(least, y, root[x])
+            least = least[least]
+            if (least == root).all():
+                break
+            root = least
+        return pd.DataFrame({"a": ids[root], "b": ids}).astype("int64").query("a != b")
 
     return run
 
@@ -223,6 +259,13 @@ class _Links:
         new = cut(self._verify(pairs, sets))
         self.true = new if self.true is None else self.true.union(new)
         self.comps = components(self.true)
+        release(self.docs.sparkSession)
+
+    def connect(self, pairs: DataFrame) -> None:
+        """Takes pairs that verified links connect."""
+        if not pairs.isEmpty():
+            self.true = pairs if self.true is None else self.true.union(pairs)
+            self.comps = components(self.true)
 
     def _across(self, pairs: DataFrame) -> DataFrame:
         """Pairs of different components, with these as ca and cb."""
@@ -299,15 +342,16 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
         placed = cut(inside.join(comps, "id", "left").select("key", "id", "block", F.coalesce("comp", "id").alias("comp")))
         parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
         main = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        split = placed.join(main.select("key", F.col("m.comp").alias("main")), "key").join(members.select("id", "kept"), "id")
-        split = cut(split)
+        split = cut(placed.join(main.select("key", F.col("m.comp").alias("main")), "key"))
         if not split.isEmpty():
+            release(docs.sparkSession)
+            sets = cut(full_sets(docs, cut(split.select("id").distinct()), width, doc_id, text).dropDuplicates(["id"]))
             outside = split.where("comp <> main")
             whole, part = split.select("key", F.col("block").alias("y")).distinct(), outside.select("key", F.col("block").alias("x")).distinct()
-            seats = outside.withColumnRenamed("block", "x").join(whole, "key").select("key", "x", "y", "id", "comp", "kept", F.lit(True).alias("stray"))
-            seats = seats.union(split.withColumnRenamed("block", "y").join(part, "key").select("key", "x", "y", "id", "comp", "kept", F.lit(False)))
-            met = seats.groupBy("key", "x", "y").applyInPandas(_cross_links(floor), "a bigint, b bigint, est double")
-            links.resolve(met.distinct())
+            seats = outside.withColumnRenamed("block", "x").join(whole, "key").select("key", "x", "y", "id", "comp", F.lit(True).alias("stray"))
+            seats = seats.union(split.withColumnRenamed("block", "y").join(part, "key").select("key", "x", "y", "id", "comp", F.lit(False)))
+            met = seats.join(sets, "id").groupBy("key", "x", "y").applyInPandas(_cross_links(floor, percent), "a bigint, b bigint")
+            links.connect(cut(met.distinct()))
 
     classes = classes.withColumnRenamed("id", "rep")
     out = rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
