@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, prepare, release
 
 
 def _with_min(rows: DataFrame, least: DataFrame) -> DataFrame:
@@ -41,4 +41,5 @@ def components(edges: DataFrame, a: str | Column = "a", b: str | Column = "b") -
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _with_min(large, least).where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
         now = cut(small.union(least.select("m", "u")).distinct())
+        release(now.sparkSession)
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a").distinct())
