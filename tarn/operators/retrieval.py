@@ -11,6 +11,8 @@ from tarn.functions import text as T
 CHUNK, OVERLAP = 512, 64
 K1, B = 1.5, 0.75
 RRF_K, DEPTH = 60, 100
+#: Characters of a document from which grams are taken at a time.
+PIECE = 512
 
 
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -108,18 +110,25 @@ def recall(rankings: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5,
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"), *flags)
 
 
-def located(docs: DataFrame, passages: DataFrame, width: int = 5) -> DataFrame:
+def located(docs: DataFrame, passages: DataFrame, width: int = 16) -> DataFrame:
     """(passage_id, doc_id, position) of every passage whose compact form a document contains.
 
-    A passage's first ``width`` tokens are the key under which documents that hold them are found;
-    shorter passages are compared with all documents.
+    The first ``width`` characters of a passage's compact form are the key under which documents that
+    hold them are found; shorter ones are compared with all documents.
     """
-    p = passages.select("passage_id", T.compact(F.col("text")).alias("needle"), T.tokens(F.col("text")).alias("words"))
-    d = docs.select("doc_id", T.compact(F.col("text")).alias("hay"), T.tokens(F.col("text")).alias("words"))
-    first = p.where(F.size("words") >= width).select("passage_id", "needle", F.hash(F.slice("words", 1, width)).alias("key"))
-    shingles = F.transform(F.sequence(F.lit(1), F.size("words") - width + 1), lambda k: F.hash(F.slice("words", k, width)))
-    keyed = d.where(F.size("words") >= width).select("doc_id", "hay", F.explode(F.array_distinct(shingles)).alias("key"))
-    rows = keyed.join(first, "key").select("passage_id", "doc_id", "needle", "hay")
-    short = p.where((F.size("words") < width) & (F.length("needle") > 0))
+    p = passages.select("passage_id", T.compact(F.col("text")).alias("needle"))
+    d = docs.select("doc_id", T.compact(F.col("text")).alias("hay"))
+    gram = lambda c, at: F.xxhash64(c.substr(at, F.lit(width)))
+    first = p.where(F.length("needle") >= width).withColumn("key", gram(F.col("needle"), F.lit(1)))
+    # Grams are taken from pieces of a document, as finding the n-th character takes n steps.
+    starts = F.sequence(F.lit(0), F.expr(f"cast((length(hay) - {width}) div {PIECE} as int)"))
+    pieces = F.transform(starts, lambda b: F.col("hay").substr(b * PIECE + 1, F.lit(PIECE + width - 1)))
+    rows = d.where(F.length("hay") >= width).select("doc_id", F.explode(pieces).alias("piece"))
+    keys = F.transform(F.sequence(F.lit(1), F.length("piece") - width + 1), lambda k: gram(F.col("piece"), k))
+    keyed = rows.select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
+    keyed = keyed.join(first.select("key").distinct(), "key", "left_semi").distinct()
+    met = keyed.join(first, "key").select(F.col("doc_id").alias("at"), "passage_id", "needle")
+    rows = d.join(met, F.col("doc_id").eqNullSafe(F.col("at"))).select("passage_id", "doc_id", "needle", "hay")
+    short = p.where((F.length("needle") < width) & (F.length("needle") > 0))
     rows = rows.union(d.crossJoin(short).select("passage_id", "doc_id", "needle", "hay"))
     return rows.where(F.col("hay").contains(F.col("needle"))).select("passage_id", "doc_id", F.expr("instr(hay, needle)").alias("position"))
