@@ -1,10 +1,12 @@
 """License scans with DataFrame operations only.
 
 Templates are licence statements. TF-IDF vectors take their document frequencies from the
-templates; a token that no template has weighs most. Every line of every whole text, and the whole
-text of files named like a licence, is compared by sparse cosine with all templates. A cosine of
-``SIMILAR`` needs one of a template's heaviest tokens, those without which the rest of its norm is
-too small, so only lines that hold such a token are scored; no other line can reach the threshold.
+templates, where common words count as in all; a token that no template has weighs most. Units of every whole text, its lines and the
+windows of ``WINDOW`` lines or fewer (statements wrap), and the whole text of files named like a
+licence are compared by sparse cosine with all templates. By Cauchy and Schwarz a cosine is at
+most the norm of the template's tokens that a unit holds. So a template's commonest words may be
+left out as long as their norm is below ``SIMILAR``, and only units with one of the others are
+scored; no other unit can reach the threshold. A unit is scored in its own row, without a shuffle.
 
 A file without a licence of its own inherits that of the nearest directory above it whose licence
 file (LICENSE, LICENCE, COPYING or NOTICE) has one. Directories are resolved once each, by joins of
@@ -12,23 +14,31 @@ paths with their ancestors, and files join their own directory.
 
 Edge cases: null and empty texts have no licence of their own but inherit; a null path has no
 directory; of equal scores the licence first by name stands, of several licence files in one
-directory the best score; rows that share a path are one file, repeated in the result; an empty
-table gives an empty result.
+directory the best score; rows that share a path are one file with the best score of all its rows,
+repeated in the result; texts of any length are read whole, in time that grows with n log n of
+their tokens; names of other columns do not matter, as only ``keep`` is returned; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, prepare, text_of
 
 SIMILAR = 0.6
+WINDOW = 3
 _WORD = "[a-z0-9.]*[a-z0-9]"
 
+# Common English words, which weigh as if all templates had them.
+COMMON = "a all an and any are as at be but by can for from has have if in is it its may no not of on or other such than that the this to under use used which will with without you"
+
 # Licence names and their usual statements.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -46,6 +56,13 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright under CC0 1.0."),
     ("Proprietary", "All rights reserved."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 )
 
 
@@ -62,22 +79,20 @@ class Weights:
         for bag in bags:
             for w in set(bag):
                 df[w] = df.get(w, 0) + 1
-        self.idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()}
+        common = dict.fromkeys(COMMON.split(), 1.0)
+        self.idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()} | common
         self.unknown = math.log(1 + len(bags)) + 1
-        self.rows, self.needed = [], set()
-        for k, ((name, _), bag) in enumerate(zip(templates, bags, strict=True)):
+        self.vectors: list[tuple[str, dict[str, float]]] = []
+        self.needed: set[str] = set()
+        for (name, _), bag in zip(templates, bags, strict=True):
             raw = {w: bag.count(w) * self.idf[w] for w in bag}
             norm = math.sqrt(sum(x * x for x in raw.values()))
-            rest = 1.0
-            for w, x in sorted(raw.items(), key=lambda p: (-p[1], p[0])):
-                self.rows.append((k, name, w, x / norm))
-                if math.sqrt(max(0.0, rest)) >= similar - 1e-9:
+            self.vectors.append((name, {w: x / norm for w, x in raw.items()}))
+            left = 0.0
+            for w in sorted(raw, key=lambda w: (w not in common, len(w), w)):
+                left += (raw[w] / norm) ** 2
+                if math.sqrt(left) >= similar - 1e-9:
                     self.needed.add(w)
-                rest -= (x / norm) ** 2
-
-    def table(self, spark: SparkSession) -> DataFrame:
-        """(template, license, token, weight, idf): as many rows as the templates have tokens."""
-        return spark.createDataFrame([(k, n, w, x, self.idf[w]) for k, n, w, x in self.rows], "template int, license string, token string, weight double, idf double")
 
 
 def directory(path: Column) -> Column:
@@ -89,25 +104,77 @@ def _is_license_file(path: Column) -> Column:
     return F.coalesce(path.rlike("(?i)(^|/)(licen[cs]e|copying|notice)([.][a-z]+)?$"), F.lit(False))
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern of the words that shares their beginnings, so that few branches are tried at a place."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    branches = [re.escape(c) + (_any_of(rest) if rest != [""] else "") for c, rest in sorted(heads.items()) if c]
+    found = "(?:" + "|".join(branches) + ")"
+    return found + "?" if "" in heads else found
+
+
+def _tokens_of(words: Iterable[str]) -> str:
+    """A pattern whose group 1 is a token out of ``words``."""
+    return "(?:^|[^a-z0-9.])(" + _any_of(sorted(words)) + ")(?=[.]*(?:[^a-z0-9.]|$))"
+
+
+def best_match(unit: Column, weights: Weights) -> Column:
+    """One struct(s, license), in an array, of the template with the greatest cosine; s is its negative."""
+    names = [name for name, _ in weights.vectors]
+    values = {w: [x, *[x * vector.get(w, 0.0) for _, vector in weights.vectors]] for w, x in weights.idf.items()}
+    table = F.from_json(F.lit(json.dumps(values)), "map<string,array<double>>")
+    square = lambda x: x * x
+    start = F.struct(F.lit("").alias("token"), F.lit(0.0).alias("n"), F.lit(0.0).alias("sum"))
+
+    def count(s: Column, t: Column) -> Column:
+        # Equal tokens follow one another in sorted order.
+        more = F.struct(s["token"].alias("token"), (s["n"] + 1).alias("n"), s["sum"].alias("sum"))
+        return F.when(t == s["token"], more).otherwise(F.struct(t.alias("token"), F.lit(1.0).alias("n"), (s["sum"] + square(s["n"])).alias("sum")))
+
+    def total(entries: Column, value) -> Column:
+        return F.aggregate(entries, F.lit(0.0), lambda s, e: s + value(e))
+
+    def entries(known: Column) -> Column:
+        return F.transform(F.array_distinct(known), lambda t: F.struct(F.size(F.filter(known, lambda k: k == t)).cast("double").alias("n"), F.try_element_at(table, t).alias("v")))
+
+    def scored(b: Column) -> Column:
+        # All tokens weigh as unknown ones but the known, which weigh what the templates give them.
+        others = square(F.lit(weights.unknown)) * (b["squares"] - total(b["known"], lambda e: square(e["n"])))
+        norm = F.sqrt(others + total(b["known"], lambda e: square(e["n"] * e["v"][0])))
+        return F.struct(norm.alias("norm"), b["known"].alias("known"))
+
+    def least(b: Column) -> Column:
+        return F.array_min(F.array(*[F.struct((-F.round(total(b["known"], at(k + 1)) / b["norm"], 6)).alias("s"), F.lit(name).alias("license")) for k, name in enumerate(names)]))
+
+    def at(k: int):
+        return lambda e: e["n"] * e["v"][k]
+
+    # Each step binds what the next one uses often, so that it is computed once.
+    tokens = F.sort_array(F.regexp_extract_all(unit, F.lit(_WORD), F.lit(0)))
+    squares = F.aggregate(tokens, start, count, lambda s: s["sum"] + square(s["n"]))
+    known = F.regexp_extract_all(unit, F.lit(_tokens_of(weights.idf)), F.lit(1))
+    bound = F.transform(F.array(F.struct(squares.alias("squares"), known.alias("known"))), lambda b: F.struct(b["squares"].alias("squares"), entries(b["known"]).alias("known")))
+    return F.transform(F.transform(bound, scored), least)
+
+
+def _windows(n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size("lines") - n + 1), lambda k: F.array_join(F.slice("lines", k, n), " "))
+
+
 def own_licenses(files: DataFrame, weights: Weights) -> DataFrame:
     """path, license and score of the files with a statement that matches a template."""
-    spark = files.sparkSession
-    whole = F.when(_is_license_file(F.col("path")), F.array(F.regexp_replace("text", "\n", " "))).otherwise(F.array().cast("array<string>"))
-    units = files.where("path is not null").select("path", F.posexplode(F.concat(F.split("text", "\n"), whole)).alias("unit", "line"))
-    some = "(^|[^a-z0-9.])(" + "|".join(re.escape(w) for w in sorted(weights.needed)) + ")($|[^a-z0-9])"
-    units = units.withColumn("line", F.lower("line")).where(F.col("line").rlike(some))
-    rows = units.select("path", "unit", F.explode(F.regexp_extract_all("line", F.lit(_WORD), F.lit(0))).alias("token"))
-    rows = rows.groupBy("path", "unit", "token").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    table = weights.table(spark)
-    idf = table.select("token", "idf").distinct()
-    weighed = rows.join(F.broadcast(idf), "token", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(weights.unknown)))
-    norms = weighed.groupBy("path", "unit").agg(
-        F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("token", "x"))).alias("known"))
-    known = norms.select("path", "unit", "norm", F.explode("known").alias("t")).select("path", "unit", "norm", "t.token", "t.x")
-    dots = known.join(F.broadcast(table.drop("idf")), "token").groupBy("path", "unit", "norm", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    scored = dots.withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= SIMILAR)
-    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("license")))
-    return scored.groupBy("path").agg(best.alias("b")).select("path", "b.license", (-F.col("b.s")).alias("score"))
+    some = _tokens_of(weights.needed)
+    rows = files.where("path is not null").select("path", F.lower("text").alias("text")).where(F.col("text").rlike(some))
+    rows = rows.select("path", F.split("text", "\n").alias("lines"))
+    none = F.array().cast("array<string>")
+    units = [F.col("lines")]
+    for n in range(2, WINDOW + 1):
+        units.append(F.when(F.size("lines") >= n, _windows(n)).otherwise(none))
+    units.append(F.when(_is_license_file(F.col("path")) & (F.size("lines") > WINDOW), F.array(F.array_join("lines", " "))).otherwise(none))
+    rows = rows.select("path", F.explode(F.concat(*units)).alias("unit")).where(F.col("unit").rlike(some))
+    scored = rows.select("path", F.explode(best_match(F.col("unit"), weights)).alias("b")).where(F.col("b.s") <= -SIMILAR)
+    return scored.groupBy("path").agg(F.min("b").alias("b")).select("path", "b.license", (-F.col("b.s")).alias("score"))
 
 
 def nearest(directories: DataFrame, licensed: DataFrame) -> DataFrame:

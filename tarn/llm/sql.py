@@ -106,25 +106,30 @@ from joined
 
 
 def _licenses() -> str:
-    from .licenses import TEMPLATES
+    from .licenses import COMMON, TEMPLATES
 
     quote = lambda t: "'" + t.replace("'", "''") + "'"
     rows = ", ".join(f"({k}, {quote(n)}, {quote(t)})" for k, (n, t) in enumerate(TEMPLATES))
     word = "'[a-z0-9.]*[a-z0-9]'"
+    common = ", ".join(quote(w) for w in COMMON.split())
     return f"""
 with recursive templates(template, license, body) as (values {rows}),
 bags as (select template, license, unnest(regexp_extract_all(lower(body), {word})) token from templates),
 counted as (select template, license, token, count(*)::double tf from bags group by 1, 2, 3),
-idf as (select token, ln((1 + (select count(*) from templates))::double / (1 + count(*))) + 1 as idf from counted group by 1),
+idf as (
+    select token, ln((1 + (select count(*) from templates))::double / (1 + count(*))) + 1 as idf from counted where token not in ({common}) group by 1
+    union all select unnest([{common}]), 1.0::double),
 raw as (select *, tf * idf as x from counted join idf using (token)),
 units as (select template, license, token, x / sqrt(sum(x * x) over (partition by template)) as weight from raw),
 files as (
     select doc_id, concat_ws('/', source, (doc_id // 1000)::varchar, (doc_id // 10)::varchar) as dir,
            concat_ws('/', source, (doc_id // 1000)::varchar, (doc_id // 10)::varchar, case when doc_id % 10 = 0 then 'LICENSE' else doc_id || '.txt' end) as path,
            coalesce(text, '') as text from documents),
-parts as (
-    select path, generate_subscripts(l, 1) k, unnest(l) line
-    from (select path, string_split(text, chr(10)) || case when path like '%/LICENSE' then [replace(text, chr(10), ' ')] else [] end l from files)),
+cut as (select path, string_split(text, chr(10)) l from files),
+spans as (
+    select path, l, i as k, w from cut, unnest(range(1, len(l) + 1)) as t(i), (values (1), (2), (3)) v(w) where i + w - 1 <= len(l)
+    union all select path, l, 1, len(l) from cut where path like '%/LICENSE'),
+parts as (select path, (k, w) as k, array_to_string(l[k : k + w - 1], ' ') as line from spans),
 words as (select path, k, token, count(*)::double tf from (select path, k, unnest(regexp_extract_all(lower(line), {word})) token from parts) group by 1, 2, 3),
 weighed as (select path, k, token, tf * coalesce(idf, ln(1 + (select count(*) from templates)) + 1) as x from words left join idf using (token)),
 norms as (select path, k, sqrt(sum(x * x)) norm from weighed group by 1, 2),

@@ -38,3 +38,19 @@ def test_scores_and_needed_tokens(spark):
     for k, line in enumerate(lines):
         best = max(round(cosine(line, body, weights), 6) for _, body in licenses.TEMPLATES)
         assert (found[str(k)] or 0) == (best if best >= licenses.SIMILAR else 0), line
+
+
+def test_wrapped_header_repeated_path_and_clashing_columns(spark):
+    wrapped = "# you may not use this file except in compliance\n# with the License. You may obtain a copy of the License\n# at http://www.apache.org/licenses/LICENSE-2.0\ncode"
+    rows = [("a/x.py", wrapped), ("b/LICENSE", "nothing here"), ("b/LICENSE", "All rights reserved."), ("b/c/y", None), ("", "with")]
+    df = spark.createDataFrame([(p, t, 1, "k") for p, t in rows], "path string, text string, unit int, k_path string")
+    found = [(r.path, r.license, r.basis) for r in licenses.scan(df, keep=("k_path",)).collect()]
+    assert sorted(found) == [
+        ("", None, "none"), ("a/x.py", "Apache-2.0", "own"), ("b/LICENSE", "Proprietary", "own"), ("b/LICENSE", "Proprietary", "own"), ("b/c/y", "Proprietary", "inherited")]
+
+
+def test_left_out_tokens_cannot_reach_the_threshold():
+    weights = licenses.Weights()
+    for _, vector in weights.vectors:
+        assert math.sqrt(sum(x * x for w, x in vector.items() if w not in weights.needed)) < licenses.SIMILAR
+    assert not weights.needed & {"the", "of", "and", "or", "to"}
