@@ -25,7 +25,6 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,22 +103,11 @@ def _is_license_file(path: Column) -> Column:
     return F.coalesce(path.rlike("(?i)(^|/)(licen[cs]e|copying|notice)([.][a-z]+)?$"), F.lit(False))
 
 
-def _any_of(words: list[str]) -> str:
-    """A pattern of the words that shares their beginnings, so that few branches are tried at a place."""
-    heads: dict[str, list[str]] = {}
-    for w in words:
-        heads.setdefault(w[:1], []).append(w[1:])
-    branches = [re.escape(c) + (_any_of(rest) if rest != [""] else "") for c, rest in sorted(heads.items()) if c]
-    found = "(?:" + "|".join(branches) + ")"
-    return found + "?" if "" in heads else found
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
 
-def _tokens_of(words: Iterable[str]) -> str:
-    """A pattern whose group 1 is a token out of ``words``."""
-    return "(?:^|[^a-z0-9.])(" + _any_of(sorted(words)) + ")(?=[.]*(?:[^a-z0-9.]|$))"
-
-
-def best_match(unit: Column, weights: Weights) -> Column:
+def best_match(tokens: Column, weights: Weights) -> Column:
     """One struct(s, license), in an array, of the template with the greatest cosine; s is its negative."""
     names = [name for name, _ in weights.vectors]
     values = {w: [x, *[x * vector.get(w, 0.0) for _, vector in weights.vectors]] for w, x in weights.idf.items()}
@@ -135,44 +123,43 @@ def best_match(unit: Column, weights: Weights) -> Column:
     def total(entries: Column, value) -> Column:
         return F.aggregate(entries, F.lit(0.0), lambda s, e: s + value(e))
 
-    def entries(known: Column) -> Column:
-        return F.transform(F.array_distinct(known), lambda t: F.struct(F.size(F.filter(known, lambda k: k == t)).cast("double").alias("n"), F.try_element_at(table, t).alias("v")))
+    def counted(tokens: Column) -> Column:
+        squares = F.aggregate(F.sort_array(tokens), start, count, lambda s: s["sum"] + square(s["n"]))
+        known = F.transform(F.array_intersect(tokens, F.array(*[F.lit(w) for w in sorted(weights.idf)])), lambda t: F.struct(
+            (F.size(tokens) - F.size(F.array_remove(tokens, t))).cast("double").alias("n"), F.try_element_at(table, t).alias("v")))
+        return F.struct(squares.alias("squares"), known.alias("known"))
 
-    def scored(b: Column) -> Column:
+    def weighed(b: Column) -> Column:
         # All tokens weigh as unknown ones but the known, which weigh what the templates give them.
         others = square(F.lit(weights.unknown)) * (b["squares"] - total(b["known"], lambda e: square(e["n"])))
-        norm = F.sqrt(others + total(b["known"], lambda e: square(e["n"] * e["v"][0])))
-        return F.struct(norm.alias("norm"), b["known"].alias("known"))
-
-    def least(b: Column) -> Column:
-        return F.array_min(F.array(*[F.struct((-F.round(total(b["known"], at(k + 1)) / b["norm"], 6)).alias("s"), F.lit(name).alias("license")) for k, name in enumerate(names)]))
+        return F.struct(F.sqrt(others + total(b["known"], lambda e: square(e["n"] * e["v"][0]))).alias("norm"), b["known"].alias("known"))
 
-    def at(k: int):
+    def part(k: int):
         return lambda e: e["n"] * e["v"][k]
 
+    def least(b: Column) -> Column:
+        return F.array_min(F.array(*[F.struct((-F.round(total(b["known"], part(k + 1)) / b["norm"], 6)).alias("s"), F.lit(name).alias("license")) for k, name in enumerate(names)]))
+
     # Each step binds what the next one uses often, so that it is computed once.
-    tokens = F.sort_array(F.regexp_extract_all(unit, F.lit(_WORD), F.lit(0)))
-    squares = F.aggregate(tokens, start, count, lambda s: s["sum"] + square(s["n"]))
-    known = F.regexp_extract_all(unit, F.lit(_tokens_of(weights.idf)), F.lit(1))
-    bound = F.transform(F.array(F.struct(squares.alias("squares"), known.alias("known"))), lambda b: F.struct(b["squares"].alias("squares"), entries(b["known"]).alias("known")))
-    return F.transform(F.transform(bound, scored), least)
+    return F.transform(F.transform(F.transform(F.array(tokens), counted), weighed), least)
 
 
 def _windows(n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size("lines") - n + 1), lambda k: F.array_join(F.slice("lines", k, n), " "))
+    return F.transform(F.sequence(F.lit(1), F.size("lines") - n + 1), lambda k: F.flatten(F.slice("lines", k, n)))
 
 
 def own_licenses(files: DataFrame, weights: Weights) -> DataFrame:
     """path, license and score of the files with a statement that matches a template."""
-    some = _tokens_of(weights.needed)
-    rows = files.where("path is not null").select("path", F.lower("text").alias("text")).where(F.col("text").rlike(some))
-    rows = rows.select("path", F.split("text", "\n").alias("lines"))
-    none = F.array().cast("array<string>")
+    needed = F.array(*[F.lit(w) for w in sorted(weights.needed)])
+    rows = files.where("path is not null").select("path", F.lower("text").alias("text"))
+    rows = rows.where(F.arrays_overlap(_words(F.col("text")), needed))
+    rows = rows.select("path", F.transform(F.split("text", "\n"), _words).alias("lines"))
+    none = F.array().cast("array<array<string>>")
     units = [F.col("lines")]
     for n in range(2, WINDOW + 1):
         units.append(F.when(F.size("lines") >= n, _windows(n)).otherwise(none))
-    units.append(F.when(_is_license_file(F.col("path")) & (F.size("lines") > WINDOW), F.array(F.array_join("lines", " "))).otherwise(none))
-    rows = rows.select("path", F.explode(F.concat(*units)).alias("unit")).where(F.col("unit").rlike(some))
+    units.append(F.when(_is_license_file(F.col("path")) & (F.size("lines") > WINDOW), F.array(F.flatten("lines"))).otherwise(none))
+    rows = rows.select("path", F.explode(F.concat(*units)).alias("unit")).where(F.arrays_overlap("unit", needed))
     scored = rows.select("path", F.explode(best_match(F.col("unit"), weights)).alias("b")).where(F.col("b.s") <= -SIMILAR)
     return scored.groupBy("path").agg(F.min("b").alias("b")).select("path", "b.license", (-F.col("b.s")).alias("score"))
 
