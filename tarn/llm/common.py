@@ -18,13 +18,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches and makes sure that a reliable checkpoint folder is set.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is
-    unset, as in local tests, checkpoints go below the warehouse folder, which is shared too.
+    unset in a local session, as in tests, checkpoints go below the warehouse folder; a cluster must name one.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
     return spark
 
@@ -34,11 +36,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished phases now, instead of at some later collection."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_of(column: str | Column = "text") -> Column:
     """A text with null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -67,3 +64,16 @@ def semi(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """
     few = ids.count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        name = f"__{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        found.append(name)
+    return found

@@ -17,8 +17,10 @@ are retained. Documents with equal sets are one class at once. The classes then
    each class is verified first, and then all pairs that still lie between components.
 
 Edge cases: texts without words and null texts have an empty set and no links; with fewer words
-than a shingle the whole sequence is the one shingle; a null id counts as the largest long; rows
-that share an id are one document, repeated in the result; an empty table gives an empty result.
+than a shingle the whole sequence is the one shingle; a null id counts as the largest long; rows equal in id and
+text are one document, repeated in the result, and rows that share an id, null ones too, with different texts are
+documents each; texts of any length are read whole, and a group of blocks is bounded by the bytes of its sets; other
+columns may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, release, semi
+from .common import BROADCAST_ROWS, cut, fresh, prepare, semi
 from .components import components
 
 SKETCH = 64
@@ -43,9 +45,11 @@ OVERLAP = 3
 GROUPS = 16
 TUPLE = 3
 SLACK = 0.2
-BLOCK = 1024
-SLICE = 8192
-CACHE_WORDS = 500_000
+BLOCK = 512
+#: Shingles of the whole sets of a block, 8 bytes each; one larger set is a block of its own.
+BLOCK_SHINGLES = 500_000
+SLICE = 4096
+CACHE_WORDS = 200_000
 _MOST = 9223372036854775807
 
 
@@ -79,47 +83,55 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique((value >> np.uint64(1)).view(np.int64))
 
 
-def _doc_id(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("long"), F.lit(_MOST)).alias("doc_id")
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, tag and text: the tag tells apart rows that share an id."""
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_MOST)).alias("doc_id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
 
 
 def sketches(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n (set size), d1 and d2 (digest of the whole set) and the retained values."""
+    """doc_id, tag, n (set size), d1 and d2 (digest of the whole set) and the retained values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, one, two, kept = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                values = shingle_set(t, width)
+            for t in batch.column(2):
+                values = shingle_set(t.as_py(), width)
                 digest = xxhash.xxh3_128_digest(values.tobytes())
                 n.append(len(values))
                 one.append(int.from_bytes(digest[:8], "little", signed=True))
                 two.append(int.from_bytes(digest[8:], "little", signed=True))
-                kept.append(values[:SKETCH])
+                kept.append(values[:SKETCH].copy())
             flat = pa.array(np.concatenate(kept) if kept else np.empty(0, np.int64))
             at = pa.array(np.cumsum([0, *map(len, kept)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(at, flat)],
-                names=["doc_id", "n", "d1", "d2", "kept"])
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(at, flat)],
+                names=["doc_id", "tag", "n", "d1", "d2", "kept"])
 
-    return docs.select(_doc_id(doc_id), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, kept array<bigint>")
+    return _keyed(docs, doc_id, text).mapInArrow(run, "doc_id bigint, tag bigint, n bigint, d1 bigint, d2 bigint, kept array<bigint>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """(id, shingles) of the documents in ``ids`` (id)."""
+def of_classes(rows: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, tag, ...) of the documents that stand for the classes in ``ids``, once each, with the class as id."""
+    wanted = ids.join(classes.select("id", "doc_id", "tag"), "id")
+    few = ids.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(wanted) if few else wanted, ["doc_id", "tag"]).drop("doc_id", "tag")
+
+
+def full_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+    """(id, shingles) of the classes in ``ids`` (id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                found = [shingle_set(t, width) for t in part.column(1).to_pylist()]
+                found = [shingle_set(t.as_py(), width) for t in part.column(0)]
                 at = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate(found)))], names=["id", "shingles"])
+                    [part.column(1), pa.ListArray.from_arrays(at, pa.array(np.concatenate(found)))], names=["id", "shingles"])
 
-    rows = docs.select(_doc_id(doc_id).alias("id"), F.col(text).alias("text"))
-    return semi(rows, ids, "id").mapInArrow(run, "id bigint, shingles array<bigint>")
+    texts = of_classes(_keyed(docs, doc_id, text), classes, ids).select("text", "id")
+    # Repeated rows of one document give one set.
+    return texts.mapInArrow(run, "id bigint, shingles array<bigint>").dropDuplicates(["id"])
 
 
 def _tuple(group: int) -> Column:
@@ -243,7 +255,8 @@ def _cross_links(floor: float, percent: int):
 class _Links:
     """Verified links and the components they make."""
 
-    def __init__(self, docs: DataFrame, width: int, percent: int, doc_id: str, text: str):
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int, doc_id: str, text: str):
+        self.classes = classes
         self.docs, self.width, self.percent, self.names = docs, width, percent, (doc_id, text)
         self.true: DataFrame | None = None
         self.comps: DataFrame | None = None
@@ -259,7 +272,6 @@ class _Links:
         new = cut(self._verify(pairs, sets))
         self.true = new if self.true is None else self.true.union(new)
         self.comps = components(self.true)
-        release(self.docs.sparkSession)
 
     def connect(self, pairs: DataFrame) -> None:
         """Takes pairs that verified links connect."""
@@ -281,7 +293,7 @@ class _Links:
         pairs = cut(pairs)
         if pairs.isEmpty():
             return
-        sets = cut(full_sets(self.docs, _ends(pairs), self.width, *self.names))
+        sets = cut(full_sets(self.docs, self.classes, _ends(pairs), self.width, *self.names))
         if self.comps is None:
             # Of each class the likely link with the smallest partner: groups then form stars.
             likely = (F.col("est") >= self.percent / 100).alias("likely")
@@ -295,36 +307,35 @@ class _Links:
             self._add(left, sets)
 
 
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
-
-    Links join documents with 100 x intersection >= percent x union of their shingle sets.
-    """
+def _groups(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, tag, n and first (smallest doc_id and tag of the component) of every row; first is null for empty sets."""
     prepare(docs.sparkSession)
     floor = percent / 100 - SLACK
     rows = cut(sketches(docs, width, doc_id, text))
-    classes = cut(rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id")))
-    kept = rows.select(F.col("doc_id").alias("id"), "n", "kept")
-    links = _Links(docs, width, percent, doc_id, text)
+    found = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "tag")).alias("p"))
+    classes = cut(found.select("d1", "d2", "n", "p.doc_id", "p.tag", F.monotonically_increasing_id().alias("id")))
+    kept = rows.select("doc_id", "tag", "n", "kept")
+    links = _Links(docs, classes, width, percent, doc_id, text)
 
-    reps = rows.where("n > 0").select(F.col("doc_id").alias("id"), "n", F.slice("kept", 1, LISTED).alias("key")).dropDuplicates(["id"])
-    listed = reps.join(classes.select("id"), "id", "left_semi").select("id", "n", F.explode("key").alias("key"))
+    reps = rows.where("n > 0").select("doc_id", "tag", F.slice("kept", 1, LISTED).alias("key")).dropDuplicates(["doc_id", "tag"])
+    listed = reps.join(classes.select("doc_id", "tag", "id", "n"), ["doc_id", "tag"]).select("id", "n", F.explode("key").alias("key"))
     size = listed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = cut(listed.join(size, "key").select("key", "id", "n", "size"))
     pairs = _list_pairs(shared.where(F.col("size") <= LIST), percent).where(F.col("overlap") >= OVERLAP).select("a", "b")
 
     hot = shared.where(F.col("size") > LIST).groupBy("id", "n").agg(F.count(F.lit(1)).alias("hot"))
     hot = cut(hot.where(F.least(F.col("n"), F.lit(LISTED)) - F.col("hot") < COLD).select("id"))
-    members = cut(semi(kept, hot, "id").dropDuplicates(["id"]))
+    members = cut(of_classes(kept, classes, hot).dropDuplicates(["id"]))
     keyed = members.select("id", "n", F.explode(F.array(*[_tuple(g) for g in range(GROUPS)])).alias("t"))
     keyed = keyed.where("t.used").select("t.key", "id", "n")
-    size = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1"))
+    size = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("id").alias("hub")).where("size > 1"))
     pairs = cut(pairs.union(_list_pairs(keyed.join(size.where(F.col("size") <= LIST), "key"), percent).select("a", "b")).distinct())
-    near = semi(kept, _ends(pairs), "id").dropDuplicates(["id"])
+    near = of_classes(kept, classes, _ends(pairs)).dropDuplicates(["id"])
     x, y = (near.select(F.col("id").alias(k), F.col("kept").alias(f"{k}k")) for k in "ab")
     scored = pairs.join(x, "a").join(y, "b").select("a", "b", _estimate(F.col("ak"), F.col("bk")).alias("est")).where(F.col("est") >= floor)
 
-    large = size.where(F.col("size") > LIST).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
+    large = size.where(F.col("size") > LIST).withColumn("blocks", blocks)
     any_large = not large.isEmpty()
     if any_large:
         block = F.pmod(F.xxhash64("id", "key"), F.col("blocks"))
@@ -332,8 +343,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
         hubs = large.select("key", F.col("hub").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
         seats = inside.select("key", "id", "block", (F.col("id") == F.col("hub")).alias("is_hub")).union(hubs.withColumn("is_hub", F.lit(True)))
         seats = seats.join(members.select("id", "kept"), "id")
-        found = seats.groupBy("key", "block").applyInPandas(_hub_links(floor), "a bigint, b bigint, est double")
-        scored = scored.union(found).distinct()
+        met = seats.groupBy("key", "block").applyInPandas(_hub_links(floor), "a bigint, b bigint, est double")
+        scored = scored.union(met).distinct()
     links.resolve(scored)
 
     if any_large and links.comps is not None:
@@ -344,8 +355,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
         main = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
         split = cut(placed.join(main.select("key", F.col("m.comp").alias("main")), "key"))
         if not split.isEmpty():
-            release(docs.sparkSession)
-            sets = cut(full_sets(docs, cut(split.select("id").distinct()), width, doc_id, text).dropDuplicates(["id"]))
+            sets = cut(full_sets(docs, classes, cut(split.select("id").distinct()), width, doc_id, text))
             outside = split.where("comp <> main")
             whole, part = split.select("key", F.col("block").alias("y")).distinct(), outside.select("key", F.col("block").alias("x")).distinct()
             seats = outside.withColumnRenamed("block", "x").join(whole, "key").select("key", "x", "y", "id", "comp", F.lit(True).alias("stray"))
@@ -353,17 +363,29 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
             met = seats.join(sets, "id").groupBy("key", "x", "y").applyInPandas(_cross_links(floor, percent), "a bigint, b bigint")
             links.connect(cut(met.distinct()))
 
-    classes = classes.withColumnRenamed("id", "rep")
-    out = rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     if links.comps is not None:
-        out = out.join(links.comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        comps = links.comps.select(F.col("node").alias("id"), "component")
+        classes = classes.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        first = classes.groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("first"))
+        classes = classes.join(first, "component")
     else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    component = F.coalesce("component", "rep")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+        classes = classes.withColumn("first", F.struct("doc_id", "tag"))
+    return rows.select("doc_id", "tag", "n", "d1", "d2").join(classes.select("d1", "d2", "n", "first"), ["d1", "d2", "n"], "left").select("doc_id", "tag", "n", "first")
+
+
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document.
+
+    Links join documents with 100 x intersection >= percent x union of their shingle sets.
+    """
+    component = F.coalesce("first.doc_id", "doc_id")
+    return _groups(docs, width, percent, doc_id, text).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies the one with the smallest id."""
-    kept = near_groups(docs, width, percent, doc_id, text).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, F.coalesce(docs[doc_id].cast("long"), F.lit(_MOST)) == kept["__keep"], "left_semi")
+    key, tag = fresh(docs, "id", "tag")
+    found = _groups(docs, width, percent, doc_id, text)
+    gone = found.where("first is not null and first <> struct(doc_id, tag)").select(F.col("doc_id").alias(key), F.col("tag").alias(tag)).distinct()
+    same = (F.coalesce(F.col(doc_id).cast("long"), F.lit(_MOST)) == F.col(key)) & (F.xxhash64(text) == F.col(tag))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

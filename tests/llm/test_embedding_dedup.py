@@ -69,7 +69,15 @@ def test_empty_and_repeated(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert embedding_dedup.near_vectors(spark.createDataFrame([], schema)).count() == 0
     df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [2.0, 0.0], 1)], schema)
-    assert sorted(tuple(r)[:3] for r in embedding_dedup.near_vectors(df).collect()) == [(1, 1, 1), (1, 1, 1), (2**63 - 1, 1, 1)]
+    assert sorted(tuple(r)[:3] for r in embedding_dedup.near_vectors(df).collect()) == [(1, 2, 1), (1, 2, 1), (2**63 - 1, 2, 1)]
+
+
+def test_rows_of_one_id_are_vectors_each(spark):
+    most = 2**63 - 1
+    rows = [(None, [1.0, 0.0], "a"), (None, [0.0, 1.0], "a"), (5, [0.0, 2.0], "a"), (5, [1.0, 1.0], "a"), (None, [0.0, 1.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    got = sorted(tuple(r) for r in embedding_dedup.near_vectors(df).collect())
+    assert got == [(5, 0, 5, True), (5, 1, 5, True), (most, 0, most, True), (most, 0, most, True), (most, 1, 5, False)]
 
 
 def test_bound_holds():
