@@ -6,14 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters folded one to one, characters folded to several, characters dropped.
-FOLD_FROM = "–—‐‑‒− ‘’“”"
-FOLD_TO = "------ ''\"\""
-FOLD_LONG = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("…", "..."))
+FOLD_FROM = "\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u2013\u2014\u2015\u2010\u2011\u2212\u00a0"
+FOLD_TO = "'" * 4 + '"' * 3 + "-" * 6 + " "
+FOLD_LONG = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("…", "..."))
 DROPPED = "[\\x{F000}-\\x{F8FF}\\x{FFFD}'\"]+"
-#: White space as Python's str.isspace() has it, without the four separators U+001C to U+001F.
-SPACE = "[\\x09-\\x0D\\x20\\x85\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
-REFUSAL = "(?i)(do not know|don't know|cannot answer|can't answer|not (mentioned|specified|provided|stated)|no information|unable to)"
+#: White space as Python's str.isspace() has it.
+SPACE = "[\\x09-\\x0D\\x1C-\\x20\\x85\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+# Patterns of refusals and of reasoning blocks.
+REFUSAL = (
+    "(?i)(not (stated|specified|mentioned|given|provided|available|found)|does not (contain|specify|state|mention)|no (information|mention|answer)"
+    "|cannot (be )?(found|determined)|unable to (find|determine)|isn't (stated|specified))")
 EXPLICIT_REFUSAL = "(?i)^[ \\t\\r\\n]*i (do not|don't) know"
+CLOSED_BLOCK = "(?s)<think>.*?</think>"
+EMPTY_BLOCK = "<think>[ \\t]*\\r?\\n[ \\t]*\\r?\\n"
 
 
 def normalise_page(text: Column) -> Column:
@@ -30,11 +35,27 @@ def fold(text: Column) -> Column:
     return text
 
 
+def plain(text: Column) -> Column:
+    """Folded, without quotes, private-use characters and the replacement character."""
+    return F.regexp_replace(fold(text), DROPPED, "")
+
+
 def compact(text: Column) -> Column:
-    """Folded, lower case, without white space, quotes and private-use characters."""
+    """``plain`` in lower case without white space."""
     return F.regexp_replace(F.regexp_replace(F.lower(fold(text)), DROPPED, ""), SPACE, "")
 
 
+def compact_map(text: Column) -> Column:
+    """For each character of ``compact(text)`` the place in ``text``, from 0, of the one it comes from."""
+    places = F.transform(F.split(text, ""), lambda c, k: F.array_repeat(k, F.length(compact(c))))
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.flatten(places))
+
+
+def token_pieces(text: Column) -> Column:
+    """Each token of ``text``, after one-to-one folds and in lower case, with what stands before it since the last one."""
+    return F.regexp_extract_all(F.lower(F.translate(text, FOLD_FROM, FOLD_TO)), F.lit("[^0-9a-z]*[0-9a-z]+"), F.lit(0))
+
+
 def squash(text: Column) -> Column:
     """Runs of white space as one space, none at the edges."""
     return F.btrim(F.regexp_replace(text, SPACE, " "))
@@ -56,11 +77,11 @@ def number_set(text: Column) -> Column:
 def clean_answer(text: Column) -> Column:
     """An answer without its reasoning.
 
-    Closed think blocks go. An unclosed block that opens with a blank line is empty: its tail is the
-    answer. The tail of any other unclosed block goes. Stray tags and edge white space go last.
+    Closed think blocks go. An unclosed block that opens with a blank line is empty: it goes and its
+    tail is the answer. The tail of any other unclosed block goes. Stray tags and edge white space go last.
     """
-    text = F.regexp_replace(text, "(?s)<think>.*?</think>", "")
-    text = F.when(text.rlike("(?s)<think>[ \\t]*\\n[ \\t]*\\n"), text).otherwise(F.regexp_replace(text, "(?s)<think>.*$", ""))
+    text = F.regexp_replace(text, CLOSED_BLOCK, "")
+    text = F.when(text.rlike(EMPTY_BLOCK), F.regexp_replace(text, EMPTY_BLOCK, "")).otherwise(F.regexp_replace(text, "(?s)<think>.*$", ""))
     text = F.regexp_replace(text, "</?think>", "")
     return F.regexp_replace(F.regexp_replace(text, "^" + SPACE, ""), SPACE + "$", "")
 
@@ -68,8 +89,8 @@ def clean_answer(text: Column) -> Column:
 def thinking_tokens(text: Column) -> Column:
     """Tokens inside closed think blocks and in an unclosed, non-empty tail."""
     closed = F.array_join(F.regexp_extract_all(text, F.lit("(?s)<think>(.*?)</think>"), F.lit(1)), " ")
-    rest = F.regexp_replace(text, "(?s)<think>.*?</think>", "")
-    tail = F.when(rest.rlike("(?s)<think>[ \\t]*\\n[ \\t]*\\n"), "").otherwise(F.regexp_extract(rest, "(?s)<think>(.*)$", 1))
+    rest = F.regexp_replace(text, CLOSED_BLOCK, "")
+    tail = F.when(rest.rlike(EMPTY_BLOCK), "").otherwise(F.regexp_extract(rest, "(?s)<think>(.*)$", 1))
     return F.size(tokens(closed)) + F.size(tokens(tail))
 
 
@@ -104,3 +125,16 @@ REDACTED = (
     ("[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}", "<IP>"),
     ("\\+?[0-9]{1,3}[ -][(]?[0-9]{2,4}[)]?[ -][0-9]{3,4}[ -][0-9]{2,4}", "<PHONE>"),
 )
+
+
+def lenient_json(reply: Column) -> Column:
+    """The JSON of a reply: without code fences, else its first bracketed block; null if there is none."""
+    bare = F.regexp_replace(F.regexp_replace(reply, "(?m)^[ \\t]*```(json)?", ""), "(?m)```[ \\t]*$", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, "^" + SPACE, ""), SPACE + "$", "")
+    block = F.regexp_extract(bare, "(?s)(\\[.*\\]|\\{.*\\})", 1)
+    return F.when(F.try_parse_json(bare).isNotNull(), bare).when(block != "", block)
+
+
+def bad_scan_marks(text: Column) -> Column:
+    """Marks of bad character recognition: words read with l for I, and brackets inside words."""
+    return F.regexp_count(text, F.lit("\\b(lf|ln|lt|lssue|ls)\\b")) + F.regexp_count(text, F.lit("[a-z][\\]\\[\\\\|]{1,2}[a-z]"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,23 +15,36 @@ from tarn.functions import text as T
 # Fixed values of the retrieval setup.
 CHUNK, OVERLAP = 512, 64
 K1, B = 1.5, 0.75
+EPSILON = 0.25
 RRF_K, DEPTH = 60, 100
-#: Characters of a document from which grams are taken at a time.
-PIECE = 512
+#: Vectors and queries that are compared in one group.
+ROWS, QUERIES = 16_384, 4_096
 
 
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Token windows of each document: narrow, one pass, no shuffle."""
+    """Token windows of each document with the places of their characters: narrow, one pass, no shuffle.
+
+    ``text`` is the window's tokens joined by spaces, ``passage`` the document's own characters from the
+    window's first token to its last. Texts without tokens, and null texts, have no windows.
+    """
     step = size - overlap
-    rows = docs.select(F.col(doc_id).alias("doc_id"), T.tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
-    last = F.greatest(F.lit(0), F.ceil((F.size("tokens") - size) / step)).cast("int")
-    rows = rows.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), last)))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("whole"), T.token_pieces(F.col(text)).alias("pieces")).where(F.size("pieces") > 0)
+    last = F.greatest(F.lit(0), F.ceil((F.size("pieces") - size) / step)).cast("int")
+    total = lambda part: F.aggregate(part, F.lit(0), lambda s, p: s + F.length(p))
+    # Characters of each stride once; a window begins after the strides before it.
+    strides = F.transform(F.sequence(F.lit(0), last), lambda k: total(F.slice("pieces", k * step + 1, step)))
+    rows = rows.withColumn("strides", strides).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), last)))
     start = F.col("chunk_index") * step
-    rows = rows.withColumn("token_start", start).withColumn("token_end", F.least(start + size, F.size("tokens")))
+    rows = rows.withColumn("token_start", start).withColumn("token_end", F.least(start + size, F.size("pieces")))
+    rows = rows.withColumn("part", F.slice("pieces", F.col("token_start") + 1, F.col("token_end") - F.col("token_start")))
+    before = F.aggregate(F.slice("strides", F.lit(1), F.col("chunk_index")), F.lit(0), lambda s, x: s + x)
+    gap = F.length(F.regexp_extract(F.col("part")[0], "^[^0-9a-z]*", 0))
+    rows = rows.withColumn("char_start", before + gap).withColumn("char_end", before + total(F.col("part")))
+    words = F.transform("part", lambda p: F.regexp_replace(p, "^[^0-9a-z]+", ""))
     return rows.select(
         "doc_id", "chunk_index", F.format_string("%s::c%04d", F.col("doc_id").cast("string"), "chunk_index").alias("chunk_id"),
-        "token_start", "token_end", (F.col("token_end") - F.col("token_start")).alias("n_tokens"),
-        F.array_join(F.slice("tokens", F.col("token_start") + 1, F.col("token_end") - F.col("token_start")), " ").alias("text"))
+        "token_start", "token_end", (F.col("token_end") - F.col("token_start")).alias("n_tokens"), "char_start", "char_end",
+        F.array_join(words, " ").alias("text"), F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("passage"))
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -39,34 +57,35 @@ def idf_table(terms: DataFrame, n: Column, epsilon: float | None = None) -> Data
     """(term, df, idf) of postings; with ``epsilon`` negative values become epsilon x their mean."""
     idf = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     rows = terms.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).withColumn("idf", idf)
-    if epsilon is None:
-        return rows
-    mean = rows.agg((F.lit(epsilon) * F.avg("idf")).alias("floor"))
-    return rows.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).drop("floor")
+    return rows if epsilon is None else floored(rows, epsilon)
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, epsilon: float | None = None) -> DataFrame:
     """(query_id, doc_id, score) of every document that shares a term with a query (query_id, text).
 
-    Query terms count as often as they occur. Only the postings of query terms are joined; the
-    corpus totals are one row, computed from the documents in one pass.
+    Query terms count as often as they occur. Terms are exploded once and, unless the floor of ``epsilon`` needs
+    the statistics of all, filtered by the queries' terms before they shuffle. Document frequencies are grouped counts.
     """
     wanted = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    sized = docs.select("doc_id", F.size(T.tokens(F.col("text"))).cast("double").alias("dl"), "text")
+    sized = docs.select("doc_id", F.regexp_count(F.lower("text"), F.lit("[0-9a-z]+")).cast("double").alias("dl"))
     totals = sized.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = sized.select("doc_id", "dl", F.explode(T.tokens(F.col("text"))).alias("term"))
-    if epsilon is None:  # statistics of other terms are not needed
-        terms = terms.join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = terms.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    tf = tf.crossJoin(F.broadcast(totals))
-    # df by a window over the term: the postings are shuffled once for it and for the join.
-    df = F.count(F.lit(1)).over(Window.partitionBy("term")).cast("double")
+    words = docs.select("doc_id", T.tokens(F.col("text")).alias("words")).select("doc_id", F.size("words").cast("double").alias("dl"), F.explode("words").alias("term"))
+    asked = wanted.select("term").distinct()
     if epsilon is None:
-        tf = tf.withColumn("idf", F.log(F.col("n") - df + 0.5) - F.log(df + 0.5))
-    else:
-        tf = tf.join(idf_table(tf.select("term", "doc_id"), F.lit(docs.count()).cast("double"), epsilon).select("term", "idf"), "term")
+        words = words.join(asked, "term", "left_semi")
+    tf = words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).crossJoin(F.broadcast(totals))  # totals: one row
+    df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    if epsilon is not None:
+        df, tf = floored(df, epsilon).join(asked, "term", "left_semi"), tf.join(asked, "term", "left_semi")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return tf.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return tf.join(wanted.join(df, "term"), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def floored(idf: DataFrame, epsilon: float) -> DataFrame:
+    """Negative values of ``idf`` become epsilon x the mean of all values; the mean is one row."""
+    mean = idf.agg((F.lit(epsilon) * F.avg("idf")).alias("floor"))
+    return idf.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).drop("floor")
 
 
 def overlap_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -82,13 +101,58 @@ def ranked(scores: DataFrame, k: int, item: str = "doc_id") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _unit(rows: pd.Series) -> np.ndarray:
+    x = np.stack([np.asarray(v, dtype=float) for v in rows])
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm == 0, np.nan, norm)
+
+
+def _best(k: int):
+    """The k best vectors of a group for each query of the group, by one matrix product."""
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        kinds = (queries.schema.field("query_id").type, vectors.schema.field("vec_id").type, pa.float64())
+        found = [pa.table([pa.array([], kind) for kind in kinds], names=["query_id", "vec_id", "score"])]
+        if vectors.num_rows and queries.num_rows:
+            ids, asked = (np.asarray(t[c].to_pylist(), dtype=object) for t, c in ((vectors, "vec_id"), (queries, "query_id")))
+            place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+            score = np.round(_unit(queries["embedding"].to_pandas()) @ _unit(vectors["embedding"].to_pandas()).T, 6)
+            for q, row in zip(asked, score, strict=True):
+                row[ids == q] = np.nan
+                order = np.lexsort((place, -row))[: min(k, int(np.isfinite(row).sum()))]
+                found.append(pa.table([pa.array([q] * len(order), kinds[0]), pa.array(ids[order], kinds[1]), pa.array(row[order])], names=["query_id", "vec_id", "score"]))
+        return pa.concat_tables(found)
+
+    return run
+
+
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The k nearest of (vec_id, embedding) for each query (query_id, embedding), itself left out."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    pairs = vectors.crossJoin(q).where("vec_id <> query_id")
-    cosine = dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q"))
-    return ranked(pairs.select("query_id", "vec_id", F.round(cosine, 6).alias("score")), k, "vec_id")
+    """The k nearest of (vec_id, embedding) for each query (query_id, embedding), itself left out.
+
+    Exact: each of the groups of ``ROWS`` vectors meets each of the groups of ``QUERIES`` queries in one matrix product, whose
+    k best are all that leaves it. Group numbers come from counts, so a group fits in memory at any size of the tables.
+    Null and zero vectors are in no ranking; all vectors have one length.
+    """
+    vectors, queries = vectors.where("embedding is not null").select("vec_id", "embedding"), queries.where("embedding is not null").select("query_id", "embedding")
+    across, down = (max(1, -(-n.count() // size)) for n, size in ((vectors, ROWS), (queries, QUERIES)))
+    across = max(across, vectors.sparkSession.sparkContext.defaultParallelism)
+    x = vectors.withColumn("p", F.pmod(F.xxhash64("vec_id"), F.lit(across))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
+    y = queries.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(down))).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    found = x.groupBy("p", "q").cogroup(y.groupBy("p", "q")).applyInArrow(_best(k), f"query_id {kind(queries, 'query_id')}, vec_id {kind(vectors, 'vec_id')}, score double")
+    return ranked(found, k, "vec_id")
+
+
+def filled(scores: DataFrame, items: DataFrame, queries: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``scores`` with items of score 0 for queries that match fewer than ``depth``: the first by id.
+
+    ``depth`` items beyond those that match are enough, so only the first 2 x depth ids can be needed; that side has so many rows.
+    """
+    matches = scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    short = queries.select("query_id").join(matches, "query_id", "left").where(F.coalesce("n", F.lit(0)) < depth).select("query_id")
+    first = items.select("doc_id").orderBy("doc_id").limit(2 * depth)
+    zeros = short.crossJoin(F.broadcast(first)).join(scores.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    return scores.unionByName(zeros.withColumn("score", F.lit(0.0)))
 
 
 def fuse(one: DataFrame, two: DataFrame, k: int = 10) -> DataFrame:
@@ -110,25 +174,49 @@ def recall(rankings: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5,
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"), *flags)
 
 
-def located(docs: DataFrame, passages: DataFrame, width: int = 16) -> DataFrame:
+#: Character and length of the grams under which documents and passages meet.
+ANCHOR, WIDTH = "e", 16
+
+
+def located(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(passage_id, doc_id, position) of every passage whose compact form a document contains.
 
-    The first ``width`` characters of a passage's compact form are the key under which documents that
-    hold them are found; shorter ones are compared with all documents.
+    The key of a passage is the ``WIDTH`` characters of its compact form that follow its first ANCHOR, so that only those
+    that follow an ANCHOR are taken of documents. Passages without such characters have their first ones as key,
+    for which documents give all grams of that length. Texts are fetched for the pairs that meet, and compared whole.
     """
-    p = passages.select("passage_id", T.compact(F.col("text")).alias("needle"))
+    p = passages.select("passage_id", T.compact(F.col("text")).alias("needle")).where("needle <> ''")
     d = docs.select("doc_id", T.compact(F.col("text")).alias("hay"))
-    gram = lambda c, at: F.xxhash64(c.substr(at, F.lit(width)))
-    first = p.where(F.length("needle") >= width).withColumn("key", gram(F.col("needle"), F.lit(1)))
-    # Grams are taken from pieces of a document, as finding the n-th character takes n steps.
-    starts = F.sequence(F.lit(0), F.expr(f"cast((length(hay) - {width}) div {PIECE} as int)"))
-    pieces = F.transform(starts, lambda b: F.col("hay").substr(b * PIECE + 1, F.lit(PIECE + width - 1)))
-    rows = d.where(F.length("hay") >= width).select("doc_id", F.explode(pieces).alias("piece"))
-    keys = F.transform(F.sequence(F.lit(1), F.length("piece") - width + 1), lambda k: gram(F.col("piece"), k))
-    keyed = rows.select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
-    keyed = keyed.join(first.select("key").distinct(), "key", "left_semi").distinct()
-    met = keyed.join(first, "key").select(F.col("doc_id").alias("at"), "passage_id", "needle")
-    rows = d.join(met, F.col("doc_id").eqNullSafe(F.col("at"))).select("passage_id", "doc_id", "needle", "hay")
-    short = p.where((F.length("needle") < width) & (F.length("needle") > 0))
-    rows = rows.union(d.crossJoin(short).select("passage_id", "doc_id", "needle", "hay"))
+    grams = lambda anchor, width: f"(?s){anchor}(?=(.{{{width}}}))"
+    p = p.withColumn("key", F.regexp_extract("needle", grams(ANCHOR, WIDTH), 1))
+    p = p.withColumn("width", F.when(F.col("key") == "", F.least(F.lit(WIDTH), F.length("needle"))).otherwise(0))
+    p = p.withColumn("key", F.when(F.col("width") > 0, F.substring("needle", F.lit(1), F.col("width"))).otherwise(F.col("key")))
+    p = p.withColumn("key", F.xxhash64("width", "key"))
+    met = None
+    for (width,) in p.select("width").distinct().collect():  # WIDTH + 1 rows at most
+        found = F.array_distinct(F.regexp_extract_all("hay", F.lit(grams("" if width else ANCHOR, width or WIDTH)), F.lit(1)))
+        rows = d.select("doc_id", F.explode(found).alias("gram")).select("doc_id", F.xxhash64(F.lit(width), "gram").alias("key"))
+        met = rows if met is None else met.union(rows)
+    if met is None:
+        return p.select("passage_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).alias("position")).limit(0)
+    pairs = met.join(p.select("key", "passage_id", "needle"), "key").select(F.col("doc_id").alias("at"), "passage_id", "needle").distinct()
+    rows = d.join(pairs, F.col("doc_id").eqNullSafe(F.col("at")))
     return rows.where(F.col("hay").contains(F.col("needle"))).select("passage_id", "doc_id", F.expr("instr(hay, needle)").alias("position"))
+
+
+def located_spans(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(passage_id, doc_id, lo, hi): the characters lo to hi - 1 of the document that hold the earliest match of each located passage."""
+    found = located(docs, passages).join(passages.select("passage_id", F.length(T.compact(F.col("text"))).alias("n")), "passage_id")
+    rows = found.join(docs.select("doc_id", "text"), "doc_id").withColumn("map", T.compact_map(F.col("text")))
+    return rows.select("passage_id", "doc_id", F.get("map", F.col("position") - 1).alias("lo"), (F.get("map", F.col("position") + F.col("n") - 2) + 1).alias("hi"))
+
+
+def overlapping(spans: DataFrame, parts: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Spans (doc_id, lo, hi) with the parts (doc_id, ...) of the document that they overlap."""
+    return spans.join(parts, (spans["doc_id"] == parts["doc_id"]) & (parts[lo] < spans["hi"]) & (parts[hi] > spans["lo"])).drop(parts["doc_id"])
+
+
+def page_of(points: DataFrame, pages: DataFrame) -> DataFrame:
+    """points (point_id, doc_id, at) with the first page (doc_id, page_no, span_start, span_end) that holds ``at``, ends included."""
+    met = points.join(pages, "doc_id", "left").where("span_start <= at and at <= span_end")
+    return met.groupBy("point_id").agg(F.min("page_no").alias("page_no"))

@@ -94,16 +94,21 @@ SPARK_BLOCKS = "(select explode(array(1, 2, 4, 8, 16, 24, 32, 48, 64, 80, 96)) a
 DUCK_BLOCKS = "(select unnest([1, 2, 4, 8, 16, 24, 32, 48, 64, 80, 96]) as b)"
 SPARK_POWERS = "(select explode(transform(sequence(4, 40), i -> i / 20D)) as p)"
 DUCK_POWERS = "(select unnest(range(4, 41)) / 20.0::double as p)"
+FORMS = {"linear": ("cast(work as double)", "(select 0e0 as q)"), "block": ("cast(ceil(work / q) as double)", "(select cast(b as double) as q from BLOCKS x)"), "power": ("power(cast(work as double), q)", "(select p as q from POWERS x)")}
 
 
 def fits(rows: str, form: str) -> str:
-    """The least-squares form of each cell of ``rows`` with the smallest squared error: x, slope, intercept."""
-    x, table_ = {"linear": ("cast(work as double)", "(select 0 as q)"), "block": ("cast(ceil(work / cast(q as double)) as double)", "(select b as q from BLOCKS x)"),
-                 "power": ("power(cast(work as double), q)", "(select p as q from POWERS x)")}[form]
+    """The least-squares form of each cell of ``rows`` with the smallest squared error: q, slope, intercept.
+
+    Rows of one work size are summed before they meet the candidates, so that these multiply sums and not rows.
+    """
+    x, candidates = FORMS[form]
     return f"""(select model, device, q, slope, intercept, sse from (select *, row_number() over (partition by model, device order by sse, q) as k from
-      (select model, device, q, regr_slope(joules, {x}) as slope, regr_intercept(joules, {x}) as intercept,
-         round(regr_syy(joules, {x}) - power(regr_sxy(joules, {x}), 2) / nullif(regr_sxx(joules, {x}), 0), 4) as sse
-       from {rows} r cross join {table_} c group by model, device, q) y where sse is not null) z where k = 1)"""
+      (select model, device, q, slope, (sy - slope * sx) / n as intercept, round(syy - sy * sy / n - slope * (sxy - sx * sy / n), 4) as sse from
+       (select *, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) as slope from
+        (select model, device, q, sum(n) as n, sum(n * x) as sx, sum(n * x * x) as sxx, sum(y) as sy, sum(x * y) as sxy, sum(yy) as syy from
+         (select model, device, q, n, y, yy, {x} as x from (select model, device, work, cast(count(*) as double) as n, sum(joules) as y, sum(joules * joules) as yy from {rows} r group by model, device, work) w cross join {candidates} c) p
+        group by model, device, q) o) t) y where sse is not null) z where k = 1)"""
 
 
 def two_dialects(name: str, sql: str) -> None:
@@ -115,14 +120,23 @@ def two_dialects(name: str, sql: str) -> None:
 
 
 two_dialects("energy_block_fit", f"select model, device, cast(q as bigint) as block, round(slope, 5) as slope, round(intercept, 4) as intercept from {fits('{grid}', 'block')} f")
-two_dialects("energy_power_fit", f"select model, device, cast(q as double) as p, round(slope, 4) as slope, round(intercept, 4) as intercept from {fits('{grid}', 'power')} f")
+two_dialects("energy_power_fit", f"select model, device, q as p, round(slope, 4) as slope, round(intercept, 4) as intercept from {fits('{grid}', 'power')} f")
 
 _TRAIN = "(select * from {grid} t where rep < 4)"
-_AT = {"linear": "cast(work as double)", "block": "cast(ceil(work / cast(q as double)) as double)", "power": "power(cast(work as double), q)"}
-_HELD = " union all ".join(
-    f"""select f.model, f.device, '{form}' as form, round(avg(abs(joules - greatest(0, slope * {_AT[form]} + intercept))), 5) as mae, min(round(slope * {_AT[form]} + intercept, 4)) as least
-    from (select * from {{grid}} h where rep = 4) g join {fits(_TRAIN, form)} f on g.model = f.model and g.device = f.device group by 1, 2, 3""" for form in _AT)
-two_dialects("energy_form_choice", f"select model, device, form, mae from (select *, row_number() over (partition by model, device order by case when least < 0 then 1 else 0 end, mae, form) as k from ({_HELD}) u) v where k = 1")
+_SCORED = " union all ".join(
+    f"""select h.model, h.device, '{form}' as form, h.mae, h.mape, f.q, f.slope, f.intercept, f.least from
+      (select g.model, g.device, avg(abs(joules - (slope * {x} + intercept))) as mae, avg(abs(joules - (slope * {x} + intercept)) / greatest(joules, 1e-9)) * 100 as mape
+       from (select * from {{grid}} h where rep = 4) g join {fits(_TRAIN, form)} f on g.model = f.model and g.device = f.device group by g.model, g.device) h
+      join (select f.model, f.device, q, slope, intercept, min(slope * {x} + intercept) as least from (select distinct model, device, work from {{grid}} a) w join {fits('{grid}', form)} f on w.model = f.model and w.device = f.device
+       group by f.model, f.device, q, slope, intercept) f on h.model = f.model and h.device = f.device""" for form, (x, _) in FORMS.items())
+#: The form of each cell with the least held-out error among those that predict no negative energy, fitted on all rows.
+_CHOSEN = f"(select * from (select *, row_number() over (partition by model, device order by case when least < 0 then 1 else 0 end, round(mae, 5), form) as k from ({_SCORED}) u) v where k = 1)"
+two_dialects("energy_form_choice", f"select model, device, form, round(mae, 5) as mae, round(mape, 3) as mape, least >= 0 as valid, q, round(slope, 4) as slope, round(intercept, 3) as intercept from {_CHOSEN} c")
+_AT = "case form " + " ".join(f"when '{form}' then {x}" for form, (x, _) in FORMS.items()).replace("work / q", "work / nullif(q, 0)") + " end"
+two_dialects("energy_predict", f"""select qid, round(prefill, 4) as e_prefill, round(decode, 4) as e_decode, retrieval as e_retrieval, round(prefill + decode + retrieval, 4) as e_total from
+    (select qid, greatest(0e0, c.slope * {_AT} + c.intercept) as prefill, greatest(0e0, d.slope * kind) as decode, case when cond = 'rag' or cond = 'oracle' and kind = 5 then 0.0773e0 else 0e0 end as retrieval
+     from {{grid}} g join {_CHOSEN} c on g.model = c.model and g.device = c.device
+     join (select model as m, device as e, regr_slope(joules, kind) as slope from {{grid}} s group by model, device) d on g.model = d.m and g.device = d.e) x""")
 
 RATERS = "(select doc_id, quality as a, 1 - toxic as b, doc_id % 4 as kind from {labels})"
 KAPPA = """case when pe = 1 then 1e0 else (po - pe) / (1 - pe) end"""
@@ -138,31 +152,53 @@ portable("kappa_by_kind", f"select kind, n, round(kappa, 6) as kappa from {kappa
 portable("confusion", f"select a, count_if(b = 0) as b0, count_if(b = 1) as b1 from {RATERS} r group by a")
 portable("disagreement_direction", f"select count_if(a > b) as harsher, count_if(a < b) as milder, case when avg(case when a > b then 1e0 when a < b then 0e0 end) > 0.65 then 'harsher' when avg(case when a > b then 1e0 when a < b then 0e0 end) < 0.35 then 'milder' else 'even' end as skew from {RATERS} r")
 
-_DRAWS = f"""(select s.b as draw, hex8<<concat(cast(s.b as string), ':', cast(r.i as string))>> % r.n as pick from
-    (select row_number() over (order by doc_id) - 1 as i, count(*) over () as n from {RATERS} q) r cross join DRAWS s)"""
-_RESAMPLED = f"(select d.draw, r.a, r.b from {_DRAWS} d join (select row_number() over (order by doc_id) - 1 as i, a, b from {RATERS} q) r on r.i = d.pick)"
-_BOOT = f"select min(case when k = 6 then kappa end) as low, min(case when k = 196 then kappa end) as high, count(*) as draws from (select round(kappa, 6) as kappa, row_number() over (order by kappa) as k from {kappa(_RESAMPLED, 'draw')} b) c"
-portable("kappa_bootstrap", _BOOT)
-_BOOT_SPARK = _dialect(_BOOT, "", "cast(conv(substr(sha2({}, 256), 1, 8), 16, 10) as bigint)").replace("DRAWS s", "(select explode(sequence(0, 199)) as b) s")
-QUERIES["kappa_bootstrap"] = lambda spark, sf: spark.sql(_BOOT_SPARK, labels=table(spark, sf, "labels"))
-ORACLES["kappa_bootstrap"] = ORACLES["kappa_bootstrap"].replace("DRAWS s", "(select unnest(range(0, 200)) as b) s")
+# A resample draws n row numbers by hash, eight to a digest; rows in the order of their grades need only the counts of the four grade pairs.
+_HASHED = "(select s.b as draw, kind, n, sha<<concat(cast(s.b as string), ':', cast(kind as string), ':', cast(e.j as string))>> as h, e.j as j from (select kind, n, EIGHTS from {cells} t) e cross join DRAWS s)"
+_PICKS = "(select draw, kind, n, (HEX) % n as pick from (select draw, kind, n, h, j, PLACES from {hashed} d) e where j * 8 + i < n)"
+
+
+def bootstrap(by: str, draws: int, low: int, high: int) -> dict[str, str]:
+    """Spark and DuckDB texts of the interval of kappa over ``draws`` resamples, from the values of rank ``low`` and ``high`` from 0."""
+    pairs = [(a, b) for a in (0, 1) for b in (0, 1)]
+    counts = ", ".join(f"count_if(a = {a} and b = {b}) as c{a}{b}" for a, b in pairs)
+    cells = f"(select {by} as kind, count(*) as n, {counts} from {RATERS} q group by {by} having count(*) >= 10)"
+    hashed = _HASHED.replace("{cells}", cells)
+    rows = _PICKS.replace("{hashed}", hashed)
+    dealt = f"""(select draw, p.kind, case when pick < c00 + c01 then 0 else 1 end as a, case when pick < c00 then 0 when pick < c00 + c01 then 1 when pick < c00 + c01 + c10 then 0 else 1 end as b
+        from {rows} p join {cells} t on p.kind = t.kind)"""
+    sql = f"""select kind, max(case when k = {low + 1} then kappa end) as low, max(case when k = {high + 1} then kappa end) as high, count(*) as draws from
+      (select kind, round(kappa, 6) as kappa, row_number() over (partition by kind order by kappa) as k from {kappa(dealt, 'draw, kind')} b) c group by kind"""
+    spark_sql = _dialect(sql, "sha2({}, 256)", "").replace("EIGHTS", "explode(sequence(0L, (n - 1) div 8)) as j").replace("PLACES", "explode(sequence(0, 7)) as i").replace("HEX", "cast(conv(substr(h, i * 8 + 1, 8), 16, 10) as bigint)")
+    duck_sql = _dialect(sql, "sha256({})", "").replace("EIGHTS", "unnest(range(0, (n - 1) // 8 + 1)) as j").replace("PLACES", "unnest(range(0, 8)) as i").replace("HEX", "cast('0x' || substr(h, i * 8 + 1, 8) as bigint)")
+    return {"spark": spark_sql.replace("DRAWS s", f"(select explode(sequence(0, {draws - 1})) as b) s"), "duck": duck_sql.replace("DRAWS s", f"(select unnest(range(0, {draws})) as b) s").replace("{labels}", "labels")}
+
+
+def _register_bootstrap(name: str, texts: dict[str, str]) -> None:
+    QUERIES[name] = lambda spark, sf: spark.sql(texts["spark"], labels=table(spark, sf, "labels"))
+    ORACLES[name] = texts["duck"]
+
+
+_register_bootstrap("kappa_bootstrap", bootstrap("kind * 0", 2000, 50, 1950))
+_register_bootstrap("kappa_bootstrap_by_kind", bootstrap("kind", 1000, 25, 975))
 
 portable("resume_anti_join", "select o_orderkey, o_totalprice from {orders} o where not exists (select 1 from {lineitem} l where l.l_orderkey = o.o_orderkey and l.l_returnflag = 'R')")
 portable("star_join", """select n_name, count(*) as orders, round(sum(o_totalprice), 2) as total from {orders} o join {customer} c on o.o_custkey = c.c_custkey join {nation} n on c.c_nationkey = n.n_nationkey
     join {region} r on n.n_regionkey = r.r_regionkey where o_orderstatus <> 'P' group by n_name""")
 portable("grid_cross", "select m.model, c.cond, d.device from (select distinct model from {grid} a) m cross join (select distinct cond from {grid} b) c cross join (select distinct device from {grid} e) d")
 portable("freeze_hash", "select source, count(*) as n, sum(hex8<<concat(cast(doc_id as string), ':', text)>>) as digest from {documents} d group by source")
-portable("freeze_diff", """select count_if(side = 'old') as gone, count_if(side = 'new') as added, case when count(*) = 0 then 'IDENTICAL' else 'DRIFTED' end as verdict from
-    (select 'old' as side, doc_id from (select doc_id, text from {documents} a where doc_id % 97 <> 3 except select doc_id, text from {documents} b where doc_id % 89 <> 5) x
-     union all select 'new', doc_id from (select doc_id, text from {documents} c where doc_id % 89 <> 5 except select doc_id, text from {documents} d where doc_id % 97 <> 3) y) z""")
-portable("set_operations", """select (select count(*) from (select doc_id from {documents} a where doc_id % 2 = 0 union select doc_id from {labels} b) u) as united,
-    (select count(*) from (select doc_id from {documents} a where doc_id % 2 = 0 intersect select doc_id from {labels} b) i) as common,
-    (select count(*) from (select doc_id from {documents} a where doc_id % 2 = 0 except select doc_id from {labels} b) e) as only_left,
-    (select count(*) from (select doc_id from {labels} a where doc_id not in (select doc_id from {documents} b)) s) as outside""")
+_OLD, _NEW = "select doc_id, text from {documents} a", "select doc_id, replace(text, ' the ', ' The ') as text from {documents} b"
+_DIFF = f"""select count(case when side = 'old' then 1 end) as gone, count(case when side = 'new' then 1 end) as added, case when count(*) = 0 then 'IDENTICAL' else 'DRIFTED' end as verdict from
+    (select 'old' as side, doc_id from ({_OLD} except {_NEW}) x union all select 'new', doc_id from ({_NEW} except {_OLD}) y) z"""
+portable("freeze_diff", _DIFF)
+portable("set_operations", """select (select count(*) from (select doc_id from {documents} a union select doc_id from {labels} b) u) as united,
+    (select count(*) from (select doc_id from {documents} a intersect select doc_id from {labels} b) i) as common,
+    (select count(*) from (select doc_id from {documents} a except select doc_id from {labels} b) e) as only_left,
+    (select count(*) from {labels} a where not exists (select 1 from {documents} b where b.doc_id = a.doc_id)) as outside,
+    (select count(*) from (select lang from {documents} d group by lang having count_if(not exists_) = 0) s) as subset_langs""".replace("from {documents} d group by lang having count_if(not exists_) = 0", "from (select d.lang, case when l.doc_id is null then 1 else 0 end as without from {documents} d left join {labels} l on d.doc_id = l.doc_id) j group by lang having sum(without) = 0"))
 portable("uniqueness_check", "select count(*) as n, count(distinct doc_id) as ids, count(distinct text) as texts, count_if(text is null) as missing, count_if(n_chars <> length(text)) as wrong from {documents} d")
 portable("corpus_verdict", """select verdict, count(*) as n, sum(n_chars) as chars from (select n_chars, case when source = 'src1' then 'keep' when source = 'src2' then 'reject'
     when n_chars < 200 then 'scan' else 'keep' end as verdict from {documents} d) x group by verdict""")
-portable("prompt_hash", "select item_id, sha<<concat('[1] ', text, chr(10), chr(10), '[2] ', substr(text, 1, 20), chr(10), 'Question ', cast(item_id as string))>> as prompt from {benchmark} b")
+portable("prompt_hash", "select item_id, sha<<concat('[1] ', text, chr(10), chr(10), '[2] ', lower(text), chr(10), 'Question ', cast(item_id as string))>> as prompt from {benchmark} b")
 portable("doc_id_of_source", "select distinct source, lower(regexp_replace(concat(source, '.v2.PDF'), '[.][^.]*$', '')) as doc from {documents} d")
 portable("percent_format", "select cond, case when count(*) = 0 then '-' else cast(cast(round(100.0 * count_if(score = 2) / count(*), 1) as decimal(5,1)) as string) end as share from {grid} g group by cond")
 

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that define QUERIES and ORACLES.
-MODULES = ("text_queries", "evaluation_queries")
+MODULES = ("text_queries", "chunk_queries", "evaluation_queries", "grading_queries")
 
 
 def _gather(name: str) -> dict:

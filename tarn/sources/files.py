@@ -40,6 +40,47 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """JSON lines, one object for each row; null fields are left out."""
+    rows.write.mode("overwrite").json(path)
+
+
+def replace(rows: DataFrame, path: str) -> None:
+    """Writes a table beside ``path`` and then puts it in its place, so that readers find the old one or the new one whole."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{path}.tmp")
+    jvm = spark.sparkContext._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
+    system = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(old, True)
+    if not system.rename(new, old):
+        raise OSError(f"cannot rename {path}.tmp")
+    spark.catalog.refreshByPath(path)
+
+
+HEADER, FIELD = "^## Q([0-9]+)[ \\t]*$", "^- \\*\\*([a-z0-9_]+):\\*\\* (.*)$"
+
+
+def read_records(spark: SparkSession, folder: str) -> DataFrame:
+    """qid ({file stem}::Q{n}), md, q_num and fields of the records in the Markdown files of a folder, subfolders left out.
+
+    The last value of a repeated field counts, lines before the first header none. Texts are single files, so their lines are one row.
+    """
+    rows = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+    stem = F.regexp_replace(F.substring_index(F.col("_metadata.file_path"), "/", -1), "[.]md$", "")
+    rows = rows.select(stem.alias("md"), F.explode(F.split(F.replace("value", F.lit("\r\n"), F.lit("\n")), "(?m)^(?=## Q[0-9]+[ \\t]*$)")).alias("body"))
+    rows = rows.select("md", F.split("body", "\n").alias("lines")).withColumn("q_num", F.regexp_extract(F.col("lines")[0], HEADER, 1)).where("q_num <> ''")
+    pairs = F.transform(F.filter("lines", lambda x: x.rlike(FIELD)), lambda x: F.struct(F.regexp_extract(x, FIELD, 1).alias("k"), F.regexp_extract(x, FIELD, 2).alias("v")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
+    return rows.select(F.concat("md", F.lit("::Q"), "q_num").alias("qid"), "md", F.col("q_num").cast("int").alias("q_num"), F.map_from_entries(last).alias("fields"))
+
+
+def source_references(records: DataFrame) -> DataFrame:
+    """The distinct document ids that records name as sources; null ones are left out."""
+    names = records.select(F.explode(F.array(F.col("fields")["source"], F.col("fields")["source2"])).alias("source"))
+    return names.where("source is not null and source <> 'null'").select(T.doc_id_of(F.trim("source")).alias("doc_id")).distinct()
+
+
 def read_worksheet(spark: SparkSession, path: str, grade: str) -> DataFrame:
     """CSV rows whose grade is filled in."""
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).where(F.trim(grade) != "")
@@ -49,7 +90,7 @@ def write_worksheet(rows: DataFrame, path: str, grade: str) -> None:
     rows.withColumn(grade, F.lit("")).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
-def _names(spark: SparkSession, folder: str) -> list[str]:
+def names(spark: SparkSession, folder: str) -> list[str]:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -58,15 +99,20 @@ def _names(spark: SparkSession, folder: str) -> list[str]:
 
 def latest(spark: SparkSession, folder: str, pattern: str) -> str:
     """Path of the last file by name."""
-    found = sorted(n for n in _names(spark, folder) if re.fullmatch(pattern, n))
+    found = sorted(n for n in names(spark, folder) if re.fullmatch(pattern, n))
     if not found:
         raise FileNotFoundError(f"no {pattern} in {folder}")
     return f"{folder}/{found[-1]}"
 
 
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the frozen versions v<N>."""
+    return [int(m[1]) for n in names(spark, folder) if (m := re.fullmatch(r"v([0-9]+)", n))]
+
+
 def latest_version(spark: SparkSession, folder: str) -> int:
-    """Highest frozen version v<N>, compared as a number; 0 if there is none."""
-    return max((int(m[1]) for n in _names(spark, folder) if (m := re.fullmatch(r"v([0-9]+)", n))), default=0)
+    """Highest frozen version, compared as a number; 0 if there is none."""
+    return max(versions(spark, folder), default=0)
 
 
 def freeze(tables: dict[str, DataFrame], folder: str, version: int) -> None:

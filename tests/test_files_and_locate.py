@@ -1,24 +1,64 @@
+import random
+
 import pytest
 
-from tarn.operators import locate
+from tarn.operators import index, locate
+from tarn.operators import retrieval as R
+from tarn.plans import phases
 from tarn.sources import files
 from tarn.streaming import log
 
 
+def segments(passage, words):
+    found, coverage = locate.Document(words).segments(passage)
+    return [x[1:] for x in found], coverage
+
+
 def test_alignment():
     words = "a b c d e f g h i j k l m n o p".split()
-    at = locate.positions_of(words)
-    assert locate.segments("c d e f g".split(), at) == ([(2, 6)], 1.0)
-    assert locate.segments("a b c d e X g h i j k".split(), at)[1] == pytest.approx(10 / 11)
-    assert locate.segments("c d X f g".split(), at)[1] < 1
-    assert locate.segments("a b c d e X p".split(), at)[0] == [(0, 4)]
-    spans, coverage = locate.segments("a b c d e k l m n o".split(), at)
-    assert coverage == 1.0 and spans == [(0, 14)]
-    assert locate.segments("q r s t u v".split(), at) == ([], 0.0)
-    assert locate.segments([], at) == ([], 0.0)
+    assert segments("c d e f g".split(), words) == ([(2, 6)], 1.0)
+    assert segments("a b c d e X g h i j k".split(), words)[1] == pytest.approx(10 / 11)
+    assert segments("c d X f g".split(), words)[1] < 1
+    assert segments("a b c d e X p".split(), words)[0] == [(0, 4)]
+    assert segments("a b c d e k l m n o".split(), words) == ([(0, 14)], 1.0)
+    assert segments("q r s t u v".split(), words) == segments([], words) == segments("a b".split(), []) == ([], 0.0)
     far = [*words, *(f"z{k}" for k in range(500)), *"q1 q2 q3 q4 q5 q6".split()]
-    spans, _ = locate.segments("a b c d e f q1 q2 q3 q4 q5 q6".split(), locate.positions_of(far))
-    assert spans == [(0, 5), (516, 521)]
+    assert segments("a b c d e f q1 q2 q3 q4 q5 q6".split(), far)[0] == [(0, 5), (516, 521)]
+
+
+def densest(run, words):
+    """The greatest density over all stretches that start at any place, by trying every start and end."""
+    best = 0.0
+    for first in range(len(words)):
+        k = 0
+        for last in range(first, len(words)):
+            k += words[last] == run[k]
+            if k == len(run):
+                best = max(best, len(run) / (last - first + 1))
+                break
+    return best
+
+
+def test_density_is_that_of_all_stretches():
+    r = random.Random(4)
+    for _ in range(300):
+        words = [r.choice("abcd") if r.random() < 0.9 else "r" for _ in range(r.randint(1, 30))]
+        run = [r.choice("abcd"), r.choice("abcdr"), r.choice("abcd")][: r.randint(1, 3)]
+        found = locate.Document(words).tightest(run)
+        counts = [words.count(t) for t in run]
+        # The tightest stretch holds the rarest token at some place; around it both sides are nearest.
+        assert (found[0] if found else 0.0) == pytest.approx(densest(run, words) if all(counts) else 0.0), (run, words)
+
+
+def test_candidates_are_all_pairs_with_half_of_the_tokens(spark):
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(30)]
+    texts = {k: [r.choice(words) for _ in range(r.randint(0, 12))] for k in range(40)}
+    asked = {k: [r.choice(words) for _ in range(r.randint(0, 7))] for k in range(20)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, words array<string>")
+    p = spark.createDataFrame(list(asked.items()), "passage_id long, needle array<string>")
+    met = {(x.doc_id, x.passage_id) for x in locate.candidates(d, p).collect()}
+    assert {(i, j) for i, t in texts.items() for j, a in asked.items() if a and 2 * len({*a} & {*t}) >= len({*a})} <= met
 
 
 def test_locate_aligned(spark):
@@ -72,3 +112,52 @@ def test_log_resumes_and_windows(spark, tmp_path):
     q = log.windowed(stream, "ts", "1 minute", "5 minutes").writeStream.format("memory").queryName("wins").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.n for r in spark.sql("select n from wins").collect()) == [1, 1, 2]
+
+
+def test_json_lines_and_replaced_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "é\n"), (2, None)], "a int, b string")
+    files.write_jsonl(rows, f"{tmp_path}/j")
+    assert sorted((r.a, r.b) for r in files.read_jsonl(spark, f"{tmp_path}/j", "a int, b string").collect()) == [(1, "é\n"), (2, None)]
+    for k in (1, 2):
+        files.replace(rows.where(f"a <= {k}"), f"{tmp_path}/table")
+        assert spark.read.parquet(f"{tmp_path}/table").count() == k
+    # A rewrite may read what it replaces.
+    files.replace(spark.read.parquet(f"{tmp_path}/table").union(rows), f"{tmp_path}/table")
+    assert spark.read.parquet(f"{tmp_path}/table").count() == 4
+
+
+def test_records_and_source_references(spark, tmp_path):
+    (tmp_path / "notes").mkdir()
+    (tmp_path / "notes/x.md").write_text("## Q9\n- **source:** Hidden.pdf")
+    (tmp_path / "Set.md").write_text("- **type:** 9\n## Q1\n- **source:** Rules.PDF\n- **type:** 4\n- **source2:** Guide.v2.pdf\r\n- **page2:** 2, 4-5\n## Q3\n- **source:** null\n- **type:** 5\n- **type:** 6")
+    rows = files.read_records(spark, f"{tmp_path}")
+    found = {r.qid: (r.fields["type"], r.fields.get("source2")) for r in rows.collect()}
+    assert found == {"Set::Q1": ("4", "Guide.v2.pdf"), "Set::Q3": ("6", None)}
+    assert [r.doc_id for r in files.source_references(rows).orderBy("doc_id").collect()] == ["guide.v2", "rules"]
+
+
+def test_index_round_trip_and_universe(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "cat dog"), ("b", "cat cat bird"), ("c", "fish"), ("d", "dog sun"), ("e", "rain")], "doc_id string, text string")
+    queries = spark.createDataFrame([(1, "cat"), (2, "fish rain")], "query_id long, text string")
+    folder = f"{tmp_path}/index"
+    index.build(docs, f"{folder}/v2")
+    index.build(docs.where("doc_id <> 'e'"), f"{folder}/v10")
+    assert index.resolve(spark, folder).endswith("/v10")
+    opened = index.open_index(spark, f"{folder}/v2")
+    got = {(r.query_id, r.doc_id): r.score for r in opened.scores(queries).collect()}
+    want = {(r.query_id, r.doc_id): r.score for r in R.bm25_scores(docs, queries, R.EPSILON).collect()}
+    assert got == pytest.approx(want) and len(got) == 4
+    spark.read.parquet(f"{folder}/v2/documents").limit(3).write.parquet(f"{folder}/broken/documents")
+    for name in ("postings", "terms", "manifest"):
+        spark.read.parquet(f"{folder}/v2/{name}").write.parquet(f"{folder}/broken/{name}")
+    with pytest.raises(ValueError, match="universe"):
+        index.open_index(spark, f"{folder}/broken")
+    with pytest.raises(Exception, match="(?i)exists"):
+        index.build(docs, f"{folder}/v2")
+
+
+def test_phases_stop_at_a_closed_gate():
+    done = []
+    plan = [phases.Phase("one", lambda: done.append(1)), phases.Phase("two", lambda: done.append(2), gate=lambda: "drifted"), phases.Phase("three", lambda: done.append(3))]
+    assert phases.run(plan) == [("one", "done"), ("two", "stopped: drifted")] and done == [1]
+    assert phases.run(plan[:1] + plan[2:]) == [("one", "done"), ("three", "done")]

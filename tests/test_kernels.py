@@ -17,11 +17,78 @@ def test_page_normalisation(spark):
 
 
 def test_compact(spark):
-    assert apply(spark, T.compact, ["“Ab” – c", "ﬁne…", "a b　c d�", "it's"]) == ["ab-c", "fine...", "abcd", "its"]
+    assert apply(spark, T.compact, ["“Ab” – c", "ﬁne…", "a b　c d�", "it's", "\u201elow\u201a\u201b \u2015", "a\u2012b"]) == ["ab-c", "fine...", "abcd", "its", "low-", "a\u2012b"]
+    assert apply(spark, T.plain, ["\u2018q\u2019 \uf0b7 – x"]) == ["q  - x"]
+    assert apply(spark, T.compact_map, ["", "a ﬁ!", "…b"]) == [[], [0, 2, 2, 3], [0, 0, 0, 1]]
+
+
+def test_refusals(spark):
+    yes = ["not given here", "It was NOT FOUND", "does not contain it", "there is no mention", "cannot be found", "cannot determined", "isn't stated", "unable to determine"]
+    no = ["I do not know", "I cannot answer", "nothing", "noted", "is not here"]
+    assert apply(spark, lambda c: c.rlike(T.REFUSAL), yes + no) == [True] * len(yes) + [False] * len(no)
+
+
+def test_lenient_json_and_scan_marks(spark):
+    assert apply(spark, T.lenient_json, ["[1]", "```json\n[1]\n```", "so [1, [2]] it is", "none", None]) == ["[1]", "[1]", "[1, [2]]", None, None]
+    assert apply(spark, T.bad_scan_marks, ["lf ln x", "elf", "a[b c|d e]]f", "a b"]) == [2, 0, 3, 0]
+
+
+def test_spans_of_chunks_passages_and_pages(spark):
+    text = "Intro: “The fee” is due.\nPage two: the ﬁne is 40 euro."
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "...")], "doc_id long, text string")
+    found = R.chunks(docs, size=4, overlap=1).orderBy("chunk_index").collect()
+    assert [(r.doc_id, r.text, r.passage) for r in found] == [
+        (1, "intro the fee is", "Intro: “The fee” is"), (1, "is due page two", "is due.\nPage two"), (1, "two the ne is", "two: the ﬁne is"), (1, "is 40 euro", "is 40 euro")]
+    assert all(text[r.char_start : r.char_end] == r.passage for r in found)
+    passages = spark.createDataFrame([(7, "the fine is"), (8, "'the fee' is due"), (9, "absent words here")], "passage_id long, text string")
+    spans = R.located_spans(docs, passages)
+    assert {r.passage_id: text[r.lo : r.hi] for r in spans.collect()} == {7: "the ﬁne is", 8: "The fee” is due"}
+    hits = R.overlapping(spans, R.chunks(docs, size=4, overlap=1), "char_start", "char_end").collect()
+    assert {(r.passage_id, r.chunk_index) for r in hits} == {(7, 2), (7, 3), (8, 0), (8, 1)}
+    pages = spark.createDataFrame([(1, 0, 0, 24), (1, 1, 25, 60)], "doc_id long, page_no int, span_start int, span_end int")
+    points = spark.createDataFrame([("a", 1, 24), ("b", 1, 25), ("c", 1, 99)], "point_id string, doc_id long, at int")
+    assert {r.point_id: r.page_no for r in R.page_of(points, pages).collect()} == {"a": 0, "b": 1}
+
+
+def test_dense_search_and_fill(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROWS", 3)
+    monkeypatch.setattr(R, "QUERIES", 2)
+    rows = [(f"v{k}", [1.0, k / 10]) for k in range(9)] + [("zero", [0.0, 0.0]), ("null", None)]
+    vectors = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    queries = vectors.where("vec_id in ('v0', 'v4', 'v8', 'zero')").withColumnRenamed("vec_id", "query_id")
+    got = {}
+    for r in R.cosine_topk(vectors, queries, 2).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {"v0": ["v1", "v2"], "v4": ["v5", "v3"], "v8": ["v7", "v6"]}
+    scores = spark.createDataFrame([(1, "c", 2.0)], "query_id long, doc_id string, score double")
+    items = spark.createDataFrame([(x,) for x in "abcd"], "doc_id string")
+    asked = spark.createDataFrame([(1,), (2,)], "query_id long")
+    assert sorted(tuple(r) for r in R.ranked(R.filled(scores, items, asked, 2), 2).select("query_id", "rank", "doc_id").collect()) == [(1, 1, "c"), (1, 2, "a"), (2, 1, "a"), (2, 2, "b")]
+
+
+def test_agreement_of_devices(spark):
+    from tarn.operators import grading as G
+    from tarn.plans.grading_queries import CASES
+
+    rows = spark.createDataFrame([(c, k, d, t) for c, k, a, b in CASES for d, t in (("gpu", a), ("npu", b))] + [(99, 1, "gpu", "alone")], "c int, kind int, device string, output string")
+    found = {r.c: (r.all_empty, r.exact, r.normalised, r.containment, r.substantive) for r in G.agreement(rows, ["c"], "device", "kind", "output").collect()}
+    n, t, f = None, True, False
+    assert found == {
+        1: (f, t, t, t, t), 2: (f, f, t, t, t), 3: (f, f, f, t, t), 4: (f, f, f, f, f), 5: (t, n, n, n, n), 6: (f, f, f, f, f), 7: (f, f, f, f, t), 8: (f, f, f, t, f),
+        9: (f, f, f, f, t), 10: (f, f, f, f, f), 11: (f, f, f, f, t), 12: (f, f, f, f, t), 13: (f, f, f, f, f)}
+
+
+def test_grades_of_empty_answers_and_citations(spark):
+    from tarn.operators import grading as G
+
+    rows = spark.createDataFrame([("a", "x", ["1", "2"], ["2"]), ("b", "", ["1"], ["1"]), ("c", "y", [], ["1"]), ("d", "z", ["1"], None), ("e", "w", ["1"], ["1"])], "row_id string, answer string, context_ids array<string>, gold_ids array<string>")
+    replies = spark.createDataFrame([("a", 2, 1, ["2"]), ("b", 2, 2, ["1"]), ("c", 1, None, ["1"]), ("d", 0, 0, ["1"])], "row_id string, accuracy int, groundedness int, cited array<string>")
+    got = {r.row_id: (r.accuracy, r.groundedness, r.citation_correct, r.judged) for r in G.graded(rows, replies).collect()}
+    assert got == {"a": (2, 1, True, True), "b": (0, None, None, False), "c": (1, None, None, True), "d": (0, 0, False, True), "e": (None, None, None, True)}
 
 
 def test_answers(spark):
-    assert apply(spark, T.clean_answer, ["<think>x</think>\n\n42", "<think>\n\nkept", "a<think>lost", "a</think>b", " z　"]) == ["42", "kept", "a", "ab", "z"]
+    assert apply(spark, T.clean_answer, ["<think>x</think>\n\n42", "<think>\n\nkept", "a<think>lost", "a</think>b", " z　", "<think>\r\n\r\nkept", "A<think>\n\nB", "A<think>\nB\n\nC"]) == ["42", "kept", "a", "ab", "z", "kept", "AB", "A"]
     assert apply(spark, T.thinking_tokens, ["<think>one two</think>x", "<think>a b c", "<think>\n\nkept", "plain"]) == [2, 3, 0, 0]
     assert apply(spark, T.number_set, ["7 and 2.5 and 7", "none"]) == [["2.5", "7"], []]
     assert apply(spark, T.normalise_answer, [" A-b  C! "]) == ["ab  c"]
