@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import fresh, prepare
 
 TRAIN_DOCS = 3000
 GRAMS = 8192
@@ -177,5 +177,6 @@ def predictions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is determined with at least ``LEAST_SCORE``."""
     model = train(docs, doc_id, text, lang)
-    found = identify(docs, model, text, ("__lang", "__score"))
-    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).drop("__lang", "__score")
+    name, score = fresh(docs, "lang", "score")
+    found = identify(docs, model, text, (name, score))
+    return found.where((F.col(name) != UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).drop(name, score)

@@ -7,7 +7,8 @@ permutations of its block numbers, one permutation for each pass, and slots meet
 on (source, block). No slot goes beyond three passes, so no document is taken more than three times.
 
 Edge cases: null or empty texts have size 0 and are never taken; a null source is a source of its
-own, ordered last; repeated rows are documents each; an empty table gives an empty result.
+own, ordered last; repeated rows are documents each, also where the mix returns texts; texts of any length are cut at
+their blocks; columns of the input may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, prepare, text_of, word_count
+from .common import WORD, cut, fresh, prepare, text_of, word_count
 
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
 PASSES = 3
-CHUNKS = 256
+#: Rows of one source are numbered in chunks of about ``CHUNK_ROWS``, ``CHUNKS`` at least.
+CHUNKS, CHUNK_ROWS = 256, 20_000
 SALTS = 16
 CELLS = 1024
 SEED = 20240229
@@ -73,18 +75,19 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def sized(docs: DataFrame, doc_id: str, source: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Each document's place in its source's stream, and the sources with targets and block counts."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("tag"))
     rows = cut(rows)
+    chunks = max(CHUNKS, -(-rows.count() // CHUNK_ROWS))
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = targets(per_source).withColumn("blocks", F.ceil(F.col("source_size") / BLOCK_WORDS).cast("long"))
     sources = cut(sources)
     # One source may hold a third of the rows: its rows meet it in SALTS places.
     salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS)).cast("int"))
-    rows = rows.withColumn("salt", F.col("chunk") % SALTS)
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(chunks)))
+    rows = rows.withColumn("salt", (F.col("chunk") % SALTS).cast("int"))
     rows = rows.alias("r").join(salted.alias("s"), F.expr("r.source <=> s.source and r.salt = s.salt"))
-    rows = rows.select("doc_id", "r.source", "size", "chunk", "source_no", "source_size", "target", "blocks")
-    in_chunk = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("doc_id", "r.source", "tag", "size", "chunk", "source_no", "source_size", "target", "blocks")
+    in_chunk = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "tag").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("place", F.coalesce(F.sum("size").over(in_chunk), F.lit(0)))
     over = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("source_no", "chunk").agg(F.sum("size").alias("words"))
@@ -120,7 +123,7 @@ def slots(sources: DataFrame) -> DataFrame:
     table = table.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
     table = table.withColumn("n", F.least("n", PASSES * F.col("blocks") - F.col("first"))).where("n > 0")
     # The running count left all shards of a source in one task; its slots are dealt out again.
-    table = table.repartition("source_no", "shard")
+    table = table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "shard")
     table = table.select("source_no", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     table = table.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")))
     block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("source_no"), F.col("pass"))
@@ -149,7 +152,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The rows of the mix: one for each document (by id and source) and pass that takes words of it.
+    """The rows of the mix: one for each document and pass that takes words of it.
 
     A document taken whole in a pass keeps its text. Of others the words taken are joined by a
     space, in order. All other columns stay; ``n_chars``, if there, is that of the new text.
@@ -158,12 +161,21 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sour
     rows, sources = sized(docs, doc_id, source, text)
     taken = pieces(rows).join(slots(sources).hint("merge"), ["source_no", "block"]).groupBy("source_no", "start", "pass").agg(
         F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("ranges"), F.sum("words").alias("taken"))
-    taken = rows.join(taken, ["source_no", "start"]).where("size > 0").select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("ranges").alias("__ranges"), (F.col("taken") == F.col("size")).alias("__whole"))
-    joined = docs.join(taken, docs[doc_id].eqNullSafe(F.col("__id")) & docs[source].eqNullSafe(F.col("__source")))
+    taken = rows.where("size > 0").join(taken, ["source_no", "start"])
+    # Rows equal in id, source and text take the entries of one place each.
+    key = fresh(docs, "doc_id", "source", "tag", "places", "copy", "part")
+    entry = F.struct("pass", "ranges", (F.col("taken") == F.col("size")).alias("whole"))
+    places = taken.groupBy("doc_id", "source", "tag", "start").agg(F.collect_list(entry).alias("entries"))
+    places = places.groupBy("doc_id", "source", "tag").agg(F.array_sort(F.collect_list(F.struct("start", "entries"))).alias("places"))
+    places = places.withColumnsRenamed(dict(zip(["doc_id", "source", "tag", "places"], key, strict=False)))
+    same = F.col(doc_id).eqNullSafe(F.col(key[0])) & F.col(source).eqNullSafe(F.col(key[1])) & (F.xxhash64(text) == F.col(key[2]))
+    joined = docs.join(places, same)
+    copy = F.row_number().over(Window.partitionBy(*key[:3]).orderBy(F.lit(0)))
+    joined = joined.withColumn(key[4], copy).where(F.col(key[4]) <= F.size(key[3]))
+    joined = joined.withColumn(key[5], F.explode(F.element_at(key[3], F.col(key[4]))["entries"]))
     words = F.regexp_extract_all(text_of(text), F.lit(WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("__ranges", lambda r: F.slice(words, (r["from_word"] + 1).cast("int"), r["words"].cast("int")))), " ")
-    new = F.when(F.col("__whole"), F.col(text)).otherwise(part)
+    part = F.array_join(F.flatten(F.transform(F.col(key[5])["ranges"], lambda r: F.slice(words, (r["from_word"] + 1).cast("int"), r["words"].cast("int")))), " ")
+    new = F.when(F.col(key[5])["whole"], F.col(text)).otherwise(part)
     columns = {text: new} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     for name, value in columns.items():
         joined = joined.withColumn(name, value)

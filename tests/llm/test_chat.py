@@ -71,3 +71,10 @@ def test_conversations(spark):
     assert found[3].loss_chars == 200_000
     assert found[4].n_turns == 3000 and found[4].loss_sha256 == hashlib.sha256("".join(f"t{k}" for k in range(1, 3000, 2)).encode()).hexdigest()
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    for kind in ("smallint", "decimal(9,2)", "string", "int"):
+        rows = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo")], "conv_id int, turn int, role string, text string").selectExpr(f"cast(conv_id as {kind}) conv_id", "turn", "role", "text")
+        out = chat.format_conversations(rows)
+        assert out.schema["conv_id"].dataType == rows.schema["conv_id"].dataType and out.first().loss_chars == 2

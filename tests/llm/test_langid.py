@@ -47,3 +47,25 @@ def test_filters_return_all_languages_of_a_gram():
         mask = model.tables[0][at[0]] & model.tables[0][at[1]] & model.tables[0][at[2]]
         assert ((mask >> 1) & 1).all()
         assert len(model.tables) == -(-many // width) and (model.false_rate < 1e-6).all()
+
+
+def test_predictions_are_those_of_exact_sets():
+    """Brute force: each n-gram is looked up in the languages' own sets, one by one."""
+    r = np.random.default_rng(3)
+    letters = {"aa": "etaoinshr", "bb": "enirsatdh", "cc": "esaitnrul", "dd": "qxzjkvwyp"}
+    word = lambda k: "".join(r.choice(list(letters[k]), r.integers(2, 8)))
+    text = lambda k, n: " ".join(word(k) for _ in range(n))
+    found = {k: np.unique(np.concatenate(list(langid.grams(text(k, 3000))))).astype(np.int64) for k in letters}
+    model = langid.LanguageModel.build(found)
+    sets = {k: set(v.tolist()) for k, v in found.items()}
+    texts = [text(k, n) for k in letters for n in (1, 3, 10, 200)] + ["", "12 !", "é", None, text("aa", 5) + text("bb", 6)]
+    for t in texts:
+        name, score = model.predict(t)
+        if not t or not any(c.isalpha() for c in t):
+            assert (name, score) == ("und", 0.0)
+            continue
+        grams = [g for part in langid.grams(t) for g in part.tolist()]
+        hits = {k: sum(g in s for g in grams) for k, s in sets.items()}
+        best = max(hits.values())
+        assert hits[name] == best and score <= best / len(grams) + 1e-9 and abs(score - best / len(grams)) < 1e-3
+        assert name == min(k for k in hits if hits[k] == best)  # ties: the first by name

@@ -77,3 +77,15 @@ def test_empty_and_blank(spark):
     blank = mixing.mix(spark.createDataFrame([(1, None, None), (2, " ", "a")], schema)).collect()
     assert sorted((r.doc_id, r.size, r.taken) for r in blank) == [(1, 0, 0), (2, 0, 0)]
     assert all(r.target == 0 for r in blank)
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "a b c " * 200, "s", "x")] * 3 + [(None, "d e " * 300, "s", "y"), (None, "f g h " * 250, "s", "z"), (2, "k " * 900, None, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __ranges string").selectExpr("*", "1 as __whole", "2 as tag", "3 as places")
+    taken = sum(r.taken for r in mixing.mix(docs).collect())
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    found = mixed.collect()
+    assert sum(len(r.text.split()) for r in found) == taken
+    assert all(set(r.text.split()) <= {1: {"a", "b", "c"}, 2: {"k"}}.get(r.doc_id, {"d", "e"} if r["__ranges"] == "y" else {"f", "g", "h"}) for r in found)
+    assert len(found) <= mixing.PASSES * len(rows)
