@@ -49,12 +49,13 @@ TOKEN_PLACES = f"""(select doc_id, i, sum(length(p)) over (partition by doc_id o
     from (select doc_id, generate_subscripts(ps, 1) as i, unnest(ps) as p from (select doc_id, regexp_extract_all(lower({_ONE}), '[^0-9a-z]*[0-9a-z]+') as ps from documents)))"""
 CHUNK_SPANS = f"""(select c.doc_id, c.chunk_id, c.text, (a.e - a.n)::int as char_start, b.e::int as char_end from {CHUNKS} c
     join {TOKEN_PLACES} a on a.doc_id = c.doc_id and a.i = c.token_start + 1 join {TOKEN_PLACES} b on b.doc_id = c.doc_id and b.i = c.token_end)"""
-PLACES = f"""(select doc_id, i, w, sum(w) over (partition by doc_id order by i) as e from (select doc_id, i, length({COMPACT.replace('text', 'c')}) as w
+# One row for each character p, from 1, of the compact text, with the number i of the character it comes from.
+PLACES = f"""(select doc_id, i, unnest(range(e - w + 1, e + 1)) as p from (select doc_id, i, w, (sum(w) over (partition by doc_id order by i))::bigint as e from (select doc_id, i, length({COMPACT.replace('text', 'c')}) as w
     from (select doc_id, generate_subscripts(cs, 1) as i, unnest(cs) as c from (select doc_id, string_split(text, '') as cs from documents where doc_id in (select doc_id from {LOCATED}))))
-    where w > 0)"""
-GOLD_SPANS = f"""(select g.passage_id, g.doc_id, (a.i - 1)::int as lo, b.i::int as hi from {LOCATED} g join {ITEMS} p on p.item_id = g.passage_id
-    join {PLACES} a on a.doc_id = g.doc_id and a.e - a.w < g.position and g.position <= a.e
-    join {PLACES} b on b.doc_id = g.doc_id and b.e - b.w < g.position + length(p.needle) - 1 and g.position + length(p.needle) - 1 <= b.e)"""
+    where w > 0))"""
+GOLD_SPANS = f"""(with l as materialized (select * from {LOCATED}), p as materialized (select * from {PLACES})
+    select l.passage_id, l.doc_id, (a.i - 1)::int as lo, b.i::int as hi from l join {ITEMS} q on q.item_id = l.passage_id
+    join p a on a.doc_id = l.doc_id and a.p = l.position join p b on b.doc_id = l.doc_id and b.p = l.position + length(q.needle) - 1)"""
 RAW_PAGES = """(select doc_id, page_no, coalesce(sum(n + 1) over w, 0) as s, coalesce(sum(n + 1) over w, 0) + n as e from
     (select doc_id, generate_subscripts(p, 1) - 1 as page_no, length(unnest(p)) as n from (select doc_id, string_split(text, chr(10)) p from documents))
     window w as (partition by doc_id order by page_no rows between unbounded preceding and 1 preceding))"""
