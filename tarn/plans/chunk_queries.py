@@ -53,9 +53,11 @@ CHUNK_SPANS = f"""(select c.doc_id, c.chunk_id, c.text, (a.e - a.n)::int as char
 PLACES = f"""(select doc_id, i, unnest(range(e - w + 1, e + 1)) as p from (select doc_id, i, w, (sum(w) over (partition by doc_id order by i))::bigint as e from (select doc_id, i, length({COMPACT.replace('text', 'c')}) as w
     from (select doc_id, generate_subscripts(cs, 1) as i, unnest(cs) as c from (select doc_id, string_split(text, '') as cs from documents where doc_id in (select doc_id from {LOCATED}))))
     where w > 0))"""
-GOLD_SPANS = f"""(with l as materialized (select * from {LOCATED}), p as materialized (select * from {PLACES})
-    select l.passage_id, l.doc_id, (a.i - 1)::int as lo, b.i::int as hi from l join {ITEMS} q on q.item_id = l.passage_id
-    join p a on a.doc_id = l.doc_id and a.p = l.position join p b on b.doc_id = l.doc_id and b.p = l.position + length(q.needle) - 1)"""
+GOLD_SPANS = f"""(with p as materialized (select * from {PLACES}),
+    n as materialized (select l.passage_id, l.doc_id, l.position as first, l.position + length(q.needle) - 1 as last from {LOCATED} l join {ITEMS} q on q.item_id = l.passage_id),
+    x as materialized (select passage_id, n.doc_id, (i - 1)::int as lo from n join p on p.doc_id = n.doc_id and p.p = n.first),
+    y as materialized (select passage_id, n.doc_id, i::int as hi from n join p on p.doc_id = n.doc_id and p.p = n.last)
+    select passage_id, doc_id, lo, hi from x join y using (passage_id, doc_id))"""
 RAW_PAGES = """(select doc_id, page_no, coalesce(sum(n + 1) over w, 0) as s, coalesce(sum(n + 1) over w, 0) + n as e from
     (select doc_id, generate_subscripts(p, 1) - 1 as page_no, length(unnest(p)) as n from (select doc_id, string_split(text, chr(10)) p from documents))
     window w as (partition by doc_id order by page_no rows between unbounded preceding and 1 preceding))"""
