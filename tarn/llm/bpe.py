@@ -7,7 +7,8 @@ merge table gives its rank, and each round merges the lowest-ranked pair of ever
 Words that have no pair left leave the array, so the work of a round is what is still moving.
 
 Edge cases: a null or empty text has no tokens; special-token strings inside a text become
-their special ids, as the vocabulary's own library does; repeated rows are encoded each.
+their special ids, as the vocabulary's own library does; repeated rows are encoded each; texts of any
+length are encoded whole, batch by batch of bounded bytes; an empty table gives an empty result.
 Unicode tables are those of Python and ``regex``: code points assigned after them may split
 differently than in another library.
 """

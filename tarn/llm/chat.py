@@ -15,8 +15,8 @@ Conversations are read as a sorted stream. A worker holds one message at a time,
 of any length formats in bounded memory.
 
 Edge cases: null roles and texts are empty; rows of a conversation are ordered by turn (null
-first), then role and text; a null conv_id is a conversation of its own; an empty table gives an
-empty result.
+first), then role and text; a null conv_id is a conversation of its own; ids may be of any type and other columns of
+any name; a very long text is one message, held by one task; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ then find their group by digest; digests that more than one text shares are told
 whole text.
 
 Edge cases: null text counts as empty and all empty texts are one group. A null id counts as the
-largest long. Rows that share an id share the verdict. An empty table gives an empty result.
+largest long. Rows that share an id share the verdict. Texts of any length are compared whole; of equally long
+copies the smallest id stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations

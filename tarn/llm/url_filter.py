@@ -7,7 +7,8 @@ carry a block to all aliases that no rule fits. An explicit allow comes first: i
 url, and in an alias group that holds an allowed url the others are allowed too.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is no
-alias of anything; it is allowed. Repeated rows are judged each. Of two fitting rules of the same
+alias of anything; it is allowed. Addresses are nodes as they are written: forms that differ in case, port or
+fragment are different nodes. Urls and pages of any length are read whole. Repeated rows are judged each. Of two fitting rules of the same
 length allow wins. An empty table gives an empty result.
 """
 
