@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +79,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name)
         found.append(name)
     return found
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder, which the driver and all executors see."""
+    return f"{prepare(spark).sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table below the checkpoint folder: cuts the lineage and is far smaller than a checkpoint's rows."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -150,3 +150,34 @@ from files f left join own o using (path) left join (select * from near where r
 
 
 ORACLES["op4_licenses"] = _licenses()
+
+
+def _centroids() -> str:
+    from .centroids import CLUSTERS, DIM, ROUNDS, SCALE, SEED
+
+    def assigned(k: int) -> str:
+        return f"""a{k} as materialized (
+    select r, min(distance) distance, arg_min(cluster, distance * 1000 + cluster) as cluster from (
+        select r, cluster, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint distance
+        from kept, c{k}) group by r)"""
+
+    rounds = ", ".join(f"""{assigned(k)},
+entries{k} as (select cluster, i, sum(x[i])::hugeint s, count(*)::hugeint n from a{k} join kept using (r), unnest(range(1, {DIM + 1})) t(i) group by 1, 2),
+c{k + 1} as materialized (
+    select c{k}.cluster, coalesce(m.c, c{k}.c) as c from c{k}
+    left join (select cluster, list(((s - ((s % n) + n) % n) // n)::bigint order by i) c from entries{k} group by 1) m using (cluster))""" for k in range(ROUNDS))
+    return f"""
+with kept as materialized (
+    select vec_id, row_number() over () r, list_transform(embedding, lambda v: floor({SCALE} * v::double)::bigint) x from embeddings
+    where embedding is not null and len(embedding) = {DIM} and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0),
+c0 as materialized (
+    select row_number() over (order by sha256('{SEED}:' || vec_id) nulls last, x) - 1 as cluster, x as c from kept
+    qualify cluster < {CLUSTERS}),
+{rounds}, {assigned(ROUNDS)}
+select vec_id, cluster::int as cluster, distance, sum(distance) over (partition by cluster)::bigint as cluster_inertia,
+       sum(distance) over ()::bigint as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from a{ROUNDS} join kept using (r) join c{ROUNDS} using (cluster)
+"""
+
+
+ORACLES["op13_centroids"] = _centroids()
