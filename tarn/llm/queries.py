@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, chat, embedding_dedup, exact_dedup, langid, licenses, line_dedup, minhash, mixing, url_filter, whitening
+from . import bpe, centroids, chat, embedding_dedup, exact_dedup, langid, licenses, line_dedup, minhash, mixing, url_filter, warc, whitening
 from .sql import ORACLES
 
 TOKENIZER = "word_bpe_49k.json"
@@ -79,6 +79,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no time of capture: a page's id is taken as seconds after the first second of 2000."""
+    pages = table(spark, sf_dir, "pages")
+    return warc.archived(pages, F.timestamp_seconds(F.lit(946_684_800) + F.col("page_id"))).drop("captured")
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 

@@ -151,6 +151,21 @@ from files f left join own o using (path) left join (select * from near where r
 
 ORACLES["op4_licenses"] = _licenses()
 
+ORACLES["op12_warc"] = r"""
+with rows as (
+    select page_id, url, coalesce(html, '') html, octet_length(encode(coalesce(html, ''))) payload_bytes, sha1(coalesce(html, '')) hex from pages),
+digests as (
+    select hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> (15 - 5 * d)) & 31)::int + 1, 1), '' order by g, d) as payload_digest
+    from (select hex, g, ('0x' || substr(hex, 5 * g + 1, 5))::bigint n from (select distinct hex from rows), unnest(range(8)) t(g)), unnest(range(4)) s(d)
+    group by hex),
+largest as (select *, max(page_id) over (partition by html) best from rows)
+select page_id, payload_bytes, payload_digest, case when page_id < best then 'revisit' else 'response' end as record_type,
+       case when page_id < best then best end as refers_to,
+       coalesce(array_to_string(list_reverse(string_split(lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)), '.')), ',') || ')'
+           || regexp_replace(url, '(?s)^.*?://[^/?#]*', ''), '') as url_key
+from largest join digests using (hex)
+"""
+
 
 def _centroids() -> str:
     from .centroids import CLUSTERS, DIM, ROUNDS, SCALE, SEED
