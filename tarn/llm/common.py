@@ -91,3 +91,23 @@ def written(df: DataFrame) -> DataFrame:
     folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+#: Stands for a null id.
+LARGEST = 9223372036854775807
+
+
+def one_of_each(rows: DataFrame, kept: DataFrame, row_id: str, text: str) -> DataFrame:
+    """One row of ``rows`` for each of ``kept``: distinct (id, tag, n), the tag being the text's xxhash64 and n the number of such rows.
+
+    Rows that repeat id and text are combined inside each task before they meet, so that many repeats make no large group.
+    """
+    kept = written(kept)
+    key, tag, n = fresh(rows, "id", "tag", "n")
+    kept = kept.withColumnsRenamed({"id": key, "tag": tag, "n": n})
+    same = (F.coalesce(F.col(row_id).cast("long"), F.lit(LARGEST)) == F.col(key)) & (F.xxhash64(text) == F.col(tag))
+    once = rows.join(kept.where(F.col(n) == 1), same, "left_semi")
+    again = kept.where(F.col(n) > 1)
+    if again.isEmpty():
+        return once
+    return once.union(rows.join(again, same).dropDuplicates([key, tag]).select(*rows.columns))

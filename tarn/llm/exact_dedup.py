@@ -7,8 +7,9 @@ then find their group by digest; digests that more than one text shares are told
 whole text.
 
 Edge cases: null text counts as empty and all empty texts are one group. A null id counts as the
-largest long. Rows that share an id share the verdict. Texts of any length are compared whole; of equally long
-copies the smallest id stays. An empty table gives an empty result.
+largest long. In ``exact_groups`` rows
+that share an id and a text share the verdict; ``drop_copies`` leaves one row of each group. Texts of any length are compared whole; of equally long
+copies the smallest id stays. Other columns may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,17 +17,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, strip_spaces, text_of
+from .common import LARGEST as _MOST
+from .common import cut, one_of_each, prepare, strip_spaces, text_of
 
 SALTS = 16
 _TWO_64 = "18446744073709551616BD"
-_MOST = 9223372036854775807
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     whole = text_of(text)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_MOST)).alias("doc_id"), whole.alias("whole"))
-    rows = rows.select("doc_id", F.char_length("whole").alias("points"), strip_spaces(F.col("whole")).alias("content"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_MOST)).alias("doc_id"), whole.alias("whole"), F.xxhash64(text).alias("tag"))
+    rows = rows.select("doc_id", "tag", F.char_length("whole").alias("points"), strip_spaces(F.col("whole")).alias("content"))
     return rows.withColumn("digest", F.unhex(F.sha2("content", 256)))
 
 
@@ -72,6 +73,14 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, F.coalesce(docs[doc_id].cast("long"), F.lit(_MOST)) == kept["__keep"], "left_semi")
+    """The rows of ``docs`` that stay, with all their columns: one row of each group, whatever ids its rows share.
+
+    Rows that share id and text are told apart by nothing that the order uses; any one of them stays.
+    """
+    found, rows = groups(docs, doc_id, text)
+    best = found.where("doc_id = keep_id").select("digest", "keep_id").distinct()
+    # Of the rows with the kept id those with the most code points; texts of one length by their tag.
+    mine = rows.select("digest", F.col("doc_id").alias("keep_id"), "points", "tag").join(best, ["digest", "keep_id"])
+    texts = mine.groupBy("digest", "keep_id", "points", "tag").agg(F.count(F.lit(1)).alias("n"))
+    first = texts.groupBy("digest", "keep_id").agg(F.max(F.struct("points", -F.col("tag").cast("decimal(20,0)"), "tag", "n")).alias("x"))
+    return one_of_each(docs, first.select(F.col("keep_id").alias("id"), F.col("x.tag").alias("tag"), F.col("x.n").alias("n")), doc_id, text)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, fresh, prepare, semi
+from .common import BROADCAST_ROWS, cut, one_of_each, prepare, semi
 from .components import components
 
 SKETCH = 64
@@ -383,9 +383,11 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
 
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of near copies the one with the smallest id."""
-    key, tag = fresh(docs, "id", "tag")
+    """The rows of ``docs`` that stay: one row of each group of near copies, that with the smallest id; of rows that repeat id and text any one.
+
+    Rows without words are linked with nothing and all stay.
+    """
     found = _groups(docs, width, percent, doc_id, text)
-    gone = found.where("first is not null and first <> struct(doc_id, tag)").select(F.col("doc_id").alias(key), F.col("tag").alias(tag)).distinct()
-    same = (F.coalesce(F.col(doc_id).cast("long"), F.lit(_MOST)) == F.col(key)) & (F.xxhash64(text) == F.col(tag))
-    return docs.join(gone, same, "left_anti").select(*docs.columns)
+    n = F.when(F.max("first").isNull(), 1).otherwise(F.count(F.lit(1)))
+    stay = found.where("first is null or first = struct(doc_id, tag)").groupBy(F.col("doc_id").alias("id"), "tag").agg(n.alias("n"))
+    return one_of_each(docs, stay, doc_id, text)

@@ -47,3 +47,13 @@ def test_equal_digests_of_different_texts_stay_apart(spark):
     shared = classes.groupBy("digest").count().where("count > 1")
     told = exact_dedup._told_apart(rows, classes, shared).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size) for r in told) == [(1, 1, 2), (2, 2, 1), (3, 1, 2), (4, 4, 1)]
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(0, "a"), (1, "a"), (1, "b"), (2, "c"), (2, "c"), (None, "a"), (None, "z"), (5, "d e"), (5, "de "), (5, "d  e"), (6, None), (6, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, n long, tag string")
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns
+    found = kept.collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == sorted([(0, "a"), (1, "b"), (2, "c"), (None, "z"), (5, "d  e"), (6, None)], key=repr)
+    assert all(rows[r.n] == (r.doc_id, r.text) for r in found)

@@ -88,3 +88,13 @@ def test_estimates_agree_with_sets():
             for other, x in zip(sets, score):
                 union = np.union1d(s, other)[: minhash.SKETCH]
                 assert x == pytest.approx(np.isin(union, np.intersect1d(s, other)).mean())
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(0, long), (1, long), (1, "other words"), (2, "c d"), (2, "c d"), (2, "c d"), (None, long + " more"), (None, "z"), (8, None), (8, None), (9, " ")]
+    docs = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, n long, tag string")
+    kept = minhash.drop_near(docs)
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert found == sorted([(0, long), (1, "other words"), (2, "c d"), (None, "z"), (8, None), (8, None), (9, " ")], key=repr)

@@ -53,3 +53,14 @@ def test_run_on_awkward_rows(spark, tmp_path):
     empty.write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     assert exact_dedup.drop_copies(empty).count() == 0
+
+
+def test_repeated_and_shared_ids_leave_one_row(spark, tmp_path):
+    long = " ".join(f"word{k} hello my friend" for k in range(40))
+    rows = [(1, long, "en", "a", 9), (1, long, "en", "a", 9), (1, long + " end", "en", "a", 9), (2, long, "en", "a", 9), (None, long, "en", "a", 9), (None, "another text of some words", "en", "a", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = stage(spark, spark.read.parquet(f"{tmp_path}/{k}"), str(tmp_path))
+    left = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+    assert len(left) == 2 and left[1] == (None, "another text of some words") and left[0][0] == 1
