@@ -3,6 +3,10 @@
 language -> exact copies -> near copies -> mix -> tokens. Every stage takes what its predecessor
 kept and returns the columns of ``documents``; the last returns the tokens' counts and digests.
 Rows of the mix repeat a document id once for each pass that takes words of it.
+
+Edge cases: null, empty and letterless texts go in the first stage, whatever their other columns. Null and shared ids are no obstacle: of
+a group of copies, exact or near, one row stays, also of rows that repeat each other whole. Null sources are a source of their own. Texts of
+any length are taken whole. Additional columns stay, but for those named like the results of the last stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every row of the mix."""
-    return bpe.encode_documents(docs, queries.tokenizer_path(), ["doc_id", "lang", "source", "n_chars"])
+    made = {"text", "n_tokens", "ids_sha256", "decoded_sha256"}
+    return bpe.encode_documents(docs, queries.tokenizer_path(), [c for c in docs.columns if c.lower() not in made])
 
 
 STAGES = [

@@ -51,9 +51,28 @@ def compact_map(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<int>")).otherwise(F.flatten(places))
 
 
+#: Letters whose lower case holds an ASCII letter: the dotted capital I (with a mark that ends a token) and the Kelvin sign.
+DOTTED, KELVIN = "\u0130", "\u212a"
+_LETTERS = f"0-9A-Za-z{KELVIN}"
+
+
 def token_pieces(text: Column) -> Column:
-    """Each token of ``text``, after one-to-one folds and in lower case, with what stands before it since the last one."""
-    return F.regexp_extract_all(F.lower(F.translate(text, FOLD_FROM, FOLD_TO)), F.lit("[^0-9a-z]*[0-9a-z]+"), F.lit(0))
+    """Each token of ``text`` with what stands before it since the last one, as it stands there.
+
+    The tokens are those of ``tokens``, but the text is not lowered, as some letters grow in lower case.
+    """
+    return F.regexp_extract_all(text, F.lit(f"[^{_LETTERS}{DOTTED}]*(?:[{_LETTERS}]+{DOTTED}?|{DOTTED})"), F.lit(0))
+
+
+def without_gap(piece: Column) -> Column:
+    """Joined pieces without what stands before their first token."""
+    return F.regexp_replace(piece, f"^[^{_LETTERS}{DOTTED}]+", "")
+
+
+def spoken(passage: Column) -> Column:
+    """The tokens of a passage of ``token_pieces``, joined by spaces: one pass over the passage."""
+    passage = F.replace(F.replace(passage, F.lit(DOTTED), F.lit("i ")), F.lit(KELVIN), F.lit("k"))
+    return F.lower(F.trim(F.regexp_replace(passage, "[^0-9A-Za-z]+", " ")))
 
 
 def squash(text: Column) -> Column:
@@ -66,6 +85,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z]+"), F.lit(0))
 
 
+def nothing(text: Column) -> Column:
+    """A text with null as empty."""
+    return F.coalesce(text, F.lit(""))
+
+
 def normalise_answer(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9 ]+", ""))
 

@@ -25,26 +25,26 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     """Token windows of each document with the places of their characters: narrow, one pass, no shuffle.
 
     ``text`` is the window's tokens joined by spaces, ``passage`` the document's own characters from the
-    window's first token to its last. Texts without tokens, and null texts, have no windows.
+    window's first token to its last. Texts without tokens, and null texts, have no windows. A document becomes an array of
+    finished windows before that is exploded, so that neither its text nor its tokens are copied into each of them.
     """
     step = size - overlap
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("whole"), T.token_pieces(F.col(text)).alias("pieces")).where(F.size("pieces") > 0)
-    last = F.greatest(F.lit(0), F.ceil((F.size("pieces") - size) / step)).cast("int")
-    total = lambda part: F.aggregate(part, F.lit(0), lambda s, p: s + F.length(p))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), T.token_pieces(F.col(text)).alias("pieces"))
+    n = F.size("pieces")
+    numbers = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    joined = lambda k, count: F.array_join(F.slice("pieces", k * step + 1, count), "")
     # Characters of each stride once; a window begins after the strides before it.
-    strides = F.transform(F.sequence(F.lit(0), last), lambda k: total(F.slice("pieces", k * step + 1, step)))
-    rows = rows.withColumn("strides", strides).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), last)))
-    start = F.col("chunk_index") * step
-    rows = rows.withColumn("token_start", start).withColumn("token_end", F.least(start + size, F.size("pieces")))
-    rows = rows.withColumn("part", F.slice("pieces", F.col("token_start") + 1, F.col("token_end") - F.col("token_start")))
-    before = F.aggregate(F.slice("strides", F.lit(1), F.col("chunk_index")), F.lit(0), lambda s, x: s + x)
-    gap = F.length(F.regexp_extract(F.col("part")[0], "^[^0-9a-z]*", 0))
-    rows = rows.withColumn("char_start", before + gap).withColumn("char_end", before + total(F.col("part")))
-    words = F.transform("part", lambda p: F.regexp_replace(p, "^[^0-9a-z]+", ""))
+    strides = F.transform(numbers, lambda k: F.length(joined(k, step)))
+    none = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("starts"))
+    sums = F.aggregate(strides, none, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.array_append(s["starts"], s["sum"]).alias("starts")))
+    rows = rows.select("doc_id", "pieces", sums["starts"].alias("starts"))
+    window = lambda at, k: F.struct(k.alias("k"), at.alias("at"), F.least(n - k * step, F.lit(size)).alias("n"), joined(k, size).alias("part"))
+    rows = rows.select("doc_id", F.explode(F.transform("starts", window)).alias("w")).select("doc_id", "w.*").withColumn("passage", T.without_gap(F.col("part")))
     return rows.select(
-        "doc_id", "chunk_index", F.format_string("%s::c%04d", F.col("doc_id").cast("string"), "chunk_index").alias("chunk_id"),
-        "token_start", "token_end", (F.col("token_end") - F.col("token_start")).alias("n_tokens"), "char_start", "char_end",
-        F.array_join(words, " ").alias("text"), F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("passage"))
+        "doc_id", F.col("k").alias("chunk_index"), F.format_string("%s::c%04d", F.col("doc_id").cast("string"), "k").alias("chunk_id"),
+        (F.col("k") * step).alias("token_start"), (F.col("k") * step + F.col("n")).alias("token_end"), F.col("n").alias("n_tokens"),
+        (F.col("at") + F.length("part") - F.length("passage")).alias("char_start"), (F.col("at") + F.length("part")).alias("char_end"),
+        T.spoken(F.col("passage")).alias("text"), "passage")
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,26 +60,62 @@ def idf_table(terms: DataFrame, n: Column, epsilon: float | None = None) -> Data
     return rows if epsilon is None else floored(rows, epsilon)
 
 
+#: Stands for the document itself among its terms: its frequency is the document's length.
+WHOLE = ""
+
+
+def term_counts(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(doc_id, dl, term, tf) of every document and term, and of the term WHOLE; with ``asked`` (term) of these terms alone.
+
+    A text is tokenised once. The array that is exploded is no plain column, for which the optimiser would add a filter
+    that tokenises again.
+    """
+    words = docs.select("doc_id", T.tokens(T.nothing(F.col("text"))).alias("words"))
+    words = words.select("doc_id", F.size("words").cast("double").alias("dl"), F.explode(F.concat("words", F.array(F.lit(WHOLE)))).alias("term"))
+    if asked is not None:
+        words = words.join(asked.union(asked.sparkSession.range(1).select(F.lit(WHOLE))), "term", "left_semi")
+    return words.where("term is not null").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, epsilon: float | None = None) -> DataFrame:
     """(query_id, doc_id, score) of every document that shares a term with a query (query_id, text).
 
-    Query terms count as often as they occur. Terms are exploded once and, unless the floor of ``epsilon`` needs
-    the statistics of all, filtered by the queries' terms before they shuffle. Document frequencies are grouped counts.
+    Query terms count as often as they occur. Terms are counted once, in one shuffle that both the statistics and the scores read,
+    and, unless the floor of ``epsilon`` needs the statistics of all, only those of the queries. Document ids are unique.
     """
-    wanted = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    sized = docs.select("doc_id", F.regexp_count(F.lower("text"), F.lit("[0-9a-z]+")).cast("double").alias("dl"))
-    totals = sized.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    words = docs.select("doc_id", T.tokens(F.col("text")).alias("words")).select("doc_id", F.size("words").cast("double").alias("dl"), F.explode("words").alias("term"))
+    wanted = query_terms(queries)
     asked = wanted.select("term").distinct()
-    if epsilon is None:
-        words = words.join(asked, "term", "left_semi")
-    tf = words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).crossJoin(F.broadcast(totals))  # totals: one row
+    tf = term_counts(docs, asked if epsilon is None else None)
+    # Conditions on sums, which always hold or cannot move below the sum: both readers of the shuffle stay alike, so that it is made once.
+    counted = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).cast("double").alias("df"), F.sum(F.when(F.col("term") == WHOLE, F.col("dl"))).alias("length"))
+    totals = counted.where("length is not null").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    df = counted.where("length is null").drop("length").crossJoin(F.broadcast(totals))  # totals: one row
     df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     if epsilon is not None:
-        df, tf = floored(df, epsilon).join(asked, "term", "left_semi"), tf.join(asked, "term", "left_semi")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return tf.join(wanted.join(df, "term"), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+        df = floored(df, epsilon)
+    part = F.col("qtf") * F.col("idf") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    weighed = bounded(wanted.join(df, "term"), wanted.count())
+    return tf.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf) of queries (query_id, text)."""
+    terms = queries.select("query_id", F.explode(T.tokens(T.nothing(F.col("text")))).alias("term"))
+    return terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+#: Rows of a few short columns that may be broadcast: some ten MB.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """``rows``, of which there are ``most`` at most, as the small or as an ordinary side of a join; an optimiser's guess may be far off."""
+    return F.broadcast(rows) if most <= BROADCAST_ROWS else rows
+
+
+def impact(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a term adds to a document's score for each unit of its IDF."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
 def floored(idf: DataFrame, epsilon: float) -> DataFrame:
@@ -89,10 +125,11 @@ def floored(idf: DataFrame, epsilon: float) -> DataFrame:
 
 
 def overlap_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): distinct query terms in the document."""
-    wanted = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    terms = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    return terms.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    """(query_id, doc_id, score): distinct query terms in the document, from the shuffle of term counts that ``bm25_scores`` makes."""
+    wanted = query_terms(queries)
+    tf = term_counts(docs, wanted.select("term").distinct())
+    met = tf.join(bounded(wanted.select("query_id", "term"), wanted.count()), "term")
+    return met.groupBy("query_id", "doc_id").agg(F.count_if(F.col("tf") > 0).cast("double").alias("score"))
 
 
 def ranked(scores: DataFrame, k: int, item: str = "doc_id") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tarn.functions import text as T
 from tarn.operators import retrieval as R
 from tarn.plans.text_queries import CHUNKS, COMPACT, ITEMS, LOCATED, ranked_sql
-from tarn.session import table
+from tarn.session import table, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +28,7 @@ def query(sql: str):
 
 
 def documents(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return texts(spark, sf).select("doc_id", "text")
 
 
 def passages(spark, sf) -> DataFrame:
@@ -43,10 +43,9 @@ def raw_pages(spark, sf) -> DataFrame:
     return rows.select("doc_id", "page_no", start.alias("span_start"), (start + F.length("page")).alias("span_end"))
 
 
-_ONE = "translate(text, " + " || ".join(f"chr({c})" for c in (8216, 8217, 8218, 8219, 8220, 8221, 8222, 8211, 8212, 8213, 8208, 8209, 8722, 160)) + \
-    ", chr(39) || chr(39) || chr(39) || chr(39) || chr(34) || chr(34) || chr(34) || '------ ')"
-TOKEN_PLACES = f"""(select doc_id, i, sum(length(p)) over (partition by doc_id order by i) as e, length(regexp_extract(p, '[0-9a-z]+$')) as n
-    from (select doc_id, generate_subscripts(ps, 1) as i, unnest(ps) as p from (select doc_id, regexp_extract_all(lower({_ONE}), '[^0-9a-z]*[0-9a-z]+') as ps from documents)))"""
+# The places of tokens in the text itself, not in its lower case: some letters grow there.
+TOKEN_PLACES = f"""(select doc_id, i, sum(length(p)) over (partition by doc_id order by i) as e, length(regexp_extract(p, '[0-9A-Za-z{T.KELVIN}]*{T.DOTTED}?$')) as n
+    from (select doc_id, generate_subscripts(ps, 1) as i, unnest(ps) as p from (select doc_id, regexp_extract_all(text, '[^0-9A-Za-z{T.KELVIN}{T.DOTTED}]*(?:[0-9A-Za-z{T.KELVIN}]+{T.DOTTED}?|{T.DOTTED})') as ps from documents)))"""
 CHUNK_SPANS = f"""(select c.doc_id, c.chunk_id, c.text, (a.e - a.n)::int as char_start, b.e::int as char_end from {CHUNKS} c
     join {TOKEN_PLACES} a on a.doc_id = c.doc_id and a.i = c.token_start + 1 join {TOKEN_PLACES} b on b.doc_id = c.doc_id and b.i = c.token_end)"""
 # One row for each character p, from 1, of the compact text, with the number i of the character it comes from.

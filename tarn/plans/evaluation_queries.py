@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
-from tarn.session import table
+from tarn.session import table, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -281,7 +281,7 @@ ORACLES["evalset_checks"] = f"""select count(*) as n, count(distinct q_num) as i
 def line_patch(spark: SparkSession, sf: str) -> DataFrame:
     """Lines 2 and 9 of each document replaced where they hold the word 'the'; other edits are skipped."""
     edits = F.when((F.col("line_no").isin(1, 8)) & F.col("line").contains("the"), F.lit("PATCHED")).otherwise(F.col("line"))
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = texts(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", edits.alias("line")))).alias("x"))
     text = F.array_join(F.transform("x", lambda r: r["line"]), "\n")
     return rows.select("doc_id", F.sha2(text, 256).alias("digest"))

@@ -11,7 +11,7 @@ from tarn.operators import retrieval as R
 from tarn.plans import chunk_queries as C
 from tarn.plans import evaluation_queries as E
 from tarn.plans.text_queries import TOKENS, ranked_sql
-from tarn.session import table
+from tarn.session import table, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -214,7 +214,7 @@ portable("idle_rate_per_second", """select device, round((max(joules) - min(joul
 def source_match(spark, sf):
     """Sources that questions name, with the page counts of the documents; unmatched ones must be none."""
     named = table(spark, sf, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 7).cast("string")).alias("source")).distinct()
-    pages = table(spark, sf, "documents").groupBy("source").agg(F.sum(F.size(F.split("text", "\n"))).alias("pages"))
+    pages = texts(spark, sf).groupBy("source").agg(F.sum(F.size(F.split("text", "\n"))).alias("pages"))
     return named.join(pages, "source", "left").agg(F.countDistinct("source").alias("n_sources"), F.count_if(F.col("pages").isNull()).alias("unmatched"), F.sum("pages").alias("pages"))
 
 
@@ -222,7 +222,7 @@ def source_match(spark, sf):
 def expected_counts(spark, sf):
     """Rows of each kind against the expected number."""
     wanted = spark.createDataFrame([("en", 620), ("fr", 145), ("de", 129), ("es", 100)], "lang string, wanted long")
-    got = table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("got"))
+    got = texts(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("got"))
     return got.join(wanted, "lang").withColumn("met", F.col("got") == F.col("wanted"))
 
 
@@ -231,7 +231,7 @@ _ODD = ((-1, "lf ln a[b c|d lssue", "srcx"), (-2, "short", "srcx"), (-3, "x" * 9
 
 
 def scanned(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "source").union(spark.createDataFrame(_ODD, "doc_id long, text string, source string"))
+    return texts(spark, sf).select("doc_id", "text", "source").union(spark.createDataFrame(_ODD, "doc_id long, text string, source string"))
 
 
 _SCANNED = "(select doc_id, text, source from documents union all select * from (values " + ", ".join(f"({i}, '{t}', '{s}')" for i, t, s in _ODD) + ") v)"
@@ -252,7 +252,7 @@ def scan_verdict(spark, sf):
     from lines l left join edits e using (doc_id, k) group by doc_id""")
 def line_edits(spark, sf):
     """Edits (document, line number, text) applied to the lines that hold the marker; those out of range are skipped."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf).select("doc_id", "text")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
     edits = docs.select("doc_id", (F.col("doc_id") % 4).cast("int").alias("k"), F.concat(F.lit("PATCHED "), F.col("doc_id").cast("string")).alias("new"))
     edits = edits.union(docs.select("doc_id", F.lit(98), F.lit("far")))
@@ -266,7 +266,7 @@ def line_edits(spark, sf):
 def prompt_padding(spark, sf):
     """The longest prefix of a text's tokens up to a target, taken directly."""
     words = T.tokens(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.least(F.size(words), F.lit(64)).alias("n"), F.sha2(F.array_join(F.slice(words, 1, 64), " "), 256).alias("digest"))
+    return texts(spark, sf).select("doc_id", F.least(F.size(words), F.lit(64)).alias("n"), F.sha2(F.array_join(F.slice(words, 1, 64), " "), 256).alias("digest"))
 
 
 @query("""select (select count(*) from benchmark b where not exists (select 1 from benchmark q where q.text = b.text)) as unknown_questions,
@@ -274,7 +274,7 @@ def prompt_padding(spark, sf):
     (select count(*) from documents where regexp_matches(text, '(AKIA|ASIA)[A-Z0-9]{16}')) as with_secrets""")
 def integrity_checks(spark, sf):
     """Probe questions that are no known question, documents that hold a question's whole text, documents with a key."""
-    items, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    items, docs = table(spark, sf, "benchmark"), texts(spark, sf)
     unknown = items.select("text").join(items.select("text"), "text", "left_anti").agg(F.count(F.lit(1)).alias("unknown_questions"))
     pairs = R.located(docs.select("doc_id", "text"), items.select(F.col("item_id").alias("passage_id"), "text"))
     held = pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.select(F.col("item_id").alias("passage_id"), F.col("text").alias("t")), "passage_id").where(F.col("text").contains(F.col("t")))

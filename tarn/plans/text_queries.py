@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as T
 from tarn.operators import retrieval as R
-from tarn.session import table
+from tarn.session import table, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -47,7 +47,7 @@ ANSWERS = f"(select conv_id * 1000 + turn as id, text from conversations where r
 
 
 def with_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text").union(edge_rows(spark))
+    return texts(spark, sf).select("doc_id", "text").union(edge_rows(spark))
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,14 +86,14 @@ CHUNKS = f"""(select doc_id, i as chunk_index, doc_id || '::c' || lpad(i::varcha
 
 @query(f"select doc_id, chunk_index::int as chunk_index, chunk_id, token_start::int as token_start, token_end::int as token_end, n_tokens::int as n_tokens, sha256(text) as digest from {CHUNKS}")
 def chunk_windows(spark, sf):
-    rows = R.chunks(table(spark, sf, "documents"))
+    rows = R.chunks(texts(spark, sf))
     return rows.withColumn("digest", F.sha2("text", 256)).drop("text", "passage", "char_start", "char_end")
 
 
 @query(f"""select count(*) as n_chunks, count(distinct doc_id) as n_docs, count(distinct chunk_id) as n_ids, min(n_tokens)::int as least,
     floor(median(n_tokens))::bigint as middle, max(n_tokens)::int as most, max(chunk_index)::int as last_chunk, sum(n_tokens)::bigint as n_tokens from {CHUNKS}""")
 def chunk_stats(spark, sf):
-    return R.chunks(table(spark, sf, "documents")).agg(
+    return R.chunks(texts(spark, sf)).agg(
         F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("chunk_id").alias("n_ids"),
         F.min("n_tokens").alias("least"), F.floor(F.median("n_tokens")).alias("middle"), F.max("n_tokens").alias("most"),
         F.max("chunk_index").alias("last_chunk"), F.sum("n_tokens").alias("n_tokens"))
@@ -105,7 +105,7 @@ def window_overlap_check(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("doc_id").orderBy("chunk_index")
-    rows = R.chunks(table(spark, sf, "documents")).withColumn("p", F.lag("token_start").over(w)).withColumn("e", F.lag("token_end").over(w)).where("p is not null")
+    rows = R.chunks(texts(spark, sf)).withColumn("p", F.lag("token_start").over(w)).withColumn("e", F.lag("token_end").over(w)).where("p is not null")
     return rows.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("token_start") - F.col("p") == 448).alias("right_step"), F.count_if(F.col("e") - F.col("token_start") == 64).alias("right_overlap"))
 
 
@@ -113,7 +113,7 @@ def spans(spark, sf) -> DataFrame:
     """Pages (lines of a document) with their place in the joined text; an empty page has no width."""
     from pyspark.sql import Window
 
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "page"))
+    rows = texts(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "page"))
     w = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
     full = (F.length("page") > 0).cast("int")
     before, count = F.coalesce(F.sum(F.length("page")).over(w), F.lit(0)), F.coalesce(F.sum(full).over(w), F.lit(0))
@@ -157,13 +157,13 @@ def ranked_sql(scores: str, k: int, item: str = "doc_id") -> str:
 
 @query(f"select term, df::bigint as df, round(ln(n - df + 0.5) - ln(df + 0.5), 6) as idf from (select term, count(*)::double as df from {TF} group by 1), {STATS}")
 def bm25_stats(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     n = F.lit(docs.count()).cast("double")
     return R.idf_table(R.postings(docs), n).select("term", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"))
 
 
 def _rankings(spark, sf, k):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf).select("doc_id", "text")
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return R.ranked(R.bm25_scores(docs, queries), k), R.ranked(R.overlap_scores(docs, queries), k)
 
@@ -196,7 +196,7 @@ LOCATED = f"(select item_id as passage_id, doc_id, instr(hay, needle) as positio
 
 def _gold(spark, sf):
     passages = table(spark, sf, "benchmark").select(F.col("item_id").alias("passage_id"), "text")
-    return R.located(table(spark, sf, "documents").select("doc_id", "text"), passages)
+    return R.located(texts(spark, sf).select("doc_id", "text"), passages)
 
 
 @query(f"select passage_id, doc_id, position::int as position from {LOCATED}")
@@ -241,7 +241,7 @@ SQUASH = lambda c: f"trim(regexp_replace({c}, '{SPACE_SQL}', ' ', 'g'), ' ')"  #
 def fidelity_layers(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", "text")
     b = b.union(b.select("item_id", F.replace("text", F.lit(" "), F.lit("")))).select(F.col("item_id").alias("passage_id"), F.col("text").alias("p"))
-    rows = _gold(spark, sf).join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("d")), "doc_id").join(b, "passage_id")
+    rows = _gold(spark, sf).join(texts(spark, sf).select("doc_id", F.col("text").alias("d")), "doc_id").join(b, "passage_id")
     within = lambda f: f(F.col("d")).contains(f(F.col("p")))
     layer = F.when(within(T.squash), "L0").when(within(lambda c: T.squash(T.plain(c))), "L1").when(within(T.compact), "L2").otherwise("L3")
     return rows.groupBy(layer.alias("layer")).agg(F.count(F.lit(1)).alias("n"))
@@ -307,7 +307,7 @@ PATTERNS = ((1, "licensed under"), (2, "apache license, version [0-9]"), (3, "ze
 @query("""select p.id, count(d.doc_id) as n_docs, min(d.doc_id) as first_doc, min_by(substr(d.text, greatest(1, strpos(lower(d.text), lower(regexp_extract(d.text, '(?i)' || p.pattern))) - 50), 100), d.doc_id) as context
     from (values (1, 'licensed under'), (2, 'apache license, version [0-9]'), (3, 'zebra quagga'), (4, 'rights +reserved')) p(id, pattern) left join documents d on regexp_matches(d.text, '(?i)' || p.pattern) group by 1""")
 def absent_regex_search(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf).select("doc_id", "text")
     # One pass over the documents tests all patterns; the patterns are a fixed list.
     found = []
     for i, pattern in PATTERNS:
@@ -324,5 +324,5 @@ def locate_aligned(spark, sf):
     """Rows only: the alignment is beyond SQL and tested on small cases."""
     from tarn.operators.locate import locate_aligned as aligned
 
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf).select("doc_id", "text")
     return aligned(docs, table(spark, sf, "benchmark").select(F.col("item_id").alias("passage_id"), "text"))

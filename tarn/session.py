@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tarn", cores: int = 8, memory: str = "20g", **extra: str) -> SparkSession:
@@ -25,6 +25,20 @@ def build_session(app: str = "tarn", cores: int = 8, memory: str = "20g", **extr
     return spark
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named input table below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores, for work that is heavy for each row.
+
+    A table of fewer splits than cores, a small one that is, is dealt out anew; a larger one keeps its splits, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread."""
+    return spread(table(spark, sf_dir, "documents"))

@@ -127,3 +127,42 @@ def test_recall_falls_with_wrong_gold(spark):
     assert R.recall(ranking, right).agg(F.avg("any_1")).first()[0] == 1
     assert R.recall(ranking, wrong).agg(F.avg("any_10")).first()[0] == 0
     assert R.recall(ranking, right.union(wrong)).agg(F.avg("all_10")).first()[0] == 0
+
+
+def test_chunk_places_are_those_of_the_text_itself(spark):
+    """Letters that grow in lower case do not shift places; tokens stay those of the lower-case text."""
+    from tarn.operators import retrieval as R
+
+    texts = ["İ ab İx cd", "aİb, Kelvin ß e1", "--- ", "", None, "one", "İİ", "  A-b_c  "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in R.chunks(rows, size=3, overlap=1).orderBy("doc_id", "chunk_index").collect():
+        assert r.passage == texts[r.doc_id][r.char_start : r.char_end] and r.n_tokens == r.token_end - r.token_start == len(r.text.split(" "))
+        found.setdefault(r.doc_id, []).append(r)
+    import re
+
+    for k, text in enumerate(texts):
+        tokens = re.findall("[0-9a-z]+", (text or "").lower())
+        windows = [tokens[s : s + 3] for s in range(0, max(1, len(tokens) - 1), 2)] if tokens else []
+        assert [r.text.split(" ") for r in found.get(k, [])] == windows
+    assert [(r.char_start, r.char_end, r.passage) for r in found[0]] == [(0, 6, "İ ab İ"), (5, 10, "İx cd")]
+
+
+def test_chunks_are_linear_in_the_document(spark):
+    import time
+
+    from pyspark.sql import functions as F
+    from tarn.operators import retrieval as R
+
+    def seconds(n):
+        rows = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.concat(F.lit("w"), k % 999)), " ").alias("text")).checkpoint()
+        best = []
+        for _ in range(2):
+            began = time.perf_counter()
+            R.chunks(rows).write.format("noop").mode("overwrite").save()
+            best.append(time.perf_counter() - began)
+        return min(best)
+
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    seconds(1000)
+    assert seconds(800_000) < 3 * seconds(400_000) + 1.0
