@@ -42,3 +42,11 @@ def spread(rows: DataFrame) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, spread."""
     return spread(table(spark, sf_dir, "documents"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: that of ``spark.checkpoint.dir``, in a local session without it one below the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(folder or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/tarn"

@@ -6,6 +6,8 @@ All listing goes through Spark's own file system, so paths may lie in any store
 from __future__ import annotations
 
 import re
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,18 +48,76 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def replace(rows: DataFrame, path: str) -> None:
-    """Writes a table beside ``path`` and then puts it in its place, so that readers find the old one or the new one whole."""
+    """Replaces a table that is read by its plain path; ``rows`` may read the old one.
+
+    The new table is whole before the old one is moved aside, and a failed move puts the old one back, but between the two moves readers find
+    none. ``publish`` has no such gap.
+    """
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(f"{path}.tmp")
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
-    system = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.delete(old, True)
+    system, at = _system(spark, path)
+    old, new, aside = at(path), at(f"{path}.tmp"), at(f"{path}.old")
+    system.delete(aside, True)
+    had = system.exists(old) and system.rename(old, aside)
     if not system.rename(new, old):
+        if had:
+            system.rename(aside, old)
         raise OSError(f"cannot rename {path}.tmp")
+    system.delete(aside, True)
     spark.catalog.refreshByPath(path)
 
 
+#: Versions of a published table that stay, so that jobs that read an older one can end.
+KEPT = 3
+
+
+def publish(rows: DataFrame, path: str, keep: int = KEPT) -> str:
+    """Makes ``rows`` the table at ``path`` by one atomic step; ``rows`` may read the current one. Returns the new version's folder.
+
+    A version is written whole into a folder of its own. What makes it current is the creation of an empty file named by
+    number and version, so that a reader sees the old version or the new one, and a crash at any place leaves the old one current.
+    Of two writers at once the one whose mark sorts last wins. Folders that no mark names, left by crashes, are removed a day later.
+    """
+    spark = rows.sparkSession
+    version = uuid.uuid4().hex
+    rows.write.mode("errorifexists").parquet(f"{path}/{version}")
+    system, at = _system(spark, path)
+    marks = _marks(spark, path)
+    number = int(marks[-1].split(".")[0]) + 1 if marks else 1
+    if not system.createNewFile(at(f"{path}/_marks/{number:010d}.{version}")):
+        raise OSError(f"version {number} of {path} exists")
+    now = int(time.time() * 1000)
+    named = {m.split(".")[1] for m in marks[-(keep - 1) :]} | {version} if keep > 1 else {version}
+    marked = {m.split(".")[1] for m in marks}
+    for status in system.listStatus(at(path)):
+        name = status.getPath().getName()
+        if name != "_marks" and name not in named and (name in marked or now - status.getModificationTime() > 86_400_000):
+            system.delete(status.getPath(), True)
+    return f"{path}/{version}"
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of the current version of a published table."""
+    marks = _marks(spark, path)
+    if not marks:
+        raise FileNotFoundError(f"no published table at {path}")
+    return f"{path}/{marks[-1].split('.')[1]}"
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(current(spark, path))
+
+
+def _marks(spark: SparkSession, path: str) -> list[str]:
+    return sorted(n for n in names(spark, f"{path}/_marks") if re.fullmatch(r"[0-9]{10}[.][0-9a-f]{32}", n))
+
+
+def _system(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path``, and what makes a path of a text."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 HEADER, FIELD = "^## Q([0-9]+)[ \\t]*$", "^- \\*\\*([a-z0-9_]+):\\*\\* (.*)$"
 
 
@@ -91,10 +151,8 @@ def write_worksheet(rows: DataFrame, path: str, grade: str) -> None:
 
 
 def names(spark: SparkSession, folder: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
+    system, at = _system(spark, folder)
+    return [s.getPath().getName() for s in system.listStatus(at(folder))] if system.exists(at(folder)) else []
 
 
 def latest(spark: SparkSession, folder: str, pattern: str) -> str:

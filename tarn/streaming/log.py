@@ -5,27 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Partition column of a log: the batch that wrote a row.
+BATCH = "_batch"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def append_log(stream: DataFrame, key: list[str], path: str, checkpoint: str):
-    """Starts a query that appends each new key once to ``path``; a restart resumes at its checkpoint.
 
-    Rows with an error count as done, so a resumed run does not retry them.
-    """
+def write_batch(batch: DataFrame, number: int, path: str) -> None:
+    """Writes the rows of batch ``number`` into its own folder, which a replay of the batch overwrites."""
+    batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(key)
-        if _exists(spark, path):
-            new = new.join(spark.read.parquet(path).select(*key), key, "left_anti")
-        new.write.mode("append").parquet(path)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def append_log(stream: DataFrame, key: list[str], path: str, checkpoint: str):
+    """Starts a query that appends the first row of each new key to ``path``; a restart resumes at its checkpoint.
+
+    The keys that are done lie in a state store on the executors' disks, with its changes in the checkpoint: a batch looks up its own keys
+    there and never reads the log, so that its cost does not depend on the log's length. A run that ends between a batch's write and its commit
+    replays the batch from the state before it: the same keys are new and the same folder is written again. Rows with an error count as
+    done, so a resumed run does not retry them.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    new = stream.dropDuplicates(key)
+    return new.writeStream.foreachBatch(lambda rows, number: write_batch(rows, number, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(path).drop(BATCH)
 
 
 def windowed(stream: DataFrame, time: str, length: str, late: str, *by: str) -> DataFrame:

@@ -161,3 +161,87 @@ def test_phases_stop_at_a_closed_gate():
     plan = [phases.Phase("one", lambda: done.append(1)), phases.Phase("two", lambda: done.append(2), gate=lambda: "drifted"), phases.Phase("three", lambda: done.append(3))]
     assert phases.run(plan) == [("one", "done"), ("two", "stopped: drifted")] and done == [1]
     assert phases.run(plan[:1] + plan[2:]) == [("one", "done"), ("three", "done")]
+
+
+def test_published_tables_are_replaced_at_once(spark, tmp_path):
+    """A reader in a loop never fails and sees whole versions; a crash leaves the old one."""
+    import threading
+
+    path = f"{tmp_path}/table"
+    with pytest.raises(FileNotFoundError):
+        files.current(spark, path)
+    files.publish(spark.range(10).withColumn("v", R.F.lit(0)), path)
+    seen, wrong, stop = [], [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            try:
+                rows = [tuple(r) for r in files.read_published(spark, path).groupBy("v").count().collect()]
+                seen.append(rows[0][0])
+                if rows != [(rows[0][0], 10)]:
+                    wrong.append(rows)
+            except Exception as e:
+                wrong.append(e)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for k in range(1, 7):  # each reads the version it replaces
+        files.publish(files.read_published(spark, path).withColumn("v", R.F.lit(k)), path)
+    stop.set()
+    reader.join()
+    assert not wrong and seen == sorted(seen) and len({*seen}) > 1
+    assert len([n for n in files.names(spark, path) if n != "_marks"]) == files.KEPT
+    with pytest.raises(Exception, match="(?i)divi"):  # a job that fails half-way
+        files.publish(spark.range(0, 1000, 1, 4).select(R.F.expr("1 div if(id = 999, 0, 1)").alias("v")), path)
+    assert files.read_published(spark, path).first().v == 6
+    spark.range(3).write.parquet(f"{path}/{'0' * 32}")  # written, never marked
+    assert files.read_published(spark, path).count() == 10
+
+
+def test_a_failed_replacement_leaves_the_old_table(spark, tmp_path):
+    path = f"{tmp_path}/plain"
+    files.replace(spark.range(4), path)
+    with pytest.raises(Exception, match="(?i)divi"):
+        files.replace(spark.range(9).select(R.F.expr("1 div (id - 8)").alias("id")), path)
+    assert spark.read.parquet(path).count() == 4
+
+
+def log_runs(spark, folder, parts, schema="k int, note string"):
+    """One run of the log query after each further part of its input; yields the query."""
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        q = log.append_log(spark.readStream.schema(schema).parquet(f"{folder}/in"), ["k"], f"{folder}/log", f"{folder}/state")
+        q.awaitTermination(120)
+        yield q
+
+
+def test_a_batch_of_the_log_costs_its_own_keys(spark, tmp_path):
+    parts = [[(k, f"run{n}") for k in range(n * 500 - 5, n * 500 + 500)] for n in range(3)] + [[(7, "again"), (9999, "new")]]
+    for n, q in enumerate(log_runs(spark, tmp_path, parts)):
+        state = q.lastProgress["stateOperators"][0]
+        done = q.lastProgress["numInputRows"]
+        # Only the batch's rows are read; what is stored is what is new.
+        assert done == len(parts[n]) and state["numRowsUpdated"] == (505 if n == 0 else 500 if n < 3 else 1)
+        rows = {r.k: r.note for r in log.read_log(spark, f"{tmp_path}/log").collect()}
+        assert len(rows) == log.read_log(spark, f"{tmp_path}/log").count() == state["numRowsTotal"]
+    assert rows[7] == "run0" and rows[9999] == "new" and rows[499] == "run0"
+
+
+def test_a_killed_batch_is_finished_by_the_next_run(spark, tmp_path, monkeypatch):
+    whole = log.write_batch
+
+    def killed(*args):
+        whole(*args)
+        raise RuntimeError("killed between write and commit")
+
+    runs = log_runs(spark, tmp_path, [[(k, "a") for k in range(40)], [(k, "b") for k in range(30, 50)], [(k, "c") for k in range(45, 60)]])
+    next(runs)
+    monkeypatch.setattr(log, "write_batch", killed)
+    with pytest.raises(Exception, match="killed"):
+        next(runs)
+    monkeypatch.setattr(log, "write_batch", whole)
+    for _ in log_runs(spark, tmp_path, [[(k, "c") for k in range(45, 60)]]):
+        pass
+    rows = log.read_log(spark, f"{tmp_path}/log").collect()
+    assert sorted(r.k for r in rows) == list(range(60))
+    assert {r.k: r.note for r in rows}[45] == "b"  # the killed batch's rows, written again by its replay
