@@ -1,32 +1,67 @@
-"""A persisted inverted index: postings, term and document statistics, and a manifest that they must agree with."""
+"""A persisted retrieval index: impact-ordered postings, documents, vectors by centroid, and a manifest they must agree with.
+
+Postings of a term lie in blocks of similar impact (what a term adds for each unit of its weight), each with its greatest
+impact, and terms of similar frequency lie in one shelf, a folder. A search first takes the blocks of greatest impact of each query's heaviest terms
+until they hold several times k postings; the k-th best sum of these is a threshold that the k best documents
+must reach. From the bounds follows what cannot enter any more: terms that even together stay below the threshold need not
+be read (nor their shelves, the largest ones, if no query needs them), nor blocks that with all other terms at their best stay below. What the
+read postings with the bounds of the others still allow is scored exactly from the documents' own term counts. So the result is exact.
+
+Vectors are unit vectors in folders by nearest centroid, with the largest distance from it. A query takes the nearest buckets that hold k
+vectors, whose k-th best distance is its threshold; by the triangle inequality no bucket whose distance less its radius exceeds it
+can hold a better one.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.operators import retrieval as R
 from tarn.sources import files
 
 TABLES = ("documents", "postings", "terms", "manifest")
+#: Postings of a block, levels of impact (of 2.5 at most), seeds for the threshold in multiples of k.
+BLOCK, LEVELS, SEEDS = 128, 16, 4
+#: Scores are rounded to six decimals; bounds that miss a threshold by less count as reaching it.
+SLACK = 1e-5
+#: Centroids at most; each is a row of a matrix that every task holds.
+CENTROIDS = 1024
 
 
 def build(docs: DataFrame, folder: str) -> None:
     """Writes the index of (doc_id, text) below ``folder``; an existing one is never overwritten. Document ids are unique."""
-    write = lambda rows, name: rows.write.mode("errorifexists").parquet(f"{folder}/{name}")
+    write = lambda rows, name, *by: rows.write.mode("errorifexists").partitionBy(*by).parquet(f"{folder}/{name}")
     spark = docs.sparkSession
-    sized = docs.select("doc_id", F.regexp_count(F.lower("text"), F.lit("[0-9a-z]+")).cast("double").alias("dl"))
-    write(sized, "documents")
-    # Postings are sorted by term, so that the statistics of a file's blocks let a reader skip those of other terms.
-    write(R.postings(docs).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+    counts = R.term_counts(docs).groupBy("doc_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+    write(counts.withColumn("terms", F.filter("terms", lambda t: t["term"] != R.WHOLE)), "documents")
     kept = spark.read.parquet(f"{folder}/documents")
-    n = kept.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    df = spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).crossJoin(F.broadcast(n))  # one row
-    write(R.floored(df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), R.EPSILON).select("term", "df", "idf"), "terms")
+    totals = kept.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), F.sum(F.size("terms")).alias("n_postings"))
+    n, avgdl, n_postings = totals.first()
+    rows = kept.select("doc_id", "dl", F.explode("terms").alias("t")).select("doc_id", "t.term", R.impact(F.col("t.tf"), F.col("dl"), F.lit(avgdl)).alias("impact"))
+    terms = rows.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.max("impact").alias("best"))
+    terms = terms.withColumn("idf", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    terms = R.floored(terms, R.EPSILON).withColumn("shelf", F.floor(F.log(4.0, "df")).cast("int"))
+    write(terms.select("term", "df", "idf", "best", "shelf"), "terms")
+    terms = spark.read.parquet(f"{folder}/terms")
+    # Levels of more than a block's postings are split by document; those above a level are counted for each term.
+    rows = rows.withColumn("level", F.floor(F.col("impact") * LEVELS).cast("int"))
+    above = Window.partitionBy("term").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = rows.groupBy("term", "level").agg(F.count(F.lit(1)).alias("size")).withColumn("above", F.coalesce(F.sum("size").over(above), F.lit(0)))
+    large = levels.where(F.col("size") > BLOCK).select("term", "level", "size")
+    placed = rows.join(R.bounded(large, large.count()), ["term", "level"], "left")
+    placed = placed.withColumn("salt", F.when(F.col("size").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK))).cast("int"))
+    blocks = placed.groupBy("term", "level", "salt").agg(F.count(F.lit(1)).alias("size"), F.max("impact").alias("top"), F.collect_list(F.struct("doc_id", "impact")).alias("entries"))
+    blocks = blocks.join(levels.select("term", "level", "above"), ["term", "level"]).join(terms.select("term", "shelf"), "term")
+    blocks = blocks.withColumn("first", F.col("above") + F.col("salt") * BLOCK).drop("level", "salt", "above")
+    write(blocks.repartitionByRange("shelf", "term", "first").sortWithinPartitions("shelf", "term", "first"), "postings", *(["shelf"] if n_postings else []))  # without rows a table of folders has no schema
     count, digest = files.fingerprint(kept, "doc_id")
-    write(n.select("n", "avgdl", F.lit(count).cast("long").alias("n_ids"), F.lit(digest).cast("long").alias("ids")), "manifest")
+    write(spark.createDataFrame([(n, avgdl, count, digest, n_postings or 0)], "n double, avgdl double, n_ids long, ids long, n_postings long"), "manifest")
 
 
 def resolve(spark: SparkSession, folder: str) -> str:
@@ -47,18 +82,207 @@ class Index:
     documents: DataFrame
     avgdl: float
 
+    def _weights(self, queries: DataFrame) -> DataFrame:
+        """(query_id, term, w, up, low, df, shelf) of query terms in the index: weight and bounds of what a term can add."""
+        wanted = R.query_terms(queries)
+        rows = self.terms.join(R.bounded(wanted, wanted.count()), "term").withColumn("w", F.col("qtf") * F.col("idf"))
+        bound = F.col("w") * F.col("best")
+        return rows.select("query_id", "term", "w", F.greatest(bound, F.lit(0.0)).alias("up"), F.least(bound, F.lit(0.0)).alias("low"), "df", "shelf")
+
+    def _met(self, weights: DataFrame) -> DataFrame:
+        """The blocks of the terms of ``weights``, read from their shelves alone."""
+        shelves = [r.shelf for r in weights.select("shelf").distinct().collect()]  # a few dozen at most
+        blocks = self.postings.where(F.col("shelf").isin(shelves)).drop("shelf")
+        return blocks.join(R.bounded(weights.drop("shelf"), weights.count()), "term")
+
     def scores(self, queries: DataFrame) -> DataFrame:
-        """(query_id, doc_id, score) of BM25; only the postings of query terms are joined."""
-        wanted = queries.select("query_id", F.explode(R.T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-        hits = self.postings.join(wanted.join(self.terms, "term"), "term").join(self.documents, "doc_id")
-        part = F.col("qtf") * F.col("idf") * F.col("tf") * (R.K1 + 1) / (F.col("tf") + R.K1 * (1 - R.B + R.B * F.col("dl") / F.lit(self.avgdl)))
-        return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+        """(query_id, doc_id, score) of BM25 of every document that shares a term; all postings of query terms are read."""
+        hits = self._met(self._weights(queries)).select("query_id", "w", F.explode("entries").alias("e"))
+        return hits.groupBy("query_id", "e.doc_id").agg(F.round(F.sum(F.col("w") * F.col("e.impact")), 6).alias("score"))
+
+    def _plan(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """The blocks that are read for the threshold (seeds) and for candidates, each with what the bounds need."""
+        weights = self._weights(queries).persist()
+        order = Window.partitionBy("query_id").orderBy(F.desc("up"), "term")
+        before = F.coalesce(F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        heavy = weights.withColumn("before", before).where((F.col("before") < SEEDS * k) & (F.col("w") > 0))
+        seeds = self._met(heavy).where(F.col("before") + F.col("first") < SEEDS * k)
+        sums = seeds.select("query_id", "w", F.explode("entries").alias("e")).groupBy("query_id", "e.doc_id").agg(F.sum(F.col("w") * F.col("e.impact")).alias("score"))
+        least = R.ranked(sums, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+        whole = weights.groupBy("query_id").agg(F.sum("up").alias("all_up"), F.sum("low").alias("all_low"))
+        bounds = whole.join(least, "query_id", "left").withColumn("threshold", F.col("kth") + F.col("all_low") - SLACK).select("query_id", "all_up", "threshold")
+        rising = Window.partitionBy("query_id").orderBy("up", "term").rowsBetween(Window.unboundedPreceding, 0)
+        split = weights.join(bounds, "query_id").withColumn("so_far", F.sum("up").over(rising))
+        split = split.withColumn("needed", F.col("threshold").isNull() | (F.col("so_far") >= F.col("threshold")))
+        rest = F.sum(F.when(F.col("needed"), 0.0).otherwise(F.col("up"))).over(Window.partitionBy("query_id"))
+        needed = split.withColumn("rest", rest).where("needed").drop("so_far", "needed")
+        alone = F.col("threshold").isNull() | (F.greatest(F.col("w") * F.col("top"), F.lit(0.0)) + F.col("all_up") - F.col("up") >= F.col("threshold"))
+        return seeds, self._met(needed.persist()).where(alone)
+
+    def search(self, queries: DataFrame, k: int = R.DEPTH) -> DataFrame:
+        """query_id, doc_id, score and rank of the k best by BM25, ties by id: the rows of ``R.ranked(scores(queries), k)``."""
+        _, read = self._plan(queries, k)
+        hits = read.select("query_id", "w", "threshold", "rest", F.explode("entries").alias("e")).groupBy("query_id", "threshold", "rest", "e.doc_id")
+        hits = hits.agg(F.sum(F.col("w") * F.col("e.impact")).alias("part")).where("threshold is null or part + rest >= threshold")
+        survivors = hits.select("query_id", "doc_id").persist()
+        weights = self._weights(queries).select("query_id", "term", "w")
+        rows = self.documents.join(R.bounded(survivors, survivors.count()), "doc_id").select("query_id", "doc_id", "dl", F.explode("terms").alias("t"))
+        rows = rows.select("query_id", "doc_id", "dl", "t.term", "t.tf").join(R.bounded(weights, weights.count()), ["query_id", "term"])
+        part = F.col("w") * R.impact(F.col("tf"), F.col("dl"), F.lit(self.avgdl))
+        return R.ranked(rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")), k)
+
+    def reads(self, queries: DataFrame, k: int = R.DEPTH) -> DataFrame:
+        """(query_id, read, whole): postings that ``search`` reads for each query, and all postings of its terms."""
+        seeds, read = self._plan(queries, k)
+        sizes = lambda rows, name: rows.groupBy("query_id").agg(F.sum("size").alias(name))
+        whole = self._weights(queries).groupBy("query_id").agg(F.sum("df").cast("long").alias("whole"))
+        rows = whole.join(sizes(seeds, "seeds"), "query_id", "left").join(sizes(read, "needed"), "query_id", "left")
+        return rows.select("query_id", (F.coalesce("seeds", F.lit(0)) + F.coalesce("needed", F.lit(0))).alias("read"), "whole")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    """The index at ``path``; its documents must be those of its manifest, by number and digest of the ids, frozen or not."""
+    """The index at ``path``; its documents must be those of its manifest, by number and digest of the ids, and its postings theirs, frozen or not."""
     found = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
     manifest = found["manifest"].first()
     if files.fingerprint(found["documents"], "doc_id") != (manifest.n_ids, manifest.ids):
         raise ValueError(f"universe of {path} is not that of its manifest")
+    if (found["postings"].agg(F.sum("size")).first()[0] or 0) != manifest.n_postings:
+        raise ValueError(f"postings of {path} are not those of its universe")
     return Index(found["postings"], found["terms"], found["documents"], manifest.avgdl)
+
+
+def build_vectors(vectors: DataFrame, folder: str, centroids: int = CENTROIDS) -> None:
+    """Writes (vec_id, embedding) as unit vectors by nearest centroid below ``folder``; null and zero vectors are left out.
+
+    The centroids are vectors themselves, drawn by the hash of their id: about the root of the number of vectors, ``centroids`` at most.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.where("embedding is not null").select("vec_id", F.transform("embedding", lambda c: c.cast("double")).alias("v"))
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).where("norm > 0")
+    rows = rows.select("vec_id", F.transform("v", lambda c: c / F.col("norm")).alias("v"))
+    count = min(centroids, max(1, round(rows.count() ** 0.5)))
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).select("v").collect()  # CENTROIDS at most
+    middle = np.array([r.v for r in drawn], dtype=float)
+    kind = rows.schema["vec_id"].dataType.simpleString()
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("v"))
+            # Distances from differences: exact bounds need no cancellation.
+            score = x @ middle.T
+            bucket = score.argmax(axis=1)
+            off = np.linalg.norm(x - middle[bucket], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(off), pa.array(bucket, pa.int32())], names=["vec_id", "v", "off", "bucket"])
+
+    shape = f"vec_id {kind}, v array<double>, off double, bucket int"
+    found = rows.mapInArrow(placed, shape) if len(middle) else spark.createDataFrame([], shape)
+    by = ["bucket"] if len(middle) else []  # without rows a table of folders has no schema
+    found.repartition("bucket").write.mode("errorifexists").partitionBy(*by).parquet(f"{folder}/vectors")
+    kept = spark.read.schema(shape).parquet(f"{folder}/vectors")
+    sizes = kept.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("off").alias("radius"))
+    named = spark.createDataFrame([(i, r.v) for i, r in enumerate(drawn)], "bucket int, centroid array<double>")
+    named.join(sizes, "bucket").coalesce(1).write.mode("errorifexists").parquet(f"{folder}/buckets")
+    ids, digest = files.fingerprint(kept, "vec_id")
+    spark.createDataFrame([(ids, digest)], "n_ids long, ids long").write.mode("errorifexists").parquet(f"{folder}/vector_manifest")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+@dataclass
+class VectorIndex:
+    vectors: DataFrame
+    buckets: DataFrame
+
+    def _pairs(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """(query_id, q, bucket, near, first): queries with the buckets in order of distance, first those that hold k vectors; and these alone."""
+        known = self.buckets.orderBy("bucket").collect()  # CENTROIDS at most
+        middle = np.array([r.centroid for r in known], dtype=float)
+        size, radius, number = (np.array([r[c] for r in known]) for c in ("size", "radius", "bucket"))
+        kind = queries.schema["query_id"].dataType.simpleString()
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, x in enumerate(_matrix(batch.column("q")) if len(number) else ()):
+                    far = np.linalg.norm(middle - x, axis=1)
+                    order = np.lexsort((number, far))
+                    # One more than k, as a query that is itself among the vectors is left out.
+                    first = np.cumsum(size[order]) - size[order] < k + 1
+                    n = len(order)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("query_id").slice(i, 1).take(pa.array([0] * n)), batch.column("q").slice(i, 1).take(pa.array([0] * n)), pa.array(number[order], pa.int32()),
+                         pa.array(np.maximum(far - radius, 0.0)[order]), pa.array(first)], names=["query_id", "q", "bucket", "near", "first"])
+
+        rows = queries.where("embedding is not null").select("query_id", F.transform("embedding", lambda c: c.cast("double")).alias("q"))
+        rows = rows.withColumn("norm", F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, c: s + c * c))).where("norm > 0")
+        rows = rows.select("query_id", F.transform("q", lambda c: c / F.col("norm")).alias("q"))
+        pairs = rows.mapInArrow(placed, f"query_id {kind}, q array<double>, bucket int, near double, first boolean")
+        return pairs, pairs.where("first")
+
+    def _best(self, pairs: DataFrame, k: int) -> DataFrame:
+        """The k best of each query among the vectors of its buckets: one matrix product for a bucket and the queries that read it."""
+        ids = self.vectors.schema["vec_id"].dataType.simpleString()
+        asked = pairs.schema["query_id"].dataType.simpleString()
+
+        def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+            names, kinds = ["query_id", "vec_id", "score"], (queries.schema.field("query_id").type, vectors.schema.field("vec_id").type, pa.float64())
+            out = [pa.table([pa.array([], t) for t in kinds], names=names)]
+            if vectors.num_rows and queries.num_rows:
+                x, ids = _matrix(vectors["v"].combine_chunks()), vectors["vec_id"].combine_chunks()
+                own = np.asarray(ids.to_pylist(), dtype=object)
+                for a in range(0, queries.num_rows, 256):
+                    part = queries.slice(a, 256)
+                    score = _matrix(part["q"].combine_chunks()) @ x.T
+                    for q, row in zip(part["query_id"].to_pylist(), score, strict=True):
+                        row = np.round(row, 6)
+                        row[own == q] = -np.inf
+                        keep = np.flatnonzero(row >= (np.partition(row, -k)[-k] if len(row) > k else -2.0))  # ties of the last stay
+                        out.append(pa.table([pa.array([q] * len(keep), kinds[0]), ids.take(pa.array(keep)), pa.array(row[keep])], names=names))
+            return pa.concat_tables(out)
+
+        vectors = self.vectors.select("bucket", "vec_id", "v")
+        return vectors.groupBy("bucket").cogroup(pairs.select("bucket", "query_id", "q").groupBy("bucket")).applyInArrow(run, f"query_id {asked}, vec_id {ids}, score double")
+
+    def read_pairs(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The k best in the first buckets; the further pairs that their k-th best distance does not exclude; all pairs."""
+        pairs, first = self._pairs(queries, k)
+        seen = R.ranked(self._best(first, k), k, "vec_id").persist()
+        kth = seen.where(F.col("rank") == k).select("query_id", F.sqrt(F.greatest(2 - 2 * (F.col("score") - SLACK), F.lit(0.0))).alias("far"))
+        more = pairs.where("not first").join(R.bounded(kth, kth.count()), "query_id", "left").where("far is null or near <= far")
+        return seen, more, pairs
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """query_id, vec_id, score and rank of the k vectors of greatest cosine, a vector of the query's id left out: the rows of ``R.cosine_topk``."""
+        seen, more, _ = self.read_pairs(queries, k)
+        return R.ranked(seen.drop("rank").union(self._best(more, k)), k, "vec_id")
+
+    def reads(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """(query_id, read, whole): vectors that ``search`` compares with each query, and all vectors."""
+        _, more, pairs = self.read_pairs(queries, k)
+        keys = pairs.where("first").select("query_id", "bucket").union(more.select("query_id", "bucket"))
+        sizes = R.bounded(self.buckets.select("bucket", "size"), CENTROIDS)
+        whole = self.buckets.agg(F.sum("size").alias("whole"))
+        return keys.join(sizes, "bucket").groupBy("query_id").agg(F.sum("size").alias("read")).crossJoin(F.broadcast(whole))  # one row
+
+
+def open_vectors(spark: SparkSession, path: str) -> VectorIndex:
+    """The vectors at ``path``; they must be those of their manifest, by number and digest of the ids."""
+    vectors, buckets = spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/buckets")
+    manifest = spark.read.parquet(f"{path}/vector_manifest").first()
+    if files.fingerprint(vectors, "vec_id") != (manifest.n_ids, manifest.ids):
+        raise ValueError(f"vectors of {path} are not those of their manifest")
+    return VectorIndex(vectors, buckets)
+
+
+def kept(spark: SparkSession, root: str, source: DataFrame, make, *setup: object) -> str:
+    """The folder below ``root`` that ``make(folder)`` has filled from ``source``: made once for these rows and this setup.
+
+    What makes a folder known is one atomic step after it is whole, so that a run that dies half-way leaves nothing behind that is read.
+    """
+    rows = source.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*source.columns).cast("decimal(38,0)")), F.lit(0)).alias("digest")).first()
+    path = f"{root}/{'-'.join(map(str, (*setup, rows.n, rows.digest)))}"
+    try:
+        return files.current(spark, path)
+    except FileNotFoundError:
+        return files.mark(spark, path, make)

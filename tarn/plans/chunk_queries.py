@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
+from tarn.operators import index
 from tarn.operators import retrieval as R
 from tarn.plans.text_queries import CHUNKS, COMPACT, ITEMS, LOCATED, ranked_sql
-from tarn.session import table, texts
+from tarn.session import scratch, table, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -132,14 +133,25 @@ def hashed_vectors(rows: DataFrame, key: str) -> DataFrame:
     return counts.groupBy(key).agg(by_place.alias("m")).select(key, F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("embedding"))
 
 
+def chunk_index(spark, sf) -> tuple[index.Index, index.VectorIndex]:
+    """The persisted index over all chunks, made once for a table of documents; postings and vectors must be those of their manifests."""
+
+    def make(folder: str) -> None:
+        index.build(chunk_docs(spark, sf), folder)
+        index.build_vectors(hashed_vectors(chunk_docs(spark, sf), "doc_id").withColumnRenamed("doc_id", "vec_id"), folder)
+
+    folder = index.kept(spark, f"{scratch(spark)}/chunks", documents(spark, sf), make, R.CHUNK, R.OVERLAP, DIMENSIONS)
+    return index.open_index(spark, folder), index.open_vectors(spark, folder)
+
+
 def sparse(spark, sf, k: int = R.DEPTH) -> DataFrame:
-    docs, queries = chunk_docs(spark, sf), asked(spark, sf)
-    return R.ranked(R.filled(R.bm25_scores(docs, queries, R.EPSILON), docs, queries), k)
+    opened, queries = chunk_index(spark, sf)[0], asked(spark, sf)
+    found = opened.search(queries, k).select("query_id", "doc_id", "score").persist()
+    return R.ranked(R.filled(found, opened.documents, queries), k)
 
 
 def dense(spark, sf, k: int = R.DEPTH) -> DataFrame:
-    vectors = hashed_vectors(chunk_docs(spark, sf), "doc_id").withColumnRenamed("doc_id", "vec_id")
-    return R.cosine_topk(vectors, hashed_vectors(asked(spark, sf), "query_id"), k).withColumnRenamed("vec_id", "doc_id")
+    return chunk_index(spark, sf)[1].search(hashed_vectors(asked(spark, sf), "query_id"), k).withColumnRenamed("vec_id", "doc_id")
 
 
 _TERMS = f"(select chunk_id as doc_id, unnest(string_split(text, ' ')) as term from {CHUNKS})"
@@ -167,8 +179,15 @@ def bm25_chunks(spark, sf):
     return R.ranked(R.bm25_scores(chunk_docs(spark, sf), asked(spark, sf), R.EPSILON), 10).withColumnRenamed("doc_id", "chunk_id")
 
 
+@query(f"select query_id, doc_id as chunk_id, score, rank::int as rank from {ranked_sql(SPARSE, 100)}")
+def bm25_pruned(spark, sf):
+    """The 100 best chunks from the impact-ordered postings of the persisted index."""
+    return chunk_index(spark, sf)[0].search(asked(spark, sf)).withColumnRenamed("doc_id", "chunk_id")
+
+
 @query(f"select query_id, doc_id as chunk_id, score, rank::int as rank from {ranked_sql(DENSE, 10)}")
 def dense_chunks(spark, sf):
+    """The ten nearest chunks from the vectors of the persisted index."""
     return dense(spark, sf, 10).withColumnRenamed("doc_id", "chunk_id")
 
 

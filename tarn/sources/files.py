@@ -79,13 +79,10 @@ def publish(rows: DataFrame, path: str, keep: int = KEPT) -> str:
     Of two writers at once the one whose mark sorts last wins. Folders that no mark names, left by crashes, are removed a day later.
     """
     spark = rows.sparkSession
-    version = uuid.uuid4().hex
-    rows.write.mode("errorifexists").parquet(f"{path}/{version}")
     system, at = _system(spark, path)
     marks = _marks(spark, path)
-    number = int(marks[-1].split(".")[0]) + 1 if marks else 1
-    if not system.createNewFile(at(f"{path}/_marks/{number:010d}.{version}")):
-        raise OSError(f"version {number} of {path} exists")
+    folder = mark(spark, path, lambda to: rows.write.mode("errorifexists").parquet(to))
+    version = folder.rpartition("/")[2]
     now = int(time.time() * 1000)
     named = {m.split(".")[1] for m in marks[-(keep - 1) :]} | {version} if keep > 1 else {version}
     marked = {m.split(".")[1] for m in marks}
@@ -93,6 +90,18 @@ def publish(rows: DataFrame, path: str, keep: int = KEPT) -> str:
         name = status.getPath().getName()
         if name != "_marks" and name not in named and (name in marked or now - status.getModificationTime() > 86_400_000):
             system.delete(status.getPath(), True)
+    return folder
+
+
+def mark(spark: SparkSession, path: str, make) -> str:
+    """Lets ``make(folder)`` fill a new folder below ``path`` and then makes it the current version. Returns the folder."""
+    version = uuid.uuid4().hex
+    make(f"{path}/{version}")
+    system, at = _system(spark, path)
+    marks = _marks(spark, path)
+    number = int(marks[-1].split(".")[0]) + 1 if marks else 1
+    if not system.createNewFile(at(f"{path}/_marks/{number:010d}.{version}")):
+        raise OSError(f"version {number} of {path} exists")
     return f"{path}/{version}"
 
 
