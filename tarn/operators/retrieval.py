@@ -248,12 +248,29 @@ def located_spans(docs: DataFrame, passages: DataFrame) -> DataFrame:
     return rows.select("passage_id", "doc_id", F.get("map", F.col("position") - 1).alias("lo"), (F.get("map", F.col("position") + F.col("n") - 2) + 1).alias("hi"))
 
 
-def overlapping(spans: DataFrame, parts: DataFrame, lo: str, hi: str) -> DataFrame:
-    """Spans (doc_id, lo, hi) with the parts (doc_id, ...) of the document that they overlap."""
-    return spans.join(parts, (spans["doc_id"] == parts["doc_id"]) & (parts[lo] < spans["hi"]) & (parts[hi] > spans["lo"])).drop(parts["doc_id"])
+#: Characters of a bin under which intervals meet.
+BIN = 4096
 
 
-def page_of(points: DataFrame, pages: DataFrame) -> DataFrame:
+def binned(rows: DataFrame, lo: Column, hi: Column, width: int = BIN) -> DataFrame:
+    """A row for each ``bin`` that the interval from ``lo`` to ``hi`` - 1 touches; one without characters is in that of ``lo``."""
+    number = lambda c: F.floor(c / width).cast("long")
+    return rows.withColumn("bin", F.explode(F.sequence(number(lo), number(F.greatest(lo, hi - 1)))))
+
+
+def overlapping(spans: DataFrame, parts: DataFrame, lo: str, hi: str, width: int = BIN) -> DataFrame:
+    """Spans (doc_id, lo, hi) with the parts (doc_id, ...) of the document that they overlap.
+
+    Both are dealt out by document and bin, so that a long document splits over tasks and no product of its spans and parts is made. A
+    pair counts in the bin where its common characters begin.
+    """
+    a, b = binned(spans, F.col("lo"), F.col("hi"), width), binned(parts, F.col(lo), F.col(hi), width).withColumnsRenamed({"doc_id": "of", "bin": "at"})
+    met = a.join(b, (F.col("doc_id") == F.col("of")) & (F.col("bin") == F.col("at")) & (F.col(lo) < F.col("hi")) & (F.col(hi) > F.col("lo")))
+    return met.where(F.col("bin") == F.floor(F.greatest("lo", lo) / width)).drop("bin", "of", "at")
+
+
+def page_of(points: DataFrame, pages: DataFrame, width: int = BIN) -> DataFrame:
     """points (point_id, doc_id, at) with the first page (doc_id, page_no, span_start, span_end) that holds ``at``, ends included."""
-    met = points.join(pages, "doc_id", "left").where("span_start <= at and at <= span_end")
+    held = binned(pages, F.col("span_start"), F.col("span_end") + 1, width)
+    met = points.withColumn("bin", F.floor(F.col("at") / width).cast("long")).join(held, ["doc_id", "bin"]).where("span_start <= at and at <= span_end")
     return met.groupBy("point_id").agg(F.min("page_no").alias("page_no"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
-from tarn.operators import index
+from tarn.operators import index, locate
 from tarn.operators import retrieval as R
 from tarn.plans.text_queries import CHUNKS, COMPACT, ITEMS, LOCATED, ranked_sql
 from tarn.session import scratch, table, texts
@@ -237,3 +237,65 @@ def recall_both(spark, sf):
     names = [f"{kind}_{k}" for k in _KS for kind in ("both", "all")]
     per_question = each.groupBy("q").agg(F.count(F.lit(1)).alias("n_records"), (F.countDistinct("of") > 1).alias("crosses"), *[F.min(c).alias(c) for c in names])
     return per_question.where("n_records = 2").groupBy("crosses").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in names])
+
+
+#: Composite passages: of each document of 200 tokens or more the first 20 tokens and the last 20, where the first token of either is nowhere
+#: else in the document. So both stretches lie in one place each, and no stretch with tokens of both is dense enough.
+ENDS, LEAST = 20, 200
+_LONG = f"""(select * from (select doc_id, regexp_extract_all(lower(text), '[0-9a-z]+') as w from documents)
+    where len(w) >= {LEAST} and len(list_filter(w, lambda x: x = w[1])) = 1 and len(list_filter(w, lambda x: x = w[len(w) - {ENDS - 1}])) = 1)"""
+_PLACED = f"(select d.doc_id, len(w) as n_words, i, e - n as lo, e as hi from {_LONG} d join {TOKEN_PLACES} p on p.doc_id = d.doc_id)"
+COMPOSITE_SPANS = f"""(with t as materialized (select * from {_PLACED} where i in (1, {ENDS}, n_words - {ENDS - 1}, n_words))
+  select doc_id as passage_id, doc_id, 0 as segment, max(lo) filter (i = 1) as lo, max(hi) filter (i = {ENDS}) as hi from t group by doc_id
+  union all select doc_id, doc_id, 1, max(lo) filter (i = n_words - {ENDS - 1}), max(hi) filter (i = n_words) from t group by doc_id)"""
+COMPOSITE_CHUNKS = f"""(select distinct s.passage_id, c.chunk_id from {COMPOSITE_SPANS} s join {CHUNK_SPANS} c on c.doc_id = s.doc_id and c.char_start < s.hi and c.char_end > s.lo)"""
+
+
+def composites(spark, sf) -> DataFrame:
+    """(passage_id, doc_id, text) of the composite passages."""
+    rows = documents(spark, sf).select("doc_id", T.tokens(F.col("text")).alias("w"))
+    # No lambda over the tokens: the optimiser would move the text's tokenisation into it.
+    alone = lambda k: F.size("w") - F.size(F.array_remove("w", F.element_at("w", k))) == 1
+    rows = rows.where(F.size("w") >= LEAST).where(alone(1) & alone(-ENDS))
+    text = F.array_join(F.concat(F.slice("w", 1, ENDS), F.slice("w", -ENDS, ENDS)), " ")
+    return rows.select(F.col("doc_id").alias("passage_id"), "doc_id", text.alias("text"))
+
+
+def composite_gold(spark, sf) -> DataFrame:
+    """(passage_id, doc_id, n_spans, chunk_id) of the composite passages: each chunk once that one of their segments overlaps."""
+    parts = R.chunks(documents(spark, sf)).select("doc_id", "chunk_id", "char_start", "char_end")
+    spans = locate.gold_segments(documents(spark, sf), composites(spark, sf))
+    return R.overlapping(spans, parts, "char_start", "char_end").select("passage_id", "doc_id", "n_spans", "chunk_id").distinct()
+
+
+@query(f"select passage_id, doc_id, segment, lo::int as lo, hi::int as hi, 2 as n_spans, 1.0::double as coverage, 1.0::double as density from {COMPOSITE_SPANS}")
+def composite_segments(spark, sf):
+    """Characters of each segment of passages that lie in several places."""
+    return locate.gold_segments(documents(spark, sf), composites(spark, sf))
+
+
+@query(f"""select n_spans, n_chunks, count(*) as n, count_if(n_chunks > 1 and n_spans = 1) as straddling, count_if(n_chunks > 1 and n_spans > 1) as composite from
+    (select 1 as n_spans, count(*) as n_chunks from {GOLD_CHUNKS} group by passage_id, doc_id union all select 2, count(*) from {COMPOSITE_CHUNKS} group by passage_id) group by 1, 2""")
+def composite_spread(spark, sf):
+    """Located passages by segments and chunks: one segment in several chunks straddles their ends, several segments are composite."""
+    rows = gold_chunks(spark, sf).groupBy("passage_id", "doc_id").agg(F.lit(1).alias("n_spans"), F.count(F.lit(1)).alias("n_chunks")).select("n_spans", "n_chunks")
+    rows = rows.union(composite_gold(spark, sf).groupBy("passage_id", "n_spans").agg(F.count(F.lit(1)).alias("n_chunks")).select("n_spans", "n_chunks"))
+    several = F.col("n_chunks") > 1
+    return rows.groupBy("n_spans", "n_chunks").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(several & (F.col("n_spans") == 1)).alias("straddling"), F.count_if(several & (F.col("n_spans") > 1)).alias("composite"))
+
+
+_COMPOSITE_ASKED = f"(select doc_id as query_id, unnest(w[1:{ENDS}] || w[len(w) - {ENDS - 1}:len(w)]) as term from {_LONG})"
+_COMPOSITE_RANKED = ranked_sql(SPARSE.replace(_ASKED, _COMPOSITE_ASKED), 10)
+
+
+@query(f"""with hits as (select g.passage_id, {', '.join(f'max((coalesce(rank, 99) <= {k})::int) as any_{k}, min((coalesce(rank, 99) <= {k})::int) as all_{k}' for k in _KS)}
+    from {COMPOSITE_CHUNKS} g left join {_COMPOSITE_RANKED} r on r.query_id = g.passage_id and r.doc_id = g.chunk_id group by 1)
+  select count(*) as n, {', '.join(f'round(avg(any_{k}), 6) as any_{k}, round(avg(all_{k}), 6) as all_{k}' for k in _KS)} from hits""")
+def recall_composite(spark, sf):
+    """Any-hit and all-hit recall of chunks over composite passages, asked by their own text."""
+    queries = composites(spark, sf).select(F.col("passage_id").alias("query_id"), "text")
+    ranking = chunk_index(spark, sf)[0].search(queries, 10)
+    gold = composite_gold(spark, sf).select(F.col("passage_id").alias("query_id"), F.col("chunk_id").alias("doc_id"))
+    rows = R.recall(ranking, gold, _KS)
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(f"{kind}_{k}"), 6).alias(f"{kind}_{k}") for k in _KS for kind in ("any", "all")])

@@ -137,8 +137,8 @@ def page_spans(spark, sf):
 def chunk_pages_range_join(spark, sf):
     pages = spans(spark, sf)
     wins = pages.groupBy("doc_id").agg(F.max("span_end").alias("m")).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("m div 1792"))).alias("win"))
-    wins = wins.select("doc_id", "win", (F.col("win") * 1792).alias("ws"), (F.col("win") * 1792 + 2048).alias("we"))
-    met = wins.join(pages, "doc_id").where("span_start < we and span_end > ws")
+    wins = wins.select("doc_id", "win", (F.col("win") * 1792).alias("lo"), (F.col("win") * 1792 + 2048).alias("hi"))
+    met = R.overlapping(wins, pages, "span_start", "span_end")
     return met.groupBy("doc_id", "win").agg(F.count(F.lit(1)).alias("n_pages"), F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"))
 
 

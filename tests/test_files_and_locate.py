@@ -245,3 +245,26 @@ def test_a_killed_batch_is_finished_by_the_next_run(spark, tmp_path, monkeypatch
     rows = log.read_log(spark, f"{tmp_path}/log").collect()
     assert sorted(r.k for r in rows) == list(range(60))
     assert {r.k: r.note for r in rows}[45] == "b"  # the killed batch's rows, written again by its replay
+
+
+def test_gold_segments(spark):
+    far = " ".join(f"z{k}" for k in range(300))
+    docs = spark.createDataFrame([(1, f"Head: one two, three four FIVE six. {far} alpha beta-gamma delta epsilon zeta!"), (2, "İ some “thing” to find here"), (3, None), (4, "other")], "doc_id string, text string")
+    passages = spark.createDataFrame([
+        (1, "1", "one two three four five six alpha beta gamma delta epsilon zeta"), (2, "2", "something tofind"), (3, "3", "one"), (4, "4", "quite different words all along"), (5, "1", None), (6, "1", "...")],
+        "passage_id long, doc_id string, text string")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    found = {(r.passage_id, r.segment): r for r in locate.gold_segments(docs, passages).collect()}
+    assert sorted(found) == [(1, 0), (1, 1), (2, 0)]
+    cut = {k: text[r.doc_id][r.lo : r.hi] for k, r in found.items()}
+    assert cut == {(1, 0): "one two, three four FIVE six", (1, 1): "alpha beta-gamma delta epsilon zeta", (2, 0): "some “thing” to find"}
+    assert found[1, 1].n_spans == 2 and found[1, 0].coverage == found[1, 0].density == 1.0
+
+
+def test_blocks_of_passages_of_one_document(spark, monkeypatch):
+    monkeypatch.setattr(locate, "PASSAGES", 3)
+    words = [f"a{k}" for k in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[::-1]))], "doc_id long, text string")
+    passages = spark.createDataFrame([(k, " ".join(words[k * 10 : k * 10 + 8])) for k in range(18)], "passage_id long, text string")
+    rows = [r for r in locate.locate_aligned(docs, passages).collect() if r.found]
+    assert sorted((r.passage_id, r.doc_id, r.first_token, r.n_spans) for r in rows) == [(k, 1, k * 10, 1) for k in range(18)]

@@ -166,3 +166,26 @@ def test_chunks_are_linear_in_the_document(spark):
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     seconds(1000)
     assert seconds(800_000) < 3 * seconds(400_000) + 1.0
+
+
+def test_interval_joins_by_bins_are_the_products(spark):
+    """Spans and parts of any length, none and beyond several bins; every pair once."""
+    import random
+
+    from tarn.operators import retrieval as R
+
+    r = random.Random(8)
+    interval = lambda: (lo := r.choice([0, 8, 16, r.randrange(100)]), lo + r.choice([0, 0, 1, 3, 8, 40]))
+    spans = [(k, r.randrange(3), *interval()) for k in range(60)]
+    parts = [(r.randrange(3), k, *interval()) for k in range(80)]
+    a = spark.createDataFrame(spans, "passage_id long, doc_id long, lo long, hi long")
+    b = spark.createDataFrame(parts, "doc_id long, page_no long, span_start long, span_end long")
+    got = sorted((x.passage_id, x.doc_id, x.page_no) for x in R.overlapping(a, b, "span_start", "span_end", 8).collect())
+    assert got == sorted((s, d, p) for s, d, lo, hi in spans for of, p, start, end in parts if of == d and start < hi and end > lo)
+    points = a.selectExpr("passage_id as point_id", "doc_id", "lo as at")
+    want = {}
+    for s, d, at, _ in spans:
+        pages = [p for of, p, start, end in parts if of == d and start <= at <= end]
+        if pages:
+            want[s] = min(pages)
+    assert {x.point_id: x.page_no for x in R.page_of(points, b, 8).collect()} == want
