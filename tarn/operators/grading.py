@@ -9,8 +9,11 @@ from tarn.functions import text as T
 
 # Kinds of questions with rules of their own.
 TWO_SOURCES, ABSENT, NUMERIC = 4, 5, (1, 3)
+# Fixed value: the instruction of a prompt with a context.
 INSTRUCTION = "Answer the question using only the context below. If the context does not contain the answer, say so."
-#: Fields of an item that a grader may see.
+# Where a context comes from.
+NO_CONTEXT, ONE_PASSAGE, TWO_PASSAGES, BEST_CHUNK, BEST_CHUNKS = "none", "gold_passage", "gold_passage_pair", "retrieved_chunk", "retrieved_top_k"
+# Fields of an item that a grader may see.
 ITEM_FIELDS = ("id", "question", "gold_answer", "model_answer", "context")
 # What would tell a grader which system answered.
 REVEALING = (r"\bqwen\S*", r"\bgpu\b", r"\bnpu\b", r"\bclosed[_\- ]book\b", r"\boracle[_\- ]rag\b", r"\bmodel_path\b", r"\brun_id\b", r"\boracle_context_source\b", r"\bqwen3-\d")
@@ -23,12 +26,28 @@ CONTEXT_RULE = "Items with a context also get groundedness (2 fully, 1 partly, 0
 OUTPUT_RULE = "Return a JSON array with id, accuracy, groundedness, cited and reason of each item."
 
 
-def oracle_context(kind: Column, gold: Column, second: Column, top: Column) -> Column:
-    """(source, passages) that a question is given: the best chunk if its answer is absent, both passages if it has two, else its passage."""
+def oracle_context(kind: Column, gold: Column, second: Column, top: Column, top_id: Column | None = None) -> Column:
+    """(source, passages, chunk_ids) that a question is given: the best chunk if its answer is absent, both passages if it has two, else its passage.
+
+    ``chunk_ids`` names the chunks that were retrieved for it: the best one, or none.
+    """
+    none = F.array().cast("array<string>")
+    given = lambda source, ids, *texts: F.struct(F.lit(source).alias("source"), F.array(*texts).alias("passages"), ids.alias("chunk_ids"))
     return (
-        F.when(kind == ABSENT, F.struct(F.lit("retrieved_chunk").alias("source"), F.array(top).alias("passages")))
-        .when(kind == TWO_SOURCES, F.struct(F.lit("gold_pair").alias("source"), F.array(gold, second).alias("passages")))
-        .otherwise(F.struct(F.lit("gold").alias("source"), F.array(gold).alias("passages"))))
+        F.when(kind == ABSENT, given(BEST_CHUNK, none if top_id is None else F.array(top_id), top))
+        .when(kind == TWO_SOURCES, given(TWO_PASSAGES, none, gold, second))
+        .otherwise(given(ONE_PASSAGE, none, gold)))
+
+
+def context_source(cond: Column, kind: Column) -> Column:
+    """Where the context of a row comes from: none in the closed book, the best chunks with retrieval, what the oracle rule says else."""
+    oracle = F.when(kind == ABSENT, BEST_CHUNK).when(kind == TWO_SOURCES, TWO_PASSAGES).otherwise(ONE_PASSAGE)
+    return F.when(cond == "closed_book", NO_CONTEXT).when(cond == "rag", BEST_CHUNKS).otherwise(oracle)
+
+
+def pays_retrieval(source: Column) -> Column:
+    """Whether a row is charged for retrieval: by where its context comes from, whatever its condition."""
+    return source.isin(BEST_CHUNK, BEST_CHUNKS)
 
 
 def user_content(question: Column, passages: Column) -> Column:
@@ -80,11 +99,11 @@ def agreement(rows: DataFrame, case: list[str], device: str, kind: str, output:
 def graded(rows: DataFrame, replies: DataFrame) -> DataFrame:
     """Rows (row_id, answer, context_ids, gold_ids) with their grades from ``replies`` (row_id, accuracy, groundedness, cited).
 
-    Empty answers score 0 and are not judged, whatever their kind. A citation is right if one of the cited ids is gold; it is null
+    Empty answers, white space alone too, score 0 and are not judged, whatever their kind. A citation is right if one of the cited ids is gold; it is null
     without a context or citations.
     """
     joined = rows.join(replies, "row_id", "left")
-    empty = F.coalesce(F.col("answer"), F.lit("")) == ""
+    empty = F.regexp_replace(F.coalesce(F.col("answer"), F.lit("")), T.SPACE, "") == ""
     cited = F.when(~empty, F.col("cited"))
     right = F.when((F.size(F.coalesce("context_ids", F.array().cast("array<string>"))) > 0) & (F.size(cited) > 0), F.arrays_overlap(cited, F.coalesce("gold_ids", F.array().cast("array<string>"))))
     return joined.select(

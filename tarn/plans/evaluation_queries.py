@@ -21,6 +21,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 #: The logged grid: one row for each answered question.
 GRID_SQL = """(select event_id as qid, event_type as model, case when user_id % 2 = 0 then 'gpu' else 'npu' end as device,
     case user_id % 3 when 0 then 'closed_book' when 1 then 'rag' else 'oracle' end as cond, event_id % 6 + 1 as kind, event_id % 5 as rep,
+    case when user_id % 3 = 0 then 'none' when user_id % 3 = 1 then 'retrieved_top_k' when event_id % 6 = 4 then 'retrieved_chunk' when event_id % 6 = 3 then 'gold_passage_pair' else 'gold_passage' end as source,
     user_id, value as joules, cast(K as bigint) as work, (event_id * 7 + cast(K as bigint)) % 3 as score, ts from {events})"""
 GRID_SPARK = GRID_SQL.replace("K as bigint", "get_json_object(props, '$.k') as bigint")
 GRID_DUCK = GRID_SQL.replace("K as bigint", "json_extract_string(props, '$.k') as bigint")
@@ -51,8 +52,9 @@ CELL = "model, device, cond"
 
 portable("json_props", "select qid, model, work, joules from {grid} g")
 portable("cell_medians", f"""select {CELL}, count(*) as n, round(median(joules), 6) as joules, round(median(work), 6) as work,
-    round(median(case when cond = 'rag' then 0.0773 else 0 end + joules), 6) as total from {{grid}} g group by {CELL}""")
-portable("retrieval_energy", "select cond, count(*) as n, round(sum(case when cond in ('rag', 'oracle') and kind = 5 or cond = 'rag' then 0.0773 else 0 end), 4) as joules from {grid} g group by cond")
+    round(median(case when source in ('retrieved_top_k', 'retrieved_chunk') then 773e-4 else 0e0 end + joules), 6) as total from {{grid}} g group by {CELL}""")
+# Retrieval is charged by where the context comes from, not by the condition.
+portable("retrieval_energy", "select cond, source, count(*) as n, count_if(source in ('retrieved_top_k', 'retrieved_chunk')) as charged, round(sum(case when source in ('retrieved_top_k', 'retrieved_chunk') then 773e-4 else 0e0 end), 4) as joules from {grid} g group by cond, source")
 portable("accuracy_matrix", "select model, cond, " + ", ".join(f"round(avg(case when kind = {k} then score end) / 2, 6) as kind_{k}" for k in range(1, 7)) + ", count(*) as n from {grid} g group by model, cond")
 portable("joules_per_correct", f"""select {CELL}, n, round(acc, 6) as accuracy, round(strict, 6) as strict, round(j, 6) as joules, empty,
     case when acc > 0.005 then round(j / acc, 4) end as per_correct, case when strict > 0.005 then round(j / strict, 4) end as per_strict, acc <= 0.005 as is_infinite
@@ -134,7 +136,7 @@ _CHOSEN = f"(select * from (select *, row_number() over (partition by model, dev
 two_dialects("energy_form_choice", f"select model, device, form, round(mae, 5) as mae, round(mape, 3) as mape, least >= 0 as valid, q, round(slope, 4) as slope, round(intercept, 3) as intercept from {_CHOSEN} c")
 _AT = "case form " + " ".join(f"when '{form}' then {x}" for form, (x, _) in FORMS.items()).replace("work / q", "work / nullif(q, 0)") + " end"
 two_dialects("energy_predict", f"""select qid, round(prefill, 4) as e_prefill, round(decode, 4) as e_decode, retrieval as e_retrieval, round(prefill + decode + retrieval, 4) as e_total from
-    (select qid, greatest(0e0, c.slope * {_AT} + c.intercept) as prefill, greatest(0e0, d.slope * kind) as decode, case when cond = 'rag' or cond = 'oracle' and kind = 5 then 0.0773e0 else 0e0 end as retrieval
+    (select qid, greatest(0e0, c.slope * {_AT} + c.intercept) as prefill, greatest(0e0, d.slope * kind) as decode, case when source in ('retrieved_top_k', 'retrieved_chunk') then 773e-4 else 0e0 end as retrieval
      from {{grid}} g join {_CHOSEN} c on g.model = c.model and g.device = c.device
      join (select model as m, device as e, regr_slope(joules, kind) as slope from {{grid}} s group by model, device) d on g.model = d.m and g.device = d.e) x""")
 

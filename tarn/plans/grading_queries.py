@@ -57,14 +57,14 @@ _QUESTIONS = f"""(select b.item_id, (b.item_id % 6 + 1)::int as kind, b.text, s.
 @query(f"""select item_id, cond, source, sha256(case when cond = 'closed_book' then 'Question: ' || text else
     'Answer the question using only the context below. If the context does not contain the answer, say so.' || chr(10) || chr(10) || 'Context:' || chr(10) || '[1] ' || trim(one, ' ' || chr(9) || chr(10) || chr(13))
       || coalesce(chr(10) || chr(10) || '[2] ' || trim(two, ' ' || chr(9) || chr(10) || chr(13)), '') || chr(10) || chr(10) || 'Question: ' || text end) as prompt
-    from (select item_id, kind, text, 'closed_book' as cond, null as source, null as one, null as two from {_QUESTIONS}
-      union all select item_id, kind, text, 'oracle', case when kind = 5 then 'retrieved_chunk' when kind = 4 then 'gold_pair' else 'gold' end, case when kind = 5 then top else text end, case when kind = 4 then coalesce(second, '') end from {_QUESTIONS}) q""")
+    from (select item_id, kind, text, 'closed_book' as cond, 'none' as source, null as one, null as two from {_QUESTIONS}
+      union all select item_id, kind, text, 'oracle', case when kind = 5 then 'retrieved_chunk' when kind = 4 then 'gold_passage_pair' else 'gold_passage' end, case when kind = 5 then top else text end, case when kind = 4 then coalesce(second, '') end from {_QUESTIONS}) q""")
 def prompt_build(spark, sf):
     """Prompts of the closed book and with the context that the oracle rule chooses, as hashes."""
     q = questions(spark, sf)
     text = F.col("text")
     ctx = G.oracle_context(F.col("kind"), text, F.coalesce("second", F.lit("")), F.col("top"))
-    closed = q.select("item_id", F.lit("closed_book").alias("cond"), F.lit(None).cast("string").alias("source"), F.sha2(G.user_content(text, F.lit(None).cast("array<string>")), 256).alias("prompt"))
+    closed = q.select("item_id", F.lit("closed_book").alias("cond"), F.lit(G.NO_CONTEXT).alias("source"), F.sha2(G.user_content(text, F.lit(None).cast("array<string>")), 256).alias("prompt"))
     given = q.withColumn("ctx", ctx).select("item_id", F.lit("oracle").alias("cond"), F.col("ctx.source").alias("source"), F.sha2(G.user_content(text, F.col("ctx.passages")), 256).alias("prompt"))
     return closed.union(given)
 
@@ -190,7 +190,7 @@ portable("batch_verdict", f"""select n, round(same, 6) as same, round(difference
     from (select count(*) as n, avg(case when score = other then 1e0 else 0e0 end) as same, avg(score - other) as difference from {_BATCH} b) x""")
 
 # Keys, costs and rates of logged rows.
-portable("run_keys", "select model, cond, kind, device, no_think, count(*) as n from (select model, cond, kind, device, coalesce(case when work % 3 = 0 then null when work % 3 = 1 then true else false end, true) as no_think from {grid} g) x group by model, cond, kind, device, no_think")
+portable("run_keys", "select model, cond, qid, k, device, no_think, count(*) as n from (select model, cond, qid, case when cond = 'rag' then 5 when source = 'retrieved_chunk' then 1 end as k, device, coalesce(case when work % 3 = 0 then null when work % 3 = 1 then true else false end, true) as no_think from {grid} g) x group by model, cond, qid, k, device, no_think")
 portable("runtime_estimate", "select model, round(avg(joules), 6) as mean_seconds, round(avg(joules) * 2676 * 1.8 / 3600, 4) as hours from {grid} g where work % 17 <> 1 group by model")
 portable("component_energy", "select cond, count(*) as reps, round(sum(joules) / count(*), 6) as per_call, round(sum(joules - 5e-1 * work) / count(*), 6) as marginal_per_call from {grid} g group by cond")
 portable("sweep_cell_medians", "select kind, work, count(*) as n, round(median(joules - 5e-1 * work), 6) as marginal from {grid} g group by kind, work")
@@ -218,12 +218,19 @@ def source_match(spark, sf):
     return named.join(pages, "source", "left").agg(F.countDistinct("source").alias("n_sources"), F.count_if(F.col("pages").isNull()).alias("unmatched"), F.sum("pages").alias("pages"))
 
 
-@query("select lang, count(*) as got, any_value(wanted) as wanted, count(*) = any_value(wanted) as met from documents join (values ('en', 620::bigint), ('fr', 145), ('de', 129), ('es', 100)) w(l, wanted) on l = lang group by lang")
+@query("""select coalesce(g.kind, w.kind) as kind, coalesce(got, 0) as got, coalesce(wanted, 0) as wanted, coalesce(got, 0) = coalesce(wanted, 0) as met
+    from (select lang as kind, count(*) as got from documents group by 1 union all select 'total', count(*) from documents) g
+    full join (select lang as kind, count(*) as wanted from labels join documents using (doc_id) group by 1 union all select 'total', count(*) from labels union all select 'absent', 1) w on w.kind is not distinct from g.kind""")
 def expected_counts(spark, sf):
-    """Rows of each kind against the expected number."""
-    wanted = spark.createDataFrame([("en", 620), ("fr", 145), ("de", 129), ("es", 100)], "lang string, wanted long")
-    got = texts(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("got"))
-    return got.join(wanted, "lang").withColumn("met", F.col("got") == F.col("wanted"))
+    """Documents of each language and all of them against the expected numbers, here those of the labels: languages that are missing or not expected are rows too."""
+    docs, labels = texts(spark, sf), table(spark, sf, "labels")
+    total = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name)).select(F.lit("total").alias("kind"), name)
+    got = docs.groupBy(F.col("lang").alias("kind")).agg(F.count(F.lit(1)).alias("got")).union(total(docs, "got"))
+    wanted = labels.join(docs, "doc_id").groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("wanted")).union(total(labels, "wanted"))
+    wanted = wanted.union(spark.range(1).select(F.lit("absent"), F.lit(1).cast("long")))
+    both = got.join(wanted, F.col("kind").eqNullSafe(F.col("of")), "full")
+    got, wanted = F.coalesce("got", F.lit(0)), F.coalesce("wanted", F.lit(0))
+    return both.select(F.coalesce("kind", "of").alias("kind"), got.alias("got"), wanted.alias("wanted"), (got == wanted).alias("met"))
 
 
 _MARKS = "len(regexp_extract_all(text, '\\b(?:lf|ln|lt|lssue|ls)\\b')) + len(regexp_extract_all(text, '[a-z][\\]\\[\\\\|]{1,2}[a-z]'))"

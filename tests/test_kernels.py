@@ -189,3 +189,28 @@ def test_interval_joins_by_bins_are_the_products(spark):
         if pages:
             want[s] = min(pages)
     assert {x.point_id: x.page_no for x in R.page_of(points, b, 8).collect()} == want
+
+
+def test_sources_of_contexts(spark):
+    from tarn.operators import grading as G
+    from tarn.plans import evaluation_queries as E
+
+    rows = spark.createDataFrame([(c, k) for c in ("closed_book", "rag", "oracle") for k in range(1, 7)], "cond string, kind int")
+    found = {(r.cond, r.kind): (r.source, r.pays) for r in rows.select("*", G.context_source(rows.cond, rows.kind).alias("source")).select("*", G.pays_retrieval(F.col("source")).alias("pays")).collect()}
+    assert {k: found["oracle", k] for k in (1, 4, 5)} == {1: ("gold_passage", False), 4: ("gold_passage_pair", False), 5: ("retrieved_chunk", True)}
+    assert all(found["rag", k] == ("retrieved_top_k", True) and found["closed_book", k] == ("none", False) for k in range(1, 7))
+    c = rows.select("cond", "kind", G.oracle_context(rows.kind, F.lit("g"), F.lit("s"), F.lit("t"), F.lit("id")).alias("x")).where("cond = 'oracle'")
+    assert {r.kind: (r.x.source, r.x.passages, r.x.chunk_ids) for r in c.collect() if r.kind > 3} == {
+        4: ("gold_passage_pair", ["g", "s"], []), 5: ("retrieved_chunk", ["t"], ["id"]), 6: ("gold_passage", ["g"], [])}
+    # The grid's column is that of the rule.
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    grid = spark.sql(f"select * from {E.GRID_SPARK} g", events=events)
+    assert grid.where(G.context_source(F.col("cond"), F.col("kind")) != F.col("source")).count() == 0 and grid.select("source").distinct().count() == 5
+
+
+def test_blank_answers_are_not_judged(spark):
+    from tarn.operators import grading as G
+
+    rows = spark.createDataFrame([("a", " \n\u3000 ", ["1"], ["1"]), ("b", None, ["1"], ["1"])], "row_id string, answer string, context_ids array<string>, gold_ids array<string>")
+    replies = spark.createDataFrame([("a", 2, 1, ["1"]), ("b", 2, 1, ["1"])], "row_id string, accuracy int, groundedness int, cited array<string>")
+    assert {(r.accuracy, r.groundedness, r.citation_correct, r.judged, r.empty_output) for r in G.graded(rows, replies).collect()} == {(0, None, None, False, True)}
