@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as T
 from tarn.operators import grading as G
+from tarn.operators import ranks
 from tarn.operators import retrieval as R
 from tarn.plans import chunk_queries as C
 from tarn.plans import evaluation_queries as E
@@ -206,6 +207,24 @@ portable("judge_versions", "select count(distinct version) as versions, count(di
 portable("smoke_checks", """select count(*) as n, count_if(joules is null) as missing, count_if(work = 0) as empties, count(*) - count(distinct qid) as duplicates, count_if(work > 90) as thinking,
     max(case when cond = 'rag' then m end) > max(case when cond = 'oracle' then m end) as ordered from {grid} g join
     (select cond as c, joules as m from (select cond, joules, row_number() over (partition by cond order by joules, qid) as k, count(*) over (partition by cond) as n from {grid} h) y where k = cast(floor(n / 2) as bigint) + 1) z on z.c = g.cond""")
+def sweep_cell_medians(spark, sf):
+    rows = grid(spark, sf).withColumn("marginal", F.expr("joules - 5e-1 * work"))
+    n = rows.groupBy("kind", "work").agg(F.count(F.lit(1)).alias("n"))
+    return ranks.medians(rows, ["kind", "work"], "marginal").join(n, ["kind", "work"]).select("kind", "work", "n", F.round("marginal", 6).alias("marginal"))
+
+
+def smoke_checks(spark, sf):
+    """Counts over all rows, and whether the upper middle of one condition is above that of another."""
+    rows = grid(spark, sf)
+    middle = ranks.middles(rows, ["cond"], "joules")
+    of = lambda cond: F.max(F.when(F.col("cond") == cond, F.col("upper")))
+    counts = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("joules").isNull()).alias("missing"), F.count_if(F.col("work") == 0).alias("empties"),
+        (F.count(F.lit(1)) - F.countDistinct("qid")).alias("duplicates"), F.count_if(F.col("work") > 90).alias("thinking"))
+    return counts.crossJoin(middle.agg((of("rag") > of("oracle")).alias("ordered")))  # one row each
+
+
+QUERIES |= {f.__name__: f for f in (sweep_cell_medians, smoke_checks)}
 portable("idle_rate_per_second", """select device, round((max(joules) - min(joules)) / seconds, 9) as watts from (select device, joules, DAYS as seconds from {grid} g) x group by device, seconds""".replace("DAYS", "30 * 86400e0"))
 
 
