@@ -6,13 +6,15 @@ hash. The lines of a document stand in for its pages.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
-from tarn.operators import index, locate
+from tarn.operators import freeze, index, locate
 from tarn.operators import retrieval as R
-from tarn.plans.text_queries import CHUNKS, COMPACT, ITEMS, LOCATED, ranked_sql
+from tarn.plans.text_queries import CHUNKS, COMPACT, ITEMS, LOCATED, SQUASH, ranked_sql
 from tarn.session import scratch, table, texts
 
 QUERIES: dict = {}
@@ -299,3 +301,40 @@ def recall_composite(spark, sf):
     gold = composite_gold(spark, sf).select(F.col("passage_id").alias("query_id"), F.col("chunk_id").alias("doc_id"))
     rows = R.recall(ranking, gold, _KS)
     return rows.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(f"{kind}_{k}"), 6).alias(f"{kind}_{k}") for k in _KS for kind in ("any", "all")])
+
+
+@query(f"""with w as (select doc_id, s as start, {SQUASH('substr(text, s + 1, 60)')} as needle from documents, unnest(range(0, greatest(0, length(text) - 61) + 1, 60)) t(s))
+    select doc_id, start::int as start, item_id from w join benchmark b on length(needle) >= 40 and contains(b.text, needle)""")
+def fixture_leaks(spark, sf):
+    """Windows of document text that the probe questions hold: a text-free fixture has none."""
+    fixture = table(spark, sf, "benchmark").select(F.col("item_id").alias("hay_id"), "text")
+    return freeze.leaks(fixture, documents(spark, sf)).withColumnRenamed("hay_id", "item_id")
+
+
+@query("""select * from (values ('unchanged', 'BYTE_IDENTICAL', 0, true), ('rebuilt', 'BEHAVIOURALLY_IDENTICAL', 1, true), ('other parameter', 'DRIFTED', 1, false),
+    ('other ranking', 'DRIFTED', 1, false), ('artifact lost', 'ARTIFACTS_MISSING', 0, false)) v(situation, verdict, changed, opens) order by 1""")
+def freeze_verdicts(spark, sf):
+    """An index over all chunks, frozen with the benchmark's questions, against itself as it is, rebuilt, set up otherwise, scoring otherwise and torn."""
+    folder = index.kept(spark, f"{scratch(spark)}/frozen", documents(spark, sf), lambda to: index.build(chunk_docs(spark, sf), to), R.CHUNK)
+    at = f"{scratch(spark)}/fixtures/{uuid.uuid4().hex}"
+    freeze.freeze(spark, folder, asked(spark, sf), f"{at}/fixture")
+
+    def copied(name: str, **changed) -> str:
+        for t in index.TABLES:
+            if t in changed and changed[t] is None:
+                continue
+            rows = changed.get(t, lambda r: r)(spark.read.parquet(f"{folder}/{t}"))
+            rows.write.partitionBy(*(["shelf"] if t == "postings" else [])).parquet(f"{at}/{name}/{t}")
+        return f"{at}/{name}"
+
+    # Terms in another order are other bytes; terms that weigh nothing, all but those of one document, rank otherwise.
+    situations = {
+        "unchanged": (folder, {}), "rebuilt": (copied("rebuilt", terms=lambda r: r.repartition(1).sortWithinPartitions(F.desc("term"))), {}),
+        "other parameter": (folder, {"parameters": {**freeze.PARAMETERS, "depth": 50}}),
+        "other ranking": (copied("other", terms=lambda r: r.withColumn("idf", 1 / F.col("idf"))), {}), "artifact lost": (copied("torn", postings=None), {})}
+    found = []
+    for name, (index_folder, more) in situations.items():
+        report = freeze.verify(spark, index_folder, f"{at}/fixture", **more)
+        moved = sum(not k.startswith("bytes:") for k in report.changed) if name != "rebuilt" else int("bytes:terms" in report.changed)
+        found.append((name, report.verdict, moved if name != "other ranking" else int(any(f.startswith("probe") for f in report.failures)), not report.closed()))
+    return spark.createDataFrame(found, "situation string, verdict string, changed int, opens boolean")

@@ -295,13 +295,14 @@ def prompt_padding(spark, sf):
     return texts(spark, sf).select("doc_id", F.least(F.size(words), F.lit(64)).alias("n"), F.sha2(F.array_join(F.slice(words, 1, 64), " "), 256).alias("digest"))
 
 
-@query("""select (select count(*) from benchmark b where not exists (select 1 from benchmark q where q.text = b.text)) as unknown_questions,
+@query("""select (select count(*) from (select distinct text from conversations where role = 'user' union select text from benchmark) a where not exists (select 1 from benchmark q where q.text = a.text)) as unknown_questions,
     (select count(*) from (select distinct d.doc_id from documents d join benchmark b on contains(d.text, b.text)) x) as leaking_documents,
     (select count(*) from documents where regexp_matches(text, '(AKIA|ASIA)[A-Z0-9]{16}')) as with_secrets""")
 def integrity_checks(spark, sf):
-    """Probe questions that are no known question, documents that hold a question's whole text, documents with a key."""
+    """Questions asked, in conversations or of the set, that are none of the set, documents that hold a question's whole text, documents with a key."""
     items, docs = table(spark, sf, "benchmark"), texts(spark, sf)
-    unknown = items.select("text").join(items.select("text"), "text", "left_anti").agg(F.count(F.lit(1)).alias("unknown_questions"))
+    users = table(spark, sf, "conversations").where("role = 'user'").select("text").union(items.select("text")).distinct()
+    unknown = users.join(items.select("text"), "text", "left_anti").agg(F.count(F.lit(1)).alias("unknown_questions"))
     pairs = R.located(docs.select("doc_id", "text"), items.select(F.col("item_id").alias("passage_id"), "text"))
     held = pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.select(F.col("item_id").alias("passage_id"), F.col("text").alias("t")), "passage_id").where(F.col("text").contains(F.col("t")))
     leaking = held.agg(F.countDistinct("doc_id").alias("leaking_documents"))
