@@ -120,7 +120,8 @@ def thinking_tokens(text: Column) -> Column:
 
 def page_list(pages: Column) -> Column:
     """'29-31' and '2, 5, 7' as numbers; null and the text null give an empty list, blanks are skipped."""
-    parts = F.filter(F.transform(F.split(pages, ","), F.trim), lambda p: p != "")
+    # A lambda: given a function of two parameters, transform would pass the place as the second, the characters to trim.
+    parts = F.filter(F.transform(F.split(pages, ","), lambda p: F.trim(p)), lambda p: p != "")
 
     def span(p: Column) -> Column:
         low = F.split(p, "-")[0].cast("int")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as T
 from tarn.operators import ranks
+from tarn.sources import files
 from tarn.session import table, texts
 
 QUERIES: dict = {}
@@ -327,3 +328,31 @@ def line_patch(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["line_patch"] = line_patch
 ORACLES["line_patch"] = """select doc_id, sha256(string_agg(case when k in (2, 9) and contains(line, 'the') then 'PATCHED' else line end, chr(10) order by k)) as digest
     from (select doc_id, generate_subscripts(p, 1) as k, unnest(p) as line from (select doc_id, string_split(text, chr(10)) p from documents)) group by doc_id"""
+
+
+# Question files made of the benchmark: a Markdown file for every ninth of the items, one record for each item; of every fourth the answer is missing,
+# documents are named by number, and pages are given in each way of writing them.
+_RECORD = """concat('## Q', cast(item_id as string), chr(10), '- **type:** 9', chr(10), '- **type:** ', cast(item_id % 6 + 1 as string), chr(10), 'prose', chr(10),
+    '- **question:** ', replace(text, chr(10), ' '), chr(10), case when item_id % 4 = 3 then '' else concat('- **answer:** ', cast(item_id as string), ' euro', chr(10)) end,
+    '- **source:** ', case when item_id % 6 = 4 then 'null' else concat('Doc', cast(item_id as string), '.v1.PDF') end, chr(10), '- **passage:** ', case when item_id % 6 = 4 then 'null' else 'p' end, chr(10),
+    '- **page:** ', case item_id % 3 when 0 then '10-12' when 1 then '1, 20,' else 'null' end, chr(10), '- **source2:** Doc0.pdf', chr(10), '- **passage2:** q', chr(10), '- **page2:** ', cast(item_id as string))"""
+_AS_RECORDS = """(select concat('Set', item_id % 9, '::Q', item_id) as qid, concat('Set', item_id % 9) as md, item_id::int as q_num, (item_id % 6 + 1)::int as kind, trim(replace(text, chr(10), ' ')) as question,
+    case when item_id % 4 <> 3 then item_id || ' euro' end as answer, case when item_id % 6 <> 4 then 'p' end as passage, case when item_id % 6 <> 4 then 'doc' || item_id || '.v1' end as doc_id,
+    case item_id % 3 when 0 then [10, 11, 12] when 1 then [1, 20] else [] end as page_list, case when item_id % 6 = 3 then 'q' end as passage2, case when item_id % 6 = 3 then 'doc0' end as doc_id2,
+    case when item_id % 6 = 3 then [item_id::int] end as page_list2 from benchmark)"""
+
+
+def question_set(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("Set"), (F.col("item_id") % 9).cast("string")).alias("md"), F.expr(_RECORD).alias("r"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "r"))), lambda x: x["r"]), "\n")
+    return files.questions(files.records(items.groupBy("md").agg(F.concat(F.lit("- **type:** 0\n"), lines).alias("value"))))
+
+
+QUERIES["evalset_records"] = question_set
+ORACLES["evalset_records"] = f"select * from {_AS_RECORDS} r"
+QUERIES["evalset_faults"] = lambda spark, sf: files.question_faults(question_set(spark, sf), texts(spark, sf).select(
+    F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") > 0, ".v1").otherwise("")).alias("doc_id"), F.size(F.split("text", "\n")).alias("n_pages")))
+ORACLES["evalset_faults"] = f"""with r as (select * from {_AS_RECORDS} x), p as (select 'doc' || doc_id || case when doc_id > 0 then '.v1' else '' end as doc_id, len(string_split(text, chr(10))) as n_pages from documents),
+    named as (select qid, doc_id, page_list as l from r where doc_id is not null union all select qid, doc_id2, page_list2 from r where doc_id2 is not null)
+    select qid, 'no answer' as fault from r where answer is null union select qid, case when n_pages is null then 'unknown document' else 'page out of bounds' end from named left join p using (doc_id)
+    where n_pages is null or len(list_filter(l, lambda k: k < 1 or k > n_pages)) > 0"""

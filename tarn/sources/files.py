@@ -137,13 +137,54 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """
     rows = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     stem = F.regexp_replace(F.substring_index(F.col("_metadata.file_path"), "/", -1), "[.]md$", "")
-    rows = rows.select(stem.alias("md"), F.explode(F.split(F.replace("value", F.lit("\r\n"), F.lit("\n")), "(?m)^(?=## Q[0-9]+[ \\t]*$)")).alias("body"))
+    return records(rows.select(stem.alias("md"), "value"))
+
+
+def records(texts: DataFrame) -> DataFrame:
+    """The records of Markdown texts (md, value), as ``read_records`` gives them."""
+    rows = texts.select("md", F.explode(F.split(F.replace("value", F.lit("\r\n"), F.lit("\n")), "(?m)^(?=## Q[0-9]+[ \\t]*$)")).alias("body"))
     rows = rows.select("md", F.split("body", "\n").alias("lines")).withColumn("q_num", F.regexp_extract(F.col("lines")[0], HEADER, 1)).where("q_num <> ''")
     pairs = F.transform(F.filter("lines", lambda x: x.rlike(FIELD)), lambda x: F.struct(F.regexp_extract(x, FIELD, 1).alias("k"), F.regexp_extract(x, FIELD, 2).alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
     return rows.select(F.concat("md", F.lit("::Q"), "q_num").alias("qid"), "md", F.col("q_num").cast("int").alias("q_num"), F.map_from_entries(last).alias("fields"))
 
 
+#: Kinds of questions with two passages, and without any.
+TWO_SOURCES, ABSENT = 4, 5
+
+
+def questions(records: DataFrame) -> DataFrame:
+    """Typed questions of records: the text null is null, page lists are numbers, documents are named by their lower-case stems.
+
+    The second passage, with its document and pages, is there for kind TWO_SOURCES alone.
+    """
+    value = lambda f: F.nullif(F.trim(F.col("fields")[f]), F.lit("null"))
+    rows = records.withColumn("kind", value("type").cast("int"))
+    second = lambda c: F.when(F.col("kind") == TWO_SOURCES, c)
+    return rows.select(
+        "qid", "md", "q_num", "kind", value("question").alias("question"), value("answer").alias("answer"), value("passage").alias("passage"), T.doc_id_of(value("source")).alias("doc_id"),
+        T.page_list(value("page")).alias("page_list"), second(value("passage2")).alias("passage2"), second(T.doc_id_of(value("source2"))).alias("doc_id2"), second(T.page_list(value("page2"))).alias("page_list2"))
+
+
+def question_faults(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """(qid, fault) of questions against the documents' numbers of pages (doc_id, n_pages).
+
+    Faults: a repeated id, a missing kind, question or answer, a passage or document that is missing or, for kind ABSENT, there, no second passage
+    for TWO_SOURCES, a document that is not known, a page below 1 or beyond the last.
+    """
+    absent = F.col("kind") == ABSENT
+    own = rows.select("qid", F.explode(F.array(*[
+        F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in ("kind", "question", "answer")], *[
+        F.when(absent & F.col(c).isNotNull(), F.lit(f"{c} of nothing")).when(~absent & F.col(c).isNull(), F.lit(f"no {c}")) for c in ("passage", "doc_id")], *[
+        F.when((F.col("kind") == TWO_SOURCES) & F.col(c).isNull(), F.lit(f"no {c}")) for c in ("passage2", "doc_id2")])).alias("fault")).where("fault is not null")
+    twice = rows.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("qid", F.lit("repeated").alias("fault"))
+    named = rows.select("qid", "doc_id", F.col("page_list").alias("list")).union(rows.select("qid", "doc_id2", "page_list2")).where("doc_id is not null")
+    known = named.join(pages, "doc_id", "left")
+    out = F.exists(F.coalesce("list", F.array().cast("array<int>")), lambda p: (p < 1) | (p > F.col("n_pages")))
+    placed = known.select("qid", F.when(F.col("n_pages").isNull(), "unknown document").when(out, "page out of bounds").alias("fault")).where("fault is not null")
+    return own.union(twice).union(placed).distinct()
+
+
 def source_references(records: DataFrame) -> DataFrame:
     """The distinct document ids that records name as sources; null ones are left out."""
     names = records.select(F.explode(F.array(F.col("fields")["source"], F.col("fields")["source2"])).alias("source"))

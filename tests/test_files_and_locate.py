@@ -268,3 +268,20 @@ def test_blocks_of_passages_of_one_document(spark, monkeypatch):
     passages = spark.createDataFrame([(k, " ".join(words[k * 10 : k * 10 + 8])) for k in range(18)], "passage_id long, text string")
     rows = [r for r in locate.locate_aligned(docs, passages).collect() if r.found]
     assert sorted((r.passage_id, r.doc_id, r.first_token, r.n_spans) for r in rows) == [(k, 1, k * 10, 1) for k in range(18)]
+
+
+def test_question_faults(spark, tmp_path):
+    field = lambda **f: "\n".join(f"- **{k}:** {v}" for k, v in f.items())
+    good = {"type": 1, "question": "What?", "answer": "a", "passage": "p", "source": "A.pdf", "page": "1-2"}
+    records = [good, good | {"page": "3"}, good | {"answer": "null"}, good | {"source": "B.pdf"}, good | {"type": 4}, good | {"type": 5}, good | {"type": 5, "passage": "null", "source": "null", "page": "null"},
+               good | {"type": 4, "passage2": "q", "source2": "A.pdf", "page2": "0"}, good | {"page": "null"}]
+    (tmp_path / "S.md").write_text("\n".join(f"## Q{k}\n{field(**r)}" for k, r in enumerate(records)) + f"\n## Q0\n{field(**good)}")
+    rows = files.questions(files.read_records(spark, f"{tmp_path}"))
+    found = {}
+    for r in files.question_faults(rows, spark.createDataFrame([("a", 2)], "doc_id string, n_pages int")).collect():
+        found.setdefault(r.qid, set()).add(r.fault)
+    assert found == {
+        "S::Q0": {"repeated"}, "S::Q1": {"page out of bounds"}, "S::Q2": {"no answer"}, "S::Q3": {"unknown document"}, "S::Q4": {"no passage2", "no doc_id2"},
+        "S::Q5": {"passage of nothing", "doc_id of nothing"}, "S::Q7": {"page out of bounds"}}
+    first = rows.where("q_num = 7").first()
+    assert (first.page_list, first.page_list2, first.doc_id2, first.passage2) == ([1, 2], [0], "a", "q") and rows.where("q_num = 1").first().passage2 is None

@@ -94,6 +94,10 @@ def test_answers(spark):
     assert apply(spark, T.normalise_answer, [" A-b  C! "]) == ["ab  c"]
 
 
+def test_page_lists_keep_their_digits(spark):
+    assert apply(spark, T.page_list, ["0", "10", "100, 11,  22", "20-21, 1"]) == [[0], [10], [100, 11, 22], [20, 21, 1]]
+
+
 def test_page_lists(spark):
     assert apply(spark, T.page_list, [None, "7", "29-31", "2, 5, 7", "3,,4", "null"]) == [[], [7], [29, 30, 31], [2, 5, 7], [3, 4], []]
 
