@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,3 +113,38 @@ def graded(rows: DataFrame, replies: DataFrame) -> DataFrame:
     return joined.select(
         *[c for c in rows.columns if c != "answer"], F.when(empty, 0).otherwise(F.col("accuracy")).alias("accuracy"), F.when(~empty, F.col("groundedness")).alias("groundedness"),
         right.alias("citation_correct"), empty.alias("empty_output"), (~empty).alias("judged"))
+
+
+# Resamples of an interval and the shares at its ends.
+DRAWS, LOW, HIGH = 2000, 0.025, 0.975
+
+
+def kappa_interval(rows: DataFrame, by: list[str], a: str, b: str, draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """``by``, n, kappa, low and high: Cohen's kappa of the grades ``a`` and ``b`` of each group and its bootstrap interval.
+
+    Resampling n rows of a group is one multinomial draw over the counts of its pairs of grades, which numpy draws as
+    conditional binomials; so a resample costs as much as there are pairs of grades, whatever the number of rows. The
+    ends are the values of rank floor(LOW * draws) and floor(HIGH * draws), from 0. Rows without both grades do not count.
+    """
+    pairs = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).cast("long").alias("_a"), F.col(b).cast("long").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    cells = pairs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_a", "_b", "_n"))).alias("cells"))
+    # -1 is the sample itself; a group's resamples are seeded by what it counts.
+    each = cells.withColumn("seed", F.pmod(F.xxhash64("cells", F.lit(seed)), F.lit(1 << 62))).withColumn("draw", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))))
+
+    def resampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for pairs, start, draw in zip(batch["cells"], batch["seed"], batch["draw"], strict=True):
+                x, y, n = (np.array([p[c] for p in pairs]) for c in ("_a", "_b", "_n"))
+                count = n if draw < 0 else np.random.default_rng([start, draw]).multinomial(n.sum(), n / n.sum())
+                same = count[x == y].sum() / n.sum()
+                chance = sum(count[x == g].sum() * count[y == g].sum() for g in {*x, *y}) / n.sum() ** 2
+                found.append(1.0 if chance == 1 else (same - chance) / (1 - chance))
+            yield batch.drop(columns=["cells", "seed"]).assign(kappa=found, n=[sum(p["_n"] for p in pairs) for pairs in batch["cells"]])
+
+    kind = ", ".join(f"`{c}` {each.schema[c].dataType.simpleString()}" for c in by)
+    values = each.mapInPandas(resampled, f"{kind}{', ' if by else ''}draw int, kappa double, n bigint")
+    ranked = F.array_sort(F.collect_list(F.when(F.col("draw") >= 0, F.col("kappa"))))  # one number for each resample
+    out = values.groupBy(*by).agg(F.max("n").alias("n"), F.max(F.when(F.col("draw") < 0, F.col("kappa"))).alias("kappa"), ranked.alias("r"))
+    at = lambda share: F.element_at("r", int(share * draws) + 1)
+    return out.select(*by, "n", "kappa", at(LOW).alias("low"), at(HIGH).alias("high"))

@@ -308,3 +308,10 @@ def integrity_checks(spark, sf):
     leaking = held.agg(F.countDistinct("doc_id").alias("leaking_documents"))
     secrets = docs.agg(F.count_if(F.col("text").rlike("(AKIA|ASIA)[A-Z0-9]{16}")).alias("with_secrets"))
     return unknown.crossJoin(leaking).crossJoin(secrets)  # one row each
+
+
+@query()
+def kappa_intervals(spark, sf):
+    """Kappa of two raters over the labels by kind, with its interval from resampled counts. Rows only: tested against resampled rows."""
+    rated = table(spark, sf, "labels").select((F.col("doc_id") % 4).alias("kind"), F.col("quality").alias("a"), (1 - F.col("toxic")).alias("b"))
+    return G.kappa_interval(rated, ["kind"], "a", "b", 1000).where("n >= 10")

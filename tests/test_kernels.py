@@ -218,3 +218,29 @@ def test_blank_answers_are_not_judged(spark):
     rows = spark.createDataFrame([("a", " \n\u3000 ", ["1"], ["1"]), ("b", None, ["1"], ["1"])], "row_id string, answer string, context_ids array<string>, gold_ids array<string>")
     replies = spark.createDataFrame([("a", 2, 1, ["1"]), ("b", 2, 1, ["1"])], "row_id string, accuracy int, groundedness int, cited array<string>")
     assert {(r.accuracy, r.groundedness, r.citation_correct, r.judged, r.empty_output) for r in G.graded(rows, replies).collect()} == {(0, None, None, False, True)}
+
+
+def test_kappa_intervals_from_counts_are_those_from_rows(spark):
+    import random
+
+    from tarn.operators import grading as G
+
+    def kappa(pairs):
+        n = len(pairs)
+        same = sum(a == b for a, b in pairs) / n
+        chance = sum(sum(a == g for a, _ in pairs) * sum(b == g for _, b in pairs) for g in range(3)) / n**2
+        return 1.0 if chance == 1 else (same - chance) / (1 - chance)
+
+    r = random.Random(2)
+    rows = [(k, a, a if r.random() < 0.2 + 0.3 * k else r.randrange(3)) for k in range(2) for a in r.choices(range(3), k=150)] + [(2, 1, 1)] * 12 + [(0, None, 1), (0, 1, None)]
+    df = spark.createDataFrame(rows, "kind int, a int, b int")
+    found = {x.kind: x for x in G.kappa_interval(df, ["kind"], "a", "b").collect()}
+    assert (found[2].n, found[2].kappa, found[2].low, found[2].high) == (12, 1.0, 1.0, 1.0)
+    for kind in range(2):
+        pairs = [(a, b) for k, a, b in rows if k == kind and a is not None and b is not None]
+        draws = sorted(kappa(r.choices(pairs, k=len(pairs))) for _ in range(2000))
+        assert found[kind].n == 150 and found[kind].kappa == pytest.approx(kappa(pairs))
+        assert found[kind].low == pytest.approx(draws[50], abs=0.02) and found[kind].high == pytest.approx(draws[1950], abs=0.02)
+    again = {x.kind: x for x in G.kappa_interval(df.repartition(3), ["kind"], "a", "b").collect()}
+    assert again == found
+    assert G.kappa_interval(df, [], "a", "b", 100).first().n == 312
