@@ -285,3 +285,19 @@ def test_question_faults(spark, tmp_path):
         "S::Q5": {"passage of nothing", "doc_id of nothing"}, "S::Q7": {"page out of bounds"}}
     first = rows.where("q_num = 7").first()
     assert (first.page_list, first.page_list2, first.doc_id2, first.passage2) == ([1, 2], [0], "a", "q") and rows.where("q_num = 1").first().passage2 is None
+
+
+def test_derived_columns_are_rebuilt_in_place(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/log"
+    rows = spark.createDataFrame([(1, "<think>a b</think> 42", "old"), (2, "It is not stated.", "old"), (3, "<think>x", "old"), (4, None, "old")], "qid int, raw_output string, cleaned_output string")
+    files.publish(rows, path)
+    old = files.read_published(spark, path)
+    assert log.recompute(spark, path) == 4
+    found = {r.qid: (r.cleaned_output, r.thinking_tokens, r.is_empty, r.refuses, r.derived_version) for r in files.read_published(spark, path).collect()}
+    assert found == {1: ("42", 2, False, False, 1), 2: ("It is not stated.", 0, False, True, 1), 3: ("", 1, True, False, 1), 4: (None, None, None, None, 1)}
+    assert {r.cleaned_output for r in old.collect()} == {"old"}  # a reader of the old version goes on
+    now = files.current(spark, path)
+    assert log.recompute(spark, path) == 0 and files.current(spark, path) == now
+    monkeypatch.setattr(log, "DERIVED", 2)
+    assert log.recompute(spark, path) == 4 and files.current(spark, path) != now
+    assert {r.qid: r.cleaned_output for r in files.read_published(spark, path).collect()} == {k: v[0] for k, v in found.items()}
