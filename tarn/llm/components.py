@@ -7,6 +7,10 @@ gives both sides a shuffle of their own, and those adaptive execution may split.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +29,48 @@ def _is_stars(edges: DataFrame) -> bool:
     return seen.where((F.col("under") > 1) | ((F.col("under") > 0) & (F.col("least") == 0))).isEmpty()
 
 
-def components(edges: DataFrame, a: str | Column = "a", b: str | Column = "b") -> DataFrame:
+#: Edges of longs, a few MB, that one task may solve: fewer than a round of joins is worth.
+SMALL = 100_000
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """The components of ``SMALL`` edges (a, b) at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not parts:
+            return
+        x, y = (np.concatenate(ends) for ends in zip(*parts, strict=True))
+        nodes, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+        i, j, root = place[: len(x)], place[len(x) :], np.arange(len(nodes))
+        while True:
+            least = root.copy()
+            np.minimum.at(least, root[i], root[j])
+            np.minimum.at(least, root[j], root[i])
+            while (least[least] != least).any():
+                least = least[least]
+            if (least == root).all():
+                break
+            root = least
+        for k in range(0, len(nodes), 10_000):
+            part = slice(k, k + 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[root[part]])], names=["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "node bigint, component bigint")
+
+
+def components(edges: DataFrame, a: str | Column = "a", b: str | Column = "b", python: bool = False) -> DataFrame:
     """``(node, component)`` of every node of an edge; the component is its smallest node.
 
-    Self-links, repeated edges and null ends are ignored; an empty table gives an empty one.
+    Self-links, repeated edges and null ends are ignored; an empty table gives an empty one. With ``python`` nodes are longs, and
+    a table that a count shows to have ``SMALL`` edges at most is solved in one task; the result is the same.
     """
     prepare(edges.sparkSession)
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     now = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
     now = cut(now)
+    if python and now.count() <= SMALL:
+        return cut(_in_one_task(now))
     while not _is_stars(now):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

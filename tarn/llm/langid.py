@@ -11,7 +11,7 @@ of their id, and ``GRAMS`` n-grams of each language. Everything else covers all
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0. Ties go to the first
 language by code point; a text with letters but no known n-gram is such a tie, with score 0. Without any labelled row all texts are
-``und``. Repeated rows are judged each; an empty table gives an empty result.
+``und``. Texts of any length are read whole; columns may have any names. Repeated rows are judged each; an empty table gives an empty result.
 """
 
 from __future__ import annotations

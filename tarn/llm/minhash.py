@@ -9,8 +9,9 @@ are retained. Documents with equal sets are one class at once. The classes then
    lists miss a pair with a probability of 5e-6.
 2. Classes with fewer such values, because their values are very common, also go into lists of
    value tuples: the ``TUPLE`` smallest retained values of each of ``GROUPS`` residues. Long tuple
-   lists are compared with one hub and in blocks; what stays apart there is verified in full,
-   block by block, so a list is never cut and never expanded into pairs.
+   lists are compared with one hub and in blocks; what stays apart there goes into lists of each set's rarest
+   shingles, which sets at the threshold must share. Lists that are long even so are verified in full,
+   block by block: a list is never cut and never expanded into pairs.
 3. The union sketch estimates the similarity of a candidate pair; ``SLACK`` is four standard
    deviations of it. Pairs that pass are verified on the full shingle sets. Only links between
    what is not yet connected need it, so one likely link of
@@ -31,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut, one_of_each, prepare, semi
@@ -145,10 +146,10 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
 
 
-def _list_pairs(lists: DataFrame, ratio: int) -> DataFrame:
+def _list_pairs(lists: DataFrame, ratio: int, also: str = "true") -> DataFrame:
     """(a, b, overlap) of the classes that meet in short lists (key, id, n) and may be similar by size."""
     x, y = lists.alias("x"), lists.alias("y")
-    near = f"100 * least(x.n, y.n) >= {ratio} * greatest(x.n, y.n)"
+    near = f"100 * least(x.n, y.n) >= {ratio} * greatest(x.n, y.n) and {also}"
     pairs = x.join(y, F.expr(f"x.key = y.key and x.id < y.id and {near}"))
     return pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("overlap"))
 
@@ -271,13 +272,13 @@ class _Links:
     def _add(self, pairs: DataFrame, sets: DataFrame) -> None:
         new = cut(self._verify(pairs, sets))
         self.true = new if self.true is None else self.true.union(new)
-        self.comps = components(self.true)
+        self.comps = components(self.true, python=True)
 
     def connect(self, pairs: DataFrame) -> None:
         """Takes pairs that verified links connect."""
         if not pairs.isEmpty():
             self.true = pairs if self.true is None else self.true.union(pairs)
-            self.comps = components(self.true)
+            self.comps = components(self.true, python=True)
 
     def _across(self, pairs: DataFrame) -> DataFrame:
         """Pairs of different components, with these as ca and cb."""
@@ -307,6 +308,75 @@ class _Links:
             self._add(left, sets)
 
 
+def _with_comps(rows: DataFrame, links: _Links) -> DataFrame:
+    """``rows`` (id, ...) with the component of each id."""
+    comps = links.comps.select(F.col("node").alias("id"), F.col("component").alias("comp"))
+    return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def _prefix_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n, size): the lists of each set's rarest shingles, so many that sets at the threshold must share one.
+
+    Similar sets share ceil(percent * n / 100) of the n shingles of either, so in any order one of the first n - that + 1 of both. In order of
+    frequency among these sets, what very many of them share comes last: passages that are common do not make lists.
+    """
+    common = sets.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    common = cut(common)
+    if common.count() <= BROADCAST_ROWS:
+        first = _rarest(sets, common, percent)
+    else:
+        entries = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key")).join(common, "key", "left")
+        ranked = entries.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("size", F.lit(1)), "key")))
+        first = ranked.where(f"k <= n - (n * {percent} + 99) div 100 + 1 and size is not null").select("key", "id", "n")
+    first = cut(first)
+    sizes = first.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return cut(first.join(sizes, "key"))
+
+
+def _rarest(sets: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n): those of each set's first shingles that other sets have too. ``common`` (key, size) has BROADCAST_ROWS rows at most."""
+    rows = common.select(F.col("key").cast("long"), F.col("size").cast("long")).orderBy("key").collect()
+    shared = sets.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sizes = shared.value
+        for batch in batches:
+            ids, lengths, found = [], [], []
+            for i, values in zip(batch.column("id").to_pylist(), batch.column("shingles"), strict=True):
+                v = values.values.to_numpy()
+                at = np.minimum(np.searchsorted(keys, v), max(len(keys) - 1, 0))
+                size = np.where(keys[at] == v, sizes[at], 1) if len(keys) else np.ones(len(v), np.int64)
+                first = np.lexsort((v, size))[: len(v) - -(-len(v) * percent // 100) + 1]
+                first = first[size[first] > 1]
+                ids += [i] * len(first)
+                lengths += [len(v)] * len(first)
+                found.append(v[first])
+            flat = np.concatenate(found) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(ids, pa.int64()), pa.array(lengths, pa.int64())], names=["key", "id", "n"])
+
+    return sets.select("id", "shingles").mapInArrow(run, "key bigint, id bigint, n bigint")
+
+
+def _compare_long(lists: DataFrame, sets: DataFrame, links: _Links, floor: float, percent: int) -> None:
+    """Connects what is similar within long lists (key, id, n, size): those outside a list's largest component against all of it, in blocks."""
+    sizes = lists.groupBy("key").agg(F.first("size").alias("size"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
+    sizes = sizes.select("key", blocks.alias("blocks"))
+    placed = _with_comps(lists.join(sizes, "key"), links)
+    placed = cut(placed.select("key", "id", "comp", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).alias("block")))
+    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    split = cut(placed.join(main.select("key", F.col("m.comp").alias("main")), "key"))
+    if split.isEmpty():
+        return
+    outside = split.where("comp <> main")
+    whole, part = split.select("key", F.col("block").alias("y")).distinct(), outside.select("key", F.col("block").alias("x")).distinct()
+    seats = outside.withColumnRenamed("block", "x").join(whole, "key").select("key", "x", "y", "id", "comp", F.lit(True).alias("stray"))
+    seats = seats.union(split.withColumnRenamed("block", "y").join(part, "key").select("key", "x", "y", "id", "comp", F.lit(False)))
+    met = seats.join(sets, "id").groupBy("key", "x", "y").applyInPandas(_cross_links(floor, percent), "a bigint, b bigint")
+    links.connect(cut(met.distinct()))
+
+
 def _groups(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, tag, n and first (smallest doc_id and tag of the component) of every row; first is null for empty sets."""
     prepare(docs.sparkSession)
@@ -348,20 +418,18 @@ def _groups(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -
     links.resolve(scored)
 
     if any_large and links.comps is not None:
-        # Lists whose members are not one component: those outside the largest one against all.
-        comps = links.comps.select(F.col("node").alias("id"), F.col("component").alias("comp"))
-        placed = cut(inside.join(comps, "id", "left").select("key", "id", "block", F.coalesce("comp", "id").alias("comp")))
-        parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        main = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        split = cut(placed.join(main.select("key", F.col("m.comp").alias("main")), "key"))
-        if not split.isEmpty():
-            sets = cut(full_sets(docs, classes, cut(split.select("id").distinct()), width, doc_id, text))
-            outside = split.where("comp <> main")
-            whole, part = split.select("key", F.col("block").alias("y")).distinct(), outside.select("key", F.col("block").alias("x")).distinct()
-            seats = outside.withColumnRenamed("block", "x").join(whole, "key").select("key", "x", "y", "id", "comp", F.lit(True).alias("stray"))
-            seats = seats.union(split.withColumnRenamed("block", "y").join(part, "key").select("key", "x", "y", "id", "comp", F.lit(False)))
-            met = seats.join(sets, "id").groupBy("key", "x", "y").applyInPandas(_cross_links(floor, percent), "a bigint, b bigint")
-            links.connect(cut(met.distinct()))
+        # Lists whose members are not one component: their members are compared in full where they can still be similar.
+        placed = _with_comps(inside.select("key", "id"), links)
+        parts = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        apart = cut(placed.join(parts, "key").select("id").distinct())
+        if not apart.isEmpty():
+            sets = cut(full_sets(docs, classes, apart, width, doc_id, text))
+            lists = _prefix_lists(sets, percent)
+            short = _with_comps(lists.where(F.col("size") <= LIST), links)
+            pairs = _list_pairs(short, percent, "x.comp <> y.comp").select("a", "b")
+            x, y = (members.select(F.col("id").alias(k), F.col("kept").alias(f"{k}k")) for k in "ab")
+            links.resolve(pairs.join(x, "a").join(y, "b").select("a", "b", _estimate(F.col("ak"), F.col("bk")).alias("est")).where(F.col("est") >= floor))
+            _compare_long(lists.where(F.col("size") > LIST), sets, links, floor, percent)
 
     if links.comps is not None:
         comps = links.comps.select(F.col("node").alias("id"), "component")

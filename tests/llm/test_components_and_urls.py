@@ -61,3 +61,16 @@ def test_logged_redirects(spark):
     links = spark.createDataFrame([("http://a.org/", "http://gone.net/1")], "a string, b string")
     found = {r.page_id: r.verdict for r in url_filter.judge(pages, queries.URL_RULES, links).collect()}
     assert found == {1: "block", 2: "allow"}
+
+
+def test_small_graphs_in_one_task_are_those_of_the_rounds(spark):
+    import random
+
+    from tarn.llm.components import components
+
+    r = random.Random(6)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, None), (7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    one, rounds = ({x.node: x.component for x in components(df, python=p).collect()} for p in (True, False))
+    assert one == rounds and one[1100] == 1000
+    assert components(df.limit(0), python=True).count() == 0

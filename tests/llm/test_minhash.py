@@ -98,3 +98,21 @@ def test_one_row_of_each_group_stays(spark):
     assert kept.columns == docs.columns
     found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
     assert found == sorted([(0, long), (1, "other words"), (2, "c d"), (None, "z"), (8, None), (8, None), (9, " ")], key=repr)
+
+
+def test_both_ways_of_prefix_lists(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(k, sorted(r.sample(range(60), r.randint(1, 20)))) for k in range(80)]
+    sets = spark.createDataFrame(rows, "id long, shingles array<long>")
+    key = lambda df: sorted((x.key, x.id, x.n, x["size"]) for x in df.collect())
+    small = key(minhash._prefix_lists(sets, 80))
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", -1)
+    assert key(minhash._prefix_lists(sets, 80)) == small
+    lists = {}
+    for k, i, _, _ in small:
+        lists.setdefault(k, set()).add(i)
+    by = {i: {*s} for i, s in rows}
+    for i in by:
+        for j in by:
+            if i < j and 100 * len(by[i] & by[j]) >= 80 * len(by[i] | by[j]):
+                assert any({i, j} <= ids for ids in lists.values())
