@@ -59,16 +59,17 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInArrow(run, "node bigint, component bigint")
 
 
-def components(edges: DataFrame, a: str | Column = "a", b: str | Column = "b", python: bool = False) -> DataFrame:
+def components(edges: DataFrame, a: str | Column = "a", b: str | Column = "b", python: bool = False, tasks: int | None = None) -> DataFrame:
     """``(node, component)`` of every node of an edge; the component is its smallest node.
 
     Self-links, repeated edges and null ends are ignored; an empty table gives an empty one. With ``python`` nodes are longs, and
     a table that a count shows to have ``SMALL`` edges at most is solved in one task; the result is the same.
+    ``tasks`` bounds the partitions of the tables of each round.
     """
     prepare(edges.sparkSession)
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     now = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
-    now = cut(now)
+    now = cut(now, tasks)
     if python and now.count() <= SMALL:
         return cut(_in_one_task(now))
     while not _is_stars(now):
@@ -77,5 +78,5 @@ def components(edges: DataFrame, a: str | Column = "a", b: str | Column = "b", p
         large = _with_min(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _with_min(large, least).where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        now = cut(small.union(least.select("m", "u")).distinct())
+        now = cut(small.union(least.select("m", "u")).distinct(), tasks)
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a").distinct())

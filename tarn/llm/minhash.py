@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, one_of_each, prepare, semi
+from .common import BROADCAST_ROWS, cut, one_of_each, prepare, semi, tasks_for
 from .components import components
 
 SKETCH = 64
@@ -141,9 +141,9 @@ def _tuple(group: int) -> Column:
     return F.struct((F.size(values) > 0).alias("used"), F.xxhash64(F.lit(group), values).alias("key"))
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
+def _ends(pairs: DataFrame, tasks: int) -> DataFrame:
     """The distinct ids in pairs (a, b)."""
-    return cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    return cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), tasks)
 
 
 def _list_pairs(lists: DataFrame, ratio: int, also: str = "true") -> DataFrame:
@@ -256,29 +256,29 @@ def _cross_links(floor: float, percent: int):
 class _Links:
     """Verified links and the components they make."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int, doc_id: str, text: str):
-        self.classes = classes
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int, doc_id: str, text: str, tasks: int):
+        self.classes, self.tasks = classes, tasks
         self.docs, self.width, self.percent, self.names = docs, width, percent, (doc_id, text)
         self.true: DataFrame | None = None
         self.comps: DataFrame | None = None
 
     def _verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        sets = semi(sets, _ends(pairs), "id")
+        sets = semi(sets, _ends(pairs, self.tasks), "id")
         x, y = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"{k}s")) for k in "ab")
         rows = pairs.select("a", "b").join(x, "a").join(y, "b")
         both = F.size(F.array_intersect("as", "bs"))
         return rows.where(100 * both >= self.percent * (F.size("as") + F.size("bs") - both)).select("a", "b").distinct()
 
     def _add(self, pairs: DataFrame, sets: DataFrame) -> None:
-        new = cut(self._verify(pairs, sets))
+        new = cut(self._verify(pairs, sets), self.tasks)
         self.true = new if self.true is None else self.true.union(new)
-        self.comps = components(self.true, python=True)
+        self.comps = components(self.true, python=True, tasks=self.tasks)
 
     def connect(self, pairs: DataFrame) -> None:
         """Takes pairs that verified links connect."""
         if not pairs.isEmpty():
             self.true = pairs if self.true is None else self.true.union(pairs)
-            self.comps = components(self.true, python=True)
+            self.comps = components(self.true, python=True, tasks=self.tasks)
 
     def _across(self, pairs: DataFrame) -> DataFrame:
         """Pairs of different components, with these as ca and cb."""
@@ -291,19 +291,19 @@ class _Links:
 
     def resolve(self, pairs: DataFrame) -> None:
         """Verifies so many of the candidates (a, b, est) that their true links' components are known."""
-        pairs = cut(pairs)
+        pairs = cut(pairs, self.tasks)
         if pairs.isEmpty():
             return
-        sets = cut(full_sets(self.docs, self.classes, _ends(pairs), self.width, *self.names))
+        sets = cut(full_sets(self.docs, self.classes, _ends(pairs, self.tasks), self.width, *self.names), self.tasks)
         if self.comps is None:
             # Of each class the likely link with the smallest partner: groups then form stars.
             likely = (F.col("est") >= self.percent / 100).alias("likely")
             ends = pairs.select(F.col("b").alias("id"), "a", "b", likely).union(pairs.select("a", "a", "b", likely))
             best = ends.groupBy("id").agg(F.max(F.struct("likely", -F.col("a"), -F.col("b"))).alias("x"))
-            best = cut(best.select((-F.col("x.col2")).alias("a"), (-F.col("x.col3")).alias("b")).distinct())
+            best = cut(best.select((-F.col("x.col2")).alias("a"), (-F.col("x.col3")).alias("b")).distinct(), self.tasks)
             self._add(best, sets)
             pairs = pairs.join(best, ["a", "b"], "left_anti")
-        left = cut(self._across(pairs).select("a", "b").distinct())
+        left = cut(self._across(pairs).select("a", "b").distinct(), self.tasks)
         if not left.isEmpty():
             self._add(left, sets)
 
@@ -314,23 +314,23 @@ def _with_comps(rows: DataFrame, links: _Links) -> DataFrame:
     return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def _prefix_lists(sets: DataFrame, percent: int) -> DataFrame:
+def _prefix_lists(sets: DataFrame, percent: int, tasks: int) -> DataFrame:
     """(key, id, n, size): the lists of each set's rarest shingles, so many that sets at the threshold must share one.
 
     Similar sets share ceil(percent * n / 100) of the n shingles of either, so in any order one of the first n - that + 1 of both. In order of
     frequency among these sets, what very many of them share comes last: passages that are common do not make lists.
     """
     common = sets.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    common = cut(common)
+    common = cut(common, tasks)
     if common.count() <= BROADCAST_ROWS:
         first = _rarest(sets, common, percent)
     else:
         entries = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key")).join(common, "key", "left")
         ranked = entries.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("size", F.lit(1)), "key")))
         first = ranked.where(f"k <= n - (n * {percent} + 99) div 100 + 1 and size is not null").select("key", "id", "n")
-    first = cut(first)
+    first = cut(first, tasks)
     sizes = first.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return cut(first.join(sizes, "key"))
+    return cut(first.join(sizes, "key"), tasks)
 
 
 def _rarest(sets: DataFrame, common: DataFrame, percent: int) -> DataFrame:
@@ -363,10 +363,10 @@ def _compare_long(lists: DataFrame, sets: DataFrame, links: _Links, floor: float
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
     sizes = sizes.select("key", blocks.alias("blocks"))
     placed = _with_comps(lists.join(sizes, "key"), links)
-    placed = cut(placed.select("key", "id", "comp", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).alias("block")))
+    placed = cut(placed.select("key", "id", "comp", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).alias("block")), links.tasks)
     parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    split = cut(placed.join(main.select("key", F.col("m.comp").alias("main")), "key"))
+    split = cut(placed.join(main.select("key", F.col("m.comp").alias("main")), "key"), links.tasks)
     if split.isEmpty():
         return
     outside = split.where("comp <> main")
@@ -374,7 +374,7 @@ def _compare_long(lists: DataFrame, sets: DataFrame, links: _Links, floor: float
     seats = outside.withColumnRenamed("block", "x").join(whole, "key").select("key", "x", "y", "id", "comp", F.lit(True).alias("stray"))
     seats = seats.union(split.withColumnRenamed("block", "y").join(part, "key").select("key", "x", "y", "id", "comp", F.lit(False)))
     met = seats.join(sets, "id").groupBy("key", "x", "y").applyInPandas(_cross_links(floor, percent), "a bigint, b bigint")
-    links.connect(cut(met.distinct()))
+    links.connect(cut(met.distinct(), links.tasks))
 
 
 def _groups(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
@@ -382,25 +382,26 @@ def _groups(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -
     prepare(docs.sparkSession)
     floor = percent / 100 - SLACK
     rows = cut(sketches(docs, width, doc_id, text))
+    tasks = tasks_for(docs.sparkSession, rows.count())
     found = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "tag")).alias("p"))
-    classes = cut(found.select("d1", "d2", "n", "p.doc_id", "p.tag", F.monotonically_increasing_id().alias("id")))
+    classes = cut(found.select("d1", "d2", "n", "p.doc_id", "p.tag", F.monotonically_increasing_id().alias("id")), tasks)
     kept = rows.select("doc_id", "tag", "n", "kept")
-    links = _Links(docs, classes, width, percent, doc_id, text)
+    links = _Links(docs, classes, width, percent, doc_id, text, tasks)
 
     reps = rows.where("n > 0").select("doc_id", "tag", F.slice("kept", 1, LISTED).alias("key")).dropDuplicates(["doc_id", "tag"])
     listed = reps.join(classes.select("doc_id", "tag", "id", "n"), ["doc_id", "tag"]).select("id", "n", F.explode("key").alias("key"))
     size = listed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = cut(listed.join(size, "key").select("key", "id", "n", "size"))
+    shared = cut(listed.join(size, "key").select("key", "id", "n", "size"), tasks)
     pairs = _list_pairs(shared.where(F.col("size") <= LIST), percent).where(F.col("overlap") >= OVERLAP).select("a", "b")
 
     hot = shared.where(F.col("size") > LIST).groupBy("id", "n").agg(F.count(F.lit(1)).alias("hot"))
-    hot = cut(hot.where(F.least(F.col("n"), F.lit(LISTED)) - F.col("hot") < COLD).select("id"))
-    members = cut(of_classes(kept, classes, hot).dropDuplicates(["id"]))
+    hot = cut(hot.where(F.least(F.col("n"), F.lit(LISTED)) - F.col("hot") < COLD).select("id"), tasks)
+    members = cut(of_classes(kept, classes, hot).dropDuplicates(["id"]), tasks)
     keyed = members.select("id", "n", F.explode(F.array(*[_tuple(g) for g in range(GROUPS)])).alias("t"))
     keyed = keyed.where("t.used").select("t.key", "id", "n")
-    size = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("id").alias("hub")).where("size > 1"))
-    pairs = cut(pairs.union(_list_pairs(keyed.join(size.where(F.col("size") <= LIST), "key"), percent).select("a", "b")).distinct())
-    near = of_classes(kept, classes, _ends(pairs)).dropDuplicates(["id"])
+    size = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("id").alias("hub")).where("size > 1"), tasks)
+    pairs = cut(pairs.union(_list_pairs(keyed.join(size.where(F.col("size") <= LIST), "key"), percent).select("a", "b")).distinct(), tasks)
+    near = of_classes(kept, classes, _ends(pairs, tasks)).dropDuplicates(["id"])
     x, y = (near.select(F.col("id").alias(k), F.col("kept").alias(f"{k}k")) for k in "ab")
     scored = pairs.join(x, "a").join(y, "b").select("a", "b", _estimate(F.col("ak"), F.col("bk")).alias("est")).where(F.col("est") >= floor)
 
@@ -409,7 +410,7 @@ def _groups(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -
     any_large = not large.isEmpty()
     if any_large:
         block = F.pmod(F.xxhash64("id", "key"), F.col("blocks"))
-        inside = cut(keyed.join(large, "key").select("key", "id", block.alias("block"), "hub"))
+        inside = cut(keyed.join(large, "key").select("key", "id", block.alias("block"), "hub"), tasks)
         hubs = large.select("key", F.col("hub").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
         seats = inside.select("key", "id", "block", (F.col("id") == F.col("hub")).alias("is_hub")).union(hubs.withColumn("is_hub", F.lit(True)))
         seats = seats.join(members.select("id", "kept"), "id")
@@ -421,10 +422,10 @@ def _groups(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -
         # Lists whose members are not one component: their members are compared in full where they can still be similar.
         placed = _with_comps(inside.select("key", "id"), links)
         parts = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        apart = cut(placed.join(parts, "key").select("id").distinct())
+        apart = cut(placed.join(parts, "key").select("id").distinct(), tasks)
         if not apart.isEmpty():
-            sets = cut(full_sets(docs, classes, apart, width, doc_id, text))
-            lists = _prefix_lists(sets, percent)
+            sets = cut(full_sets(docs, classes, apart, width, doc_id, text), tasks)
+            lists = _prefix_lists(sets, percent, tasks)
             short = _with_comps(lists.where(F.col("size") <= LIST), links)
             pairs = _list_pairs(short, percent, "x.comp <> y.comp").select("a", "b")
             x, y = (members.select(F.col("id").alias(k), F.col("kept").alias(f"{k}k")) for k in "ab")

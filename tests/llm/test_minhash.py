@@ -116,3 +116,22 @@ def test_both_ways_of_prefix_lists(spark, monkeypatch):
         for j in by:
             if i < j and 100 * len(by[i] & by[j]) >= 80 * len(by[i] | by[j]):
                 assert any({i, j} <= ids for ids in lists.values())
+
+
+def test_small_tables_take_few_tasks(spark, monkeypatch):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([*base[:50], f"x{i}", *base[51:]])) for i in range(60)]
+    kind, made = type(spark.range(0)), []
+    plain = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, eager=True: made.append((out := plain(self, eager)).rdd.getNumPartitions()) or out)
+    changed = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        found = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 4).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(found) == 60 and made
+    assert max(made) <= spark.sparkContext.defaultParallelism
