@@ -68,6 +68,23 @@ def test_locate_aligned(spark):
     assert set(found) == {1, 3} and found[1].found and (found[1].first_token, found[1].last_token) == (2, 7)
 
 
+def test_few_passages_are_aligned_without_a_shuffle_of_documents(spark, monkeypatch):
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(60)}"
+    texts = [(k // 2 if k < 6 else k, " ".join(word() for _ in range(r.choice([0, 5, 40, 200])))) for k in range(40)] + [(100, None), (None, "w1 w2 w3"), (101, "")]
+    asked = [(k // 2 if k < 4 else k, " ".join(word() for _ in range(r.choice([1, 6, 12])))) for k in range(30)] + [(50, None), (51, "..."), (None, "w1 w2 w3")]
+    cuts = [(k + 60, " ".join(t.split()[3:20])) for k, (_, t) in enumerate(texts) if t and len(t.split()) > 30]
+    docs, passages = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(asked + cuts, "passage_id long, text string")
+    rows = locate.locate_aligned(docs, passages)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    found = sorted(map(tuple, rows.collect()))
+    assert {r[0] for r in found} >= {k for k, _ in cuts}
+    monkeypatch.setattr(locate, "TERMS", -1)
+    more = locate.locate_aligned(docs, passages)
+    assert more.columns == rows.columns and sorted(map(tuple, more.collect())) == found
+    assert locate.locate_aligned(docs, passages.limit(0)).count() == 0
+
+
 def test_pages_and_versions(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/Doc.V1.txt").write_text("\n===== PAGE 1 =====\na  \n\n\n\nb\n===== PAGE 2 =====\n\n===== PAGE 3 =====\nc")
