@@ -4,7 +4,7 @@ import pytest
 
 from tarn.operators import index, locate
 from tarn.operators import retrieval as R
-from tarn.plans import phases
+from tarn.plans import chunk_queries, phases
 from tarn.sources import files
 from tarn.streaming import log
 
@@ -318,3 +318,17 @@ def test_derived_columns_are_rebuilt_in_place(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(log, "DERIVED", 2)
     assert log.recompute(spark, path) == 4 and files.current(spark, path) != now
     assert {r.qid: r.cleaned_output for r in files.read_published(spark, path).collect()} == {k: v[0] for k, v in found.items()}
+
+
+def test_composites_are_aligned_in_their_row(spark, tmp_path):
+    """No text is shuffled or grouped by document; the segments are those of passages that are joined to their documents."""
+    r = random.Random(3)
+    docs = [(k, " ".join([f"A{k}", *(r.choice(["on", "the", "Übel", "x.y"]) + str(r.randrange(50)) for _ in range(220)), f"Z{k}", *(f"w{i}" for i in range(19))])) for k in range(30)]
+    docs += [(90, None), (91, ""), (92, "short"), (None, docs[0][1])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = chunk_queries.composite_segments(spark, str(tmp_path))
+    assert "hashpartitioning" not in found._jdf.queryExecution().toString()
+    rows = sorted(map(tuple, found.collect()))
+    assert len(rows) == 60 and {r[0] for r in rows} == set(range(30))
+    asked = chunk_queries.composites(spark, str(tmp_path)).drop("whole")
+    assert rows == sorted(map(tuple, locate.gold_segments(spark.createDataFrame(docs, "doc_id long, text string"), asked).collect()))
