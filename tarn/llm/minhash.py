@@ -314,7 +314,7 @@ def _with_comps(rows: DataFrame, links: _Links) -> DataFrame:
     return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def _prefix_lists(sets: DataFrame, percent: int, tasks: int) -> DataFrame:
+def _prefix_lists(sets: DataFrame, percent: int, tasks: int | None = None) -> DataFrame:
     """(key, id, n, size): the lists of each set's rarest shingles, so many that sets at the threshold must share one.
 
     Similar sets share ceil(percent * n / 100) of the n shingles of either, so in any order one of the first n - that + 1 of both. In order of
