@@ -1,10 +1,11 @@
 import random
 
+import duckdb
 import pytest
 
 from tarn.operators import index, locate
 from tarn.operators import retrieval as R
-from tarn.plans import chunk_queries, phases
+from tarn.plans import chunk_queries, grading_queries, phases
 from tarn.sources import files
 from tarn.streaming import log
 
@@ -332,3 +333,23 @@ def test_composites_are_aligned_in_their_row(spark, tmp_path):
     assert len(rows) == 60 and {r[0] for r in rows} == set(range(30))
     asked = chunk_queries.composites(spark, str(tmp_path)).drop("whole")
     assert rows == sorted(map(tuple, locate.gold_segments(spark.createDataFrame(docs, "doc_id long, text string"), asked).collect()))
+
+
+def test_graded_rows_are_not_joined_with_themselves(spark, tmp_path):
+    """Logged rows that repeat each other are graded once each, and none is shuffled with the gold chunks of its question."""
+    passage = "seven green whales sing slowly beneath the old northern harbour every winter evening"
+    docs = [(k, f"start {k} {passage} end") for k in range(12)] + [(50, "other words"), (51, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage), (2, "unknown")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    events = [(1, 4, "m", 1.0, '{"k": 7}'), (41, 5, "m", 1.0, '{"k": 8}'), (41, 5, "m", 1.0, '{"k": 8}'), (2, 4, None, 1.0, '{"k": 7}')]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double, props string").selectExpr("*", "timestamp'2024-01-01' as ts").write.parquet(f"{tmp_path}/events.parquet")
+    found = grading_queries.grade_rows(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [event_id") == 1
+    with duckdb.connect() as con:
+        for name in ("documents", "benchmark", "events"):
+            con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+        cur = con.execute(grading_queries.ORACLES["grade_rows"])
+        names = [c[0] for c in cur.description]
+        want = cur.fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in found.select(*names).collect())
+    assert len(want) == 4
